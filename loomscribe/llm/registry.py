@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomscribe.llm import chat, quality, tokens, warc
+from loomscribe.llm import chat, packing, quality, substring, tokens, warc
 from loomscribe.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,14 +36,35 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(load(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(load(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op4_chat_formatting": op4_chat_formatting,
     "op6_warc": op6_warc,
     "op7_quality_rules": op7_quality_rules,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 SQL: dict[str, str] = {
+    "op8_substring_dedup": r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+win as (select doc_id, i, list_aggregate(words[i:i + 12], 'string_agg', ' ') as s
+        from (select doc_id, words, unnest(range(1, len(words) - 11)) as i from w where len(words) >= 13)),
+first as (select s, min(doc_id) as d from win group by s),
+hit as (select distinct win.doc_id, unnest(range(i, i + 13)) as i from win join first using (s) where first.d < win.doc_id),
+gone as (select doc_id, list(i) as gone from hit group by doc_id),
+kept as (select w.doc_id, words, coalesce(gone, []) as gone from w left join gone using (doc_id)),
+out as (select doc_id, words, len(gone) as n, list_filter(words, lambda x, i: not list_contains(gone, i)) as k from kept)
+select doc_id, cast(len(words) as bigint) as n_words, cast(n as bigint) as n_removed,
+  sha256(coalesce(list_aggregate(k, 'string_agg', ' '), '')) as kept_sha256 from out""",
     "op4_chat_formatting": """
 with r as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
