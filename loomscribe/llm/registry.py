@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomscribe.llm import chat, packing, quality, substring, tokens, warc
+from loomscribe.llm import chat, minhash, packing, quality, substring, tokens, warc
 from loomscribe.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(load(spark, sf_dir, "documents"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(load(spark, sf_dir, "documents"), k=4)
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.to_json(F.struct("role", "text", "turn"), {"ignoreNullFields": "false"})
     records = load(spark, sf_dir, "conversations").select("conv_id", row.alias("record"))
@@ -46,6 +50,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op2_near_duplicates": op2_near_duplicates,
     "op4_chat_formatting": op4_chat_formatting,
     "op6_warc": op6_warc,
     "op7_quality_rules": op7_quality_rules,
@@ -54,6 +59,18 @@ QUERIES: dict[str, Query] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_near_duplicates": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+s as (select distinct doc_id, array_to_string(words[i:i + 3], ' ') as s
+      from (select doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) as i from w where len(words) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+e as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+r as (select doc_id, doc_id as reach from w union select r.doc_id, e.b from r join e on e.a = r.reach),
+m as (select doc_id, min(reach) as component_id from r group by doc_id)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id, w.doc_id = m.component_id as kept
+from w join m using (doc_id) left join n using (doc_id)""",
     "op8_substring_dedup": r"""
 with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
 win as (select doc_id, i, list_aggregate(words[i:i + 12], 'string_agg', ' ') as s
