@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -144,5 +144,18 @@ def texts_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def rows_with(docs: DataFrame, keep: Callable[[Block], np.ndarray], text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text ``keep`` marks: a filter in one map-side pass."""
+    schema, flag = docs.schema, f"_{uuid.uuid4().hex}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [keep(block) for block in blocks(batch[flag])]
+            chosen = batch.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, bool), pa.bool_()))
+            yield chosen.select([n for n in chosen.schema.names if n != flag])
+
+    return docs.withColumn(flag, F.coalesce(F.col(text), F.lit(""))).mapInArrow(run, schema)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

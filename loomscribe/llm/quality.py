@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomscribe.llm.common import Block, arrow_rows, blocks, mix, texts_of
+from loomscribe.llm.common import Block, arrow_rows, blocks, mix, rows_with, texts_of
 
 #: n-gram length -> largest tolerated share of word characters inside duplicated n-grams.
 NGRAMS = {5: 0.34, 6: 0.33, 7: 0.32, 8: 0.30, 9: 0.29, 10: 0.28}
@@ -124,3 +124,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
                 yield arrow_rows(out, {"doc_id": batch["doc_id"].slice(block.first, block.n)} | measure(block))
 
     return texts_of(docs).mapInArrow(score, SCHEMA)
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows, with all columns, that the rules keep."""
+    return rows_with(docs, lambda block: measure(block)["kept"])

@@ -40,7 +40,6 @@ REACH = WINDOW - ANCHOR
 BITS = 26
 #: Contexts per automaton; an anchor's own contexts are never split.
 SHARD_CONTEXTS = 4000
-SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
 def anchors(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,31 +198,39 @@ def spans(occurrences: DataFrame, finds: DataFrame) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("some")))).alias("starts"))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row per document (``SCHEMA``): counts, the kept words joined by one space, their digest."""
+def deduplicate(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per document: the columns to ``carry`` (``doc_id`` among them), counts, the kept
+    words joined by one space, and their digest."""
     texts = texts_of(docs)
     known = texts.filter("doc_id is not null")
     bitmap = recurring_bitmap(known)
     release(docs.sparkSession)
     occurrences = staged(contexts(known, bitmap), "contexts")
     finds = staged(find_repeats(occurrences), "finds")
-    marked = texts.join(spans(occurrences, finds).withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d"), "left").drop("d")
-    out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
+    starts = spans(occurrences, finds).select(F.col("doc_id").alias("_id"), F.col("starts").alias("_starts"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(c for c in carry if c != "doc_id"), F.coalesce("text", F.lit("")).alias("_text"))
+    marked = rows.join(starts, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    added = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())]
+    carried = rows.drop("_text").schema
+    names = carried.names
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, text, starts in zip(batch["doc_id"].to_pylist(), batch["text"], batch["starts"], strict=True):
+            found = []
+            for text, at in zip(batch["_text"], batch["_starts"], strict=True):
                 words = text.as_py().encode().split()
                 n = len(words)
-                if starts.is_valid:
+                if at.is_valid:
                     edge = np.zeros(n + 1, np.int64)
-                    at = starts.values.to_numpy()
-                    edge[at] += 1
-                    edge[at + WINDOW] -= 1
+                    edge[at.values.to_numpy()] += 1
+                    edge[at.values.to_numpy() + WINDOW] -= 1
                     words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
                 kept = b" ".join(words)
-                rows.append((doc_id, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode()))
-            yield arrow_rows(out, {f.name: [r[i] for r in rows] for i, f in enumerate(out)})
-
-    return marked.mapInArrow(cut, SCHEMA)
+                found.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode()))
+            out = batch.select(names)
+            for i, (name, kind) in enumerate(added):
+                out = out.append_column(name, pa.array([r[i] for r in found], kind))
+            yield out
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in carried] + ["n_words long", "n_removed long", "kept_sha256 string", "kept_text string"])
+    return marked.mapInArrow(cut, schema)
