@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomscribe.llm import chat, minhash, neighbours, packing, quality, substring, tokens, toxicity, warc
+from loomscribe.llm import bpe, chat, minhash, neighbours, packing, quality, substring, tokens, toxicity, warc
 from loomscribe.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"), k=4)
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(load(spark, sf_dir, "documents"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.to_json(F.struct("role", "text", "turn"), {"ignoreNullFields": "false"})
     records = load(spark, sf_dir, "conversations").select("conv_id", row.alias("record"))
@@ -59,6 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_warc": op6_warc,
