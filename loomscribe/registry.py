@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from loomscribe import queries_corpus
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+_MODULES = (queries_corpus,)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
