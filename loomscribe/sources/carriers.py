@@ -63,7 +63,7 @@ _JOBS = """
 job_log as (
   select event_id, user_id job_id, cast(ts as timestamp) ts,
     case event_type when 'view' then 'running' when 'click' then 'queued' when 'purchase' then 'done' when 'signup' then 'failed' else 'running' end status,
-    cast(abs(value) % 100 as int) progress,
+    cast(floor(abs(value) % 100) as int) progress,
     case when event_id % 3 = 0 then concat('Retry ', cast(event_id % 4 as varchar(20))) else 'step' end status_description
   from events)"""
 
