@@ -13,8 +13,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from loomscribe.functions.text import retrying
 
@@ -36,41 +36,40 @@ def job_terminal(events: DataFrame, delay: str = "1 day") -> DataFrame:
     return ended.groupBy("job_id").agg(F.min_by("status", "ts").alias("status"), F.min("ts").alias("ts"))
 
 
-_TURN = StructType([StructField("seq", LongType()), StructField("content", StringType())])
 MESSAGES = "session_id long, turn long, content string"
-
-
-class _Frames(StatefulProcessor):
-    """Collects the chunks of one turn until its done frame; an error drops them."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.parts = handle.getListState("parts", _TURN, ttlDurationMs=3_600_000)
-        self.closed = handle.getValueState("closed", StructType([StructField("x", LongType())]), ttlDurationMs=3_600_000)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        frames = pd.concat(list(rows)).sort_values("seq")
-        if self.closed.exists():
-            return
-        for seq, kind, content in frames[["seq", "type", "content"]].itertuples(index=False, name=None):
-            if kind == "chunk":
-                self.parts.appendValue((int(seq), content or ""))
-            else:
-                text = "".join(c for _, c in sorted(tuple(p) for p in self.parts.get()))
-                self.parts.clear()
-                self.closed.update((1,))
-                if kind == "done":
-                    yield pd.DataFrame({"session_id": [key[0]], "turn": [key[1]], "content": [text]})
-                return
-
-    def close(self) -> None:
-        pass
+_HELD = "seqs array<long>, parts array<string>, closed boolean"
+
+
+#: Milliseconds after which an unfinished turn is dropped; 0 keeps it, which ``availableNow``
+#: runs need (with a timeout they would wait for it for ever).
+EXPIRY_MS = 0
+
+
+def _turn(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Holds the chunks of one turn until its done frame; an error drops them."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    seqs, parts, closed = state.get if state.exists else ([], [], False)
+    held, kinds = list(zip(seqs, parts, strict=True)), set()
+    for batch in frames:
+        chunk = batch[batch["type"] == "chunk"]
+        held += zip(chunk["seq"].tolist(), chunk["content"].fillna("").tolist(), strict=True)
+        kinds |= set(batch["type"])
+    ended = bool(kinds & {"done", "error"})
+    if ended and not closed and "error" not in kinds:
+        yield pd.DataFrame({"session_id": [key[0]], "turn": [key[1]], "content": ["".join(c for _, c in sorted(held))]})
+    kept = [] if ended or closed else held
+    state.update(([q for q, _ in kept], [c for _, c in kept], ended or closed))
+    if EXPIRY_MS:
+        state.setTimeoutDuration(EXPIRY_MS)
 
 
 def assemble_frames(frames: DataFrame) -> DataFrame:
     """``session_id, turn, content``: one message per turn that ended well."""
     if frames.isStreaming:
         keyed = frames.select("session_id", "turn", "seq", "type", "content").groupBy("session_id", "turn")
-        return keyed.transformWithStateInPandas(_Frames(), MESSAGES, "Append", "ProcessingTime")
+        return keyed.applyInPandasWithState(_turn, MESSAGES, _HELD, "append", GroupStateTimeout.ProcessingTimeTimeout if EXPIRY_MS else GroupStateTimeout.NoTimeout)
     chunk = F.when(F.col("type") == "chunk", F.struct("seq", "content"))
     rows = frames.groupBy("session_id", "turn").agg(F.array_sort(F.collect_list(chunk)).alias("c"), F.max(F.col("type") == "done").alias("fine"), F.max(F.col("type") == "error").alias("bad"))
     return rows.filter("fine and not bad").select("session_id", "turn", F.array_join(F.transform("c", lambda x: x["content"]), "").alias("content"))
@@ -86,7 +85,6 @@ def run_available(rows: DataFrame, transform: Callable[[DataFrame], DataFrame],
     base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     rows.repartition(files).write.mode("overwrite").parquet(f"{base}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     out = transform(stream)
 
     def keep(batch: DataFrame, number: int) -> None:
