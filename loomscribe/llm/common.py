@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that numpy works on at once; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 21
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 2000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -141,20 +143,27 @@ def arrow_rows(schema: pa.Schema, columns: dict[str, object]) -> pa.RecordBatch:
 
 def texts_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the key and the text, nulls as empty texts; other columns never get in the way."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
 def rows_with(docs: DataFrame, keep: Callable[[Block], np.ndarray], text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text ``keep`` marks: a filter in one map-side pass."""
-    schema, flag = docs.schema, f"_{uuid.uuid4().hex}"
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [keep(block) for block in blocks(batch[flag])]
-            chosen = batch.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, bool), pa.bool_()))
-            yield chosen.select([n for n in chosen.schema.names if n != flag])
+            for block in blocks(batch[text]):
+                yield batch.slice(block.first, block.n).filter(pa.array(keep(block), pa.bool_()))
 
-    return docs.withColumn(flag, F.coalesce(F.col(text), F.lit(""))).mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the texts that a Python worker and its executor hold at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set(key, BATCH_ROWS)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
