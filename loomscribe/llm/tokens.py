@@ -32,6 +32,8 @@ TABLE_SIZE = 65536
 MAX_ENTRY_BYTES = 48
 #: Items the sketch follows per partition; with MAX_ENTRY_BYTES this bounds its state.
 SKETCH_ITEMS = 131072
+#: Sketches of partitions meet in so many groups before the last one reads the groups'.
+SKETCH_GROUPS = 64
 CACHE_ENTRIES = 400_000
 #: Missed pre-tokens that are encoded in one call.
 MISS_BATCH = 8192
@@ -45,8 +47,11 @@ def frequent_pretokens(docs: DataFrame, size: int = TABLE_SIZE) -> list[str]:
     """The about ``size`` most frequent pre-tokens of all texts, over-long ones left out."""
     words = texts_of(docs).select(F.explode(F.split("text", " ")).alias("word"))
     words = words.filter(F.octet_length("word").between(1, MAX_ENTRY_BYTES - 1))
-    top = words.agg(F.expr(f"approx_top_k(word, {size}, {max(SKETCH_ITEMS, size)})").alias("top")).first()["top"]
-    return [" " + row["item"] for row in top or []]
+    words = words.union(docs.sparkSession.sql("select '' as word"))  # no sketch may be empty
+    items = max(SKETCH_ITEMS, size)
+    some = words.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS))).agg(F.expr(f"approx_top_k_accumulate(word, {items})").alias("s"))
+    top = some.agg(F.expr(f"approx_top_k_combine(s, {items})").alias("s")).select(F.expr(f"approx_top_k_estimate(s, {size})").alias("top"))
+    return [" " + row["item"] for row in top.first()["top"] if row["item"]]
 
 
 class Counter:
