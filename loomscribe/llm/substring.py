@@ -16,8 +16,9 @@ in it, so equal windows have equal anchors and only a fifth of all positions are
 Words are ``[^\\x20\\x09-\\x0D]+``.  A word number is 32 bits of its hash; a window is 13 of them.
 
 Defined results: a null text has no words; a null id is never smaller or larger than
-another, so its words stay; rows of one id do not remove each other; texts under 13 words
-stay whole; extra columns are ignored; an empty table gives no rows.
+another, so its words stay; rows of one id do not remove each other, and each loses only
+what its own text shares with smaller ids (a row is its id and the digest of its text);
+texts under 13 words stay whole; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -91,8 +92,13 @@ def recurring_bitmap(texts: DataFrame) -> np.ndarray:
     return bitmap
 
 
-OCCURRENCES = "anchor long, context_id long, context binary, doc_id long, first_word int"
-_OCCURRENCES = pa.schema([("anchor", pa.int64()), ("context_id", pa.int64()), ("context", pa.binary()), ("doc_id", pa.int64()), ("first_word", pa.int32())])
+def keyed(rows: DataFrame, text: str = "text") -> DataFrame:
+    """With ``text_key``, which tells the texts of one id apart."""
+    return rows.withColumn("text_key", F.xxhash64(text))
+
+
+OCCURRENCES = "anchor long, context_id long, context binary, doc_id long, text_key long, first_word int"
+_OCCURRENCES = pa.schema([("anchor", pa.int64()), ("context_id", pa.int64()), ("context", pa.binary()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("first_word", pa.int32())])
 
 
 def contexts(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
@@ -102,7 +108,7 @@ def contexts(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            ids = batch["doc_id"].to_numpy(zero_copy_only=False)
+            ids, keys = (batch[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key"))
             for block in blocks(batch["text"]):
                 at, gram, h = anchors(block)
                 bit = gram >> np.uint64(64 - BITS)
@@ -126,10 +132,10 @@ def contexts(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
                 yield arrow_rows(
                     _OCCURRENCES,
                     {"anchor": gram.view(np.int64), "context_id": key.view(np.int64), "context": context}
-                    | {"doc_id": ids[block.first + doc], "first_word": (lo - bound[doc]).astype(np.int32)},
+                    | {"doc_id": ids[block.first + doc], "text_key": keys[block.first + doc], "first_word": (lo - bound[doc]).astype(np.int32)},
                 )
 
-    return texts.mapInArrow(rows, OCCURRENCES)
+    return keyed(texts).mapInArrow(rows, OCCURRENCES)
 
 
 def locate(shard: list[tuple[int, bytes, int, int]]) -> Iterator[tuple[int, list[int], list[int]]]:
@@ -190,16 +196,16 @@ def _finds(shard: list) -> pa.RecordBatch:
 
 
 def spans(occurrences: DataFrame, finds: DataFrame) -> DataFrame:
-    """``doc_id, starts``: the windows of a document that a smaller document also holds."""
-    hits = occurrences.select("context_id", "doc_id", "first_word").join(finds, "context_id")
+    """``doc_id, text_key, starts``: the windows of a row that a smaller document also holds."""
+    hits = occurrences.select("context_id", "doc_id", "text_key", "first_word").join(finds, "context_id")
     earlier = F.filter(F.arrays_zip("places", "firsts"), lambda w: w["firsts"] < F.col("doc_id"))
     starts = F.transform(earlier, lambda w: w["places"] + F.col("first_word"))
-    hits = hits.select("doc_id", starts.alias("some")).filter(F.size("some") > 0)
-    return hits.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("some")))).alias("starts"))
+    hits = hits.select("doc_id", "text_key", starts.alias("some")).filter(F.size("some") > 0)
+    return hits.groupBy("doc_id", "text_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("some")))).alias("starts"))
 
 
 def deduplicate(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per document: the columns to ``carry`` (``doc_id`` among them), counts, the kept
+    """One row per row of ``docs``: the columns to ``carry`` (``doc_id`` among them), counts, the kept
     words joined by one space, and their digest."""
     texts = texts_of(docs)
     known = texts.filter("doc_id is not null")
@@ -207,9 +213,10 @@ def deduplicate(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFr
     release(docs.sparkSession)
     occurrences = staged(contexts(known, bitmap), "contexts")
     finds = staged(find_repeats(occurrences), "finds")
-    starts = spans(occurrences, finds).select(F.col("doc_id").alias("_id"), F.col("starts").alias("_starts"))
+    starts = spans(occurrences, finds).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_of"), F.col("starts").alias("_starts"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(c for c in carry if c != "doc_id"), F.coalesce("text", F.lit("")).alias("_text"))
-    marked = rows.join(starts, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    here = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("_text") == F.col("_of"))
+    marked = rows.join(starts, here, "left").drop("_id", "_of")
     added = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())]
     carried = rows.drop("_text").schema
     names = carried.names

@@ -105,6 +105,15 @@ def test_substring_dedup_matches_brute_force(spark):
     assert substring.deduplicate(documents(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_substring_dedup_keeps_rows_of_one_id_apart(spark):
+    shared, own, short = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("s", 20), ("o", 60), ("q", 15)))
+    lines = [(1, shared), (2, f"{own} {shared}"), (2, f"{own} z"), (2, short), (2, short), (2, None), (None, shared), (3, short)]
+    docs = spark.createDataFrame(lines, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in substring.deduplicate(docs).collect())
+    want = [(1, 20, 0, shared), (2, 80, 20, own), (2, 61, 0, f"{own} z"), (2, 15, 0, short), (2, 15, 0, short), (2, 0, 0, ""), (None, 20, 0, shared), (3, 15, 15, "")]
+    assert got == sorted((str(i), *rest) for i, *rest in want)
+
+
 def test_packing_is_whole_and_tight(spark):
     texts = [None, "", "Hello, WORLD! é <|endoftext|> ΑΣ", *(" ".join(f"word{i}" for i in range(n)) for n in (1, 50, 700, 900, 1200, 3000, 9000)), "x" * 30000]
     library = Tokenizer.from_file(packing.VOCABULARY)
