@@ -16,10 +16,6 @@ from loomscribe.llm import common, minhash, packing, quality, substring, toxicit
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the toxicity classifier rejects."""
     model = toxicity.fit(docs, common.load(spark, sf_dir, "labels"))
@@ -32,8 +28,12 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest id."""
-    return _rows_of(docs, minhash.near_duplicates(docs).filter("kept"))
+    """One document of each group of near duplicates: that of the smallest id.
+
+    Rows with a null id take no part and stay.  Rows of one id are judged each by its own text,
+    so a text stays if no smaller row is like it, and of identical rows one stays.
+    """
+    return minhash.keep_first(docs).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

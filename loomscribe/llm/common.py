@@ -147,6 +147,11 @@ def texts_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def keyed(rows: DataFrame, text: str = "text") -> DataFrame:
+    """With ``text_key``, which tells the texts of one id apart; a null text is an empty one."""
+    return rows.withColumn("text_key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+
+
 def rows_with(docs: DataFrame, keep: Callable[[Block], np.ndarray], text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text ``keep`` marks: a filter in one map-side pass."""
     small_batches(docs.sparkSession)

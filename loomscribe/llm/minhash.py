@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomscribe.llm.common import Block, arrow_rows, blocks, mix, staged, texts_of
+from loomscribe.llm.common import Block, arrow_rows, blocks, keyed, mix, staged, texts_of
 from loomscribe.operators.components import connected_components
 
 SHINGLE = 5
@@ -252,3 +252,23 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     found = all_sets.drop("registers").join(of_class, ["digest_a", "digest_b", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_first(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns, without those that a smaller row is a near copy of.
+
+    Here each row is a document of its own, also where an id repeats: rows are ordered by id and
+    then by a hash of the text, and of rows with equal id and text one is left.  Rows with a
+    null id take no part and all stay.
+    """
+    known = keyed(docs.filter("doc_id is not null"))
+    texts = staged(known.groupBy(F.col("doc_id").cast("long").alias("_id"), F.col("text_key").alias("_of")).count(), "ids")
+    if texts.groupBy("_id").agg(F.sum("count").alias("n")).filter("n > 1").isEmpty():
+        rows = known.withColumn("_row", F.col("doc_id").cast("long"))
+    else:
+        order = staged(texts.orderBy("_id", "_of").select("_id", "_of", F.monotonically_increasing_id().alias("_row")), "order")
+        rows = known.join(order, (F.col("doc_id") == F.col("_id")) & (F.col("text_key") == F.col("_of")))
+        rows = staged(rows.select(*docs.columns, "_row").dropDuplicates(["_row"]), "rows")
+    kept = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), k, percent).filter("kept")
+    left = rows.join(kept.select(F.col("doc_id").alias("_row")), "_row", "left_semi")
+    return left.select(docs.columns).unionByName(docs.filter("doc_id is null"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomscribe.llm.common import Block, arrow_rows, blocks, release, staged, texts_of
+from loomscribe.llm.common import Block, arrow_rows, blocks, keyed, release, staged, texts_of
 
 WINDOW, ANCHOR = 13, 5
 #: Anchors a window holds, and words a context reaches to either side of its anchor.
@@ -92,11 +92,6 @@ def recurring_bitmap(texts: DataFrame) -> np.ndarray:
     return bitmap
 
 
-def keyed(rows: DataFrame, text: str = "text") -> DataFrame:
-    """With ``text_key``, which tells the texts of one id apart."""
-    return rows.withColumn("text_key", F.xxhash64(text))
-
-
 OCCURRENCES = "anchor long, context_id long, context binary, doc_id long, text_key long, first_word int"
 _OCCURRENCES = pa.schema([("anchor", pa.int64()), ("context_id", pa.int64()), ("context", pa.binary()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("first_word", pa.int32())])
 

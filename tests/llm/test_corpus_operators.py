@@ -222,6 +222,17 @@ def test_pipeline_near_duplicate_stage_matches_brute_force(spark):
     assert kept == {i for i, (_, c) in enumerate(brute_components(texts, 5)) if c == i}
 
 
+def test_pipeline_near_duplicate_stage_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (2, b), (2, b.upper()), (3, c), (3, c), (None, a), (None, a), (None, None), (4, ""), (4, None), (4, " "), (5, f"{b} z")]
+    docs = spark.createDataFrame([(i, t, "en", "src", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, (r.text or "").lower()) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    want = [(1, a), (2, b), (3, c), (None, a), (None, a), (None, ""), (4, ""), (4, " ")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_pipeline_cut_stage_matches_brute_force(spark):
     import corpus_pipeline
 
