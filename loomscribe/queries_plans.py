@@ -123,7 +123,7 @@ def _chat_pack(s: SparkSession, d: str) -> DataFrame:
 def _frames(s: SparkSession, d: str) -> DataFrame:
     answers = _chat(s, d).filter("role = 'assistant'")
     cut = answers.select("session_id", F.col("seq").alias("turn"), F.posexplode(F.split("content", "(?<= )")).alias("seq", "content")).withColumn("type", F.lit("chunk"))
-    end = answers.select("session_id", F.col("seq").alias("turn"), F.lit(1 << 30).alias("seq"), F.lit("").alias("content"), F.when(F.col("session_id") % 5 == 0, "error").otherwise("done").alias("type"))
+    end = answers.select("session_id", F.col("seq").alias("turn"), F.coalesce(F.size(F.split("content", "(?<= )")), F.lit(0)).alias("seq"), F.lit("").alias("content"), F.when(F.col("session_id") % 5 == 0, "error").otherwise("done").alias("type"))
     return cut.unionByName(end).select("session_id", "turn", F.col("seq").cast("long").alias("seq"), "type", "content")
 
 
@@ -227,7 +227,7 @@ QUERIES = {
     "append_message": lambda s, d: tables.append_messages(_chat(s, d).withColumn("created_at", F.current_timestamp()), _chat(s, d).filter("seq = 0").withColumn("seq", F.lit(99).cast("long"))).select("session_id", "seq", "role"),
     "job_progress_stream": lambda s, d: streams.run_available(_jobs(s, d), streams.job_progress, mode="complete").drop("batch"),
     "job_terminal_once": lambda s, d: streams.run_available(_jobs(s, d), lambda e: streams.job_terminal(e, "100 days")).select("job_id"),
-    "chat_frame_assembly": lambda s, d: streams.run_available(_frames(s, d), streams.assemble_frames).select("session_id", "turn", F.md5("content").alias("h")),
+    "chat_frame_assembly": lambda s, d: streams.run_available(_frames(s, d), streams.assemble_frames, files=4).select("session_id", "turn", F.md5("content").alias("h")),
     "incremental_ingest": _ingest,
     "run_full": _full_run,
 }

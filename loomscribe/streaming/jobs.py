@@ -37,7 +37,7 @@ def job_terminal(events: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 MESSAGES = "session_id long, turn long, content string"
-_HELD = "seqs array<long>, parts array<string>, closed boolean"
+_HELD = "seqs array<long>, parts array<string>, total long, closed boolean"
 
 
 #: Milliseconds after which an unfinished turn is dropped; 0 keeps it, which ``availableNow``
@@ -46,21 +46,24 @@ EXPIRY_MS = 0
 
 
 def _turn(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Holds the chunks of one turn until its done frame; an error drops them."""
+    """Holds the chunks of one turn until its done frame, whose ``seq`` is their number, and all of
+    them have come, in any order and any batches; an error drops them."""
     if state.hasTimedOut:
         state.remove()
         return
-    seqs, parts, closed = state.get if state.exists else ([], [], False)
-    held, kinds = list(zip(seqs, parts, strict=True)), set()
+    seqs, parts, total, closed = state.get if state.exists else ([], [], -1, False)
+    held, failed = dict(zip(seqs, parts, strict=True)), False
     for batch in frames:
         chunk = batch[batch["type"] == "chunk"]
-        held += zip(chunk["seq"].tolist(), chunk["content"].fillna("").tolist(), strict=True)
-        kinds |= set(batch["type"])
-    ended = bool(kinds & {"done", "error"})
-    if ended and not closed and "error" not in kinds:
-        yield pd.DataFrame({"session_id": [key[0]], "turn": [key[1]], "content": ["".join(c for _, c in sorted(held))]})
-    kept = [] if ended or closed else held
-    state.update(([q for q, _ in kept], [c for _, c in kept], ended or closed))
+        held |= zip(chunk["seq"].tolist(), chunk["content"].fillna("").tolist(), strict=True)
+        total = max([total, *batch["seq"][batch["type"] == "done"].tolist()])
+        failed |= bool((batch["type"] == "error").any())
+    whole = 0 <= total <= len(held)
+    if whole and not failed and not closed:
+        yield pd.DataFrame({"session_id": [key[0]], "turn": [key[1]], "content": ["".join(held[q] for q in sorted(held))]})
+    closed = closed or whole or failed
+    kept = {} if closed else held
+    state.update((list(kept), list(kept.values()), total, closed))
     if EXPIRY_MS:
         state.setTimeoutDuration(EXPIRY_MS)
 

@@ -178,3 +178,11 @@ def test_history_and_streams(spark):
     frames = spark.createDataFrame(rows, "session_id long, turn long, seq long, type string, content string")
     streamed = jobs.run_available(frames, jobs.assemble_frames).select("session_id", "content").collect()
     assert [tuple(r) for r in streamed] == [tuple(r) for r in jobs.assemble_frames(frames).select("session_id", "content").collect()] == [(1, "ab")]
+
+
+def test_turns_wait_for_chunks_of_later_batches(spark):
+    schema = "session_id long, turn long, seq long, type string, content string"
+    rows = [(1, 0, 2, "done", ""), (1, 0, 1, "chunk", "b"), (1, 0, 0, "chunk", "a"), (2, 0, 0, "chunk", "x"), (2, 0, 1, "error", ""), (3, 0, 0, "done", "")]
+    frames = spark.createDataFrame(rows, schema)
+    found = jobs.run_available(frames, jobs.assemble_frames, files=6).collect()
+    assert sorted((r.session_id, r.content) for r in found) == [(1, "ab"), (3, "")]
