@@ -4,25 +4,16 @@ Every round rewrites the edge set so that nodes point at smaller ones; it ends w
 edges no longer change and each node of a component points at its smallest member.  Minima
 are combined before the shuffle, and the join that follows only fans out, so a node with
 very many neighbours is split by adaptive skew handling.  Rounds are cut from each other
-by tables in the shared checkpoint folder, which survive lost executors.
+by tables in the shared checkpoint folder, which survive lost executors; a round's table is
+deleted once the next one is written, and its count and digest are taken by the write itself.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _staged(df: DataFrame) -> DataFrame:
-    conf = df.sparkSession.conf
-    if not conf.get("spark.checkpoint.dir", None):
-        conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
-    path = f"{conf.get('spark.checkpoint.dir').rstrip('/')}/components-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from loomscribe.sources.scratch import Workspace
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -42,12 +33,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     smallest reachable node.  Null ends and loops are ignored; edges may repeat."""
     a, b = F.col(src), F.col(dst)
     edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(a.isNotNull() & b.isNotNull() & (a != b))
-    edges, before = _staged(edges.distinct()), None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before or now[0] == 0:
-            break
-        before = now
-        edges = _staged(_small_star(_large_star(edges).distinct()).distinct())
+    work, turn, before = Workspace(edges.sparkSession, "components"), 0, None
+    state = {"n": F.count(F.lit(1)), "digest": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    edges, now = work.save(edges.distinct(), "0", **state)
+    while now != before and now["n"]:
+        before, turn = now, turn + 1
+        edges, now = work.save(_small_star(_large_star(edges).distinct()).distinct(), str(turn), **state)
+        work.drop(str(turn - 1))
     found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return found.union(found.select("component", "component").distinct())

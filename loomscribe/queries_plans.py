@@ -13,6 +13,7 @@ from loomscribe.plans import refresh
 from loomscribe.queries_corpus import _BUDGET, _C, _CC, _ENT, _IMPORTS, _P, _entities, _graph, _page_files, table
 from loomscribe.sources import tables
 from loomscribe.sources.carriers import carrier, ctes
+from loomscribe.sources.scratch import Workspace
 from loomscribe.streaming import jobs as streams
 
 
@@ -157,9 +158,7 @@ def _full_run(s: SparkSession, d: str) -> DataFrame:
 
 
 def _sink(s: SparkSession, d: str, write) -> DataFrame:
-    from loomscribe.operators.components import _staged
-
-    return _staged(write)
+    return Workspace(s, "sink").save(write, "rows")
 
 
 QUERIES = {

@@ -6,7 +6,6 @@ watermark or by the end of a turn.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from loomscribe.functions.text import retrying
+from loomscribe.sources.scratch import shared_folder
 
 TERMINAL = ("done", "failed")
 
@@ -84,8 +84,7 @@ def run_available(rows: DataFrame, transform: Callable[[DataFrame], DataFrame],
     ``folder`` must be shared by all executors; it defaults to the session's checkpoint folder.
     """
     spark = rows.sparkSession
-    base = folder or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{(folder or shared_folder(spark)).rstrip('/')}/stream-{uuid.uuid4().hex}"
     rows.repartition(files).write.mode("overwrite").parquet(f"{base}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     out = transform(stream)
