@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomscribe.sources.scratch import Workspace
+
 #: Bytes of text that numpy works on at once; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 21
 #: Rows of an Arrow batch at most.
@@ -25,29 +27,89 @@ _ROLL = np.uint64(0xD6E8FEB86659FD93)
 _powers: dict[str, np.ndarray] = {}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; set to a temporary one only if unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: cuts lineage durably."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    table = Workspace(df.sparkSession, name).save(df, "rows")
     release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return table
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of steps that nothing refers to any more."""
+    """Ask Spark's cleaner for the shuffle files of steps that nothing refers to any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+#: A bitmap has 2 ** BITMAP_BITS bits (8 MB), whatever the data; false bits only cost traffic.
+BITMAP_BITS = 26
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """64-bit words of the bitmap of the hashes in the one long column of ``keys``."""
+    key = F.col(keys.columns[0])
+    bit = F.shiftrightunsigned(key, 64 - BITMAP_BITS)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))
+    found = keys.groupBy(F.shiftrightunsigned(bit, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    words = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+    words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return words
+
+
+def in_bitmap(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which unsigned 64-bit hashes have their bit set."""
+    bit = keys >> np.uint64(64 - BITMAP_BITS)
+    return (words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
+#: Items that a task counts at once; beyond it, the rarer half is let go.
+COUNTED = 400_000
+
+
+def frequent(texts: DataFrame, items: Callable[[Counter], Counter], size: int, longest: int) -> list[str]:
+    """About the ``size`` most frequent items of all texts, of at most ``longest`` bytes each.
+
+    ``items`` turns counts of ``pieces`` into counts of items.  Every task counts its own texts and
+    hands on at most ``size`` items, so what is shuffled and what reaches the driver is bounded.
+    The list only serves lookups that have another way for what it lacks.
+    """
+    out = pa.schema([("item", pa.string()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for text in batch["text"].to_pylist():
+                counts.update(pieces(text))
+            if len(counts) > COUNTED:
+                counts = Counter(dict(counts.most_common(COUNTED // 2)))
+        best = [(i, n) for i, n in items(counts).most_common(size) if i and len(i.encode()) <= longest]
+        yield arrow_rows(out, {"item": [i for i, _ in best], "n": [n for _, n in best]})
+
+    counted = texts.select("text").mapInArrow(count, "item string, n long").groupBy("item").agg(F.sum("n").alias("n"))
+    return counted.orderBy(F.desc("n"), "item").limit(size).toArrow()["item"].to_pylist()
+
+
+_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+_CLEAN = re.compile(r"\n?\S(?:.*\S)?", re.S).fullmatch
+
+
+def pieces(text: str) -> list[str]:
+    """The text cut at single spaces and before line breaks: the first piece is as it stands, a later
+    one that begins with a line break follows on at once, any other follows on after a space."""
+    return text.replace("\n", " \n").split(" ")
+
+
+def clean(piece: str) -> bool:
+    """Do the cuts on both sides of a piece lie between a space or line break and other characters.
+
+    No pre-token of the vocabularies here reaches over a cut between two clean pieces."""
+    return _CLEAN(piece) is not None
+
+
+def uneven_pieces(text: str) -> list[str]:
+    """The text cut at its clean cuts only, each part with the space or line break it begins with."""
+    return _CUT.split(text)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads a 64-bit polynomial hash over all bits."""
     h = h ^ (h >> np.uint64(33))

@@ -1,24 +1,30 @@
 """Substring deduplication with sharded repeated-phrase automata.
 
-A window of ``WINDOW`` words is judged by its anchor, the ``ANCHOR``-word gram of least hash
-in it, so equal windows have equal anchors and only a fifth of all positions are anchors.
-
-1. Anchors found in two or more documents set bits of a fixed-size bitmap, which is
-   broadcast (its size does not depend on the data; false bits only cost traffic).
-2. Around every anchor with its bit set, the words that windows over it can reach are kept
-   as a context.  Equal contexts of many documents are combined before any shuffle.
-3. Contexts are dealt into shards by anchor.  A shard confirms the windows that several
-   documents hold, compiles them into an Aho-Corasick automaton over word numbers, and
-   streams its contexts through it to find, for every window, the first document.
-4. Occurrences join their context's finds, and a document's words are dropped where a
-   window starts in a document of smaller id.
-
-Words are ``[^\\x20\\x09-\\x0D]+``.  A word number is 32 bits of its hash; a window is 13 of them.
+A window is ``WINDOW`` consecutive words of one document.
+
+1. Regions: a window's anchor is the ``ANCHOR``-word gram of least hash in it, so equal windows
+   have equal anchors and only a fifth of all positions are anchors.  Anchors of two or more
+   documents set bits of a bitmap of fixed size; runs of windows over such anchors are the only
+   parts of a document that can recur, and are kept with their words.
+2. Passages: the regions' windows are grouped by a 64-bit hash with minima and maxima combined
+   before the shuffle, so a window of very many documents is no hot group.  Windows of several
+   documents go back to their regions, which are cut into passages (runs that no smaller
+   document holds) and echoes (runs whose first holder is one smaller document).
+3. Automata: passages are dealt into shards by the document they begin in.  A shard numbers the
+   words of its passages, compiles their windows into an Aho-Corasick automaton and streams the
+   echoes through it, which confirms every occurrence word by word.  A shard with very many
+   echoes is dealt out to several tasks, each with the shard's passages.
+4. A document's words are dropped where a confirmed window starts.
+
+Words are ``[^\\x20\\x09-\\x0D]+``.  Two different windows of one 64-bit hash would be taken for one
+in step 2: then the automaton rejects the false echo, nothing is removed wrongly, but a true
+one may stay (chance n * n / 2 ** 65 for n recurring windows).
 
 Defined results: a null text has no words; a null id is never smaller or larger than
 another, so its words stay; rows of one id do not remove each other, and each loses only
 what its own text shares with smaller ids (a row is its id and the digest of its text);
 texts under 13 words stay whole; extra columns are ignored; an empty table gives no rows.
+Very long texts are worked on whole, each by one task, with some tens of bytes per byte.
 """
 
 from __future__ import annotations
@@ -32,171 +38,193 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomscribe.llm.common import Block, arrow_rows, blocks, keyed, release, staged, texts_of
+from loomscribe.llm.common import Block, arrow_rows, bitmap, blocks, in_bitmap, keyed, release, texts_of
+from loomscribe.sources.scratch import Workspace
 
 WINDOW, ANCHOR = 13, 5
-#: Anchors a window holds, and words a context reaches to either side of its anchor.
+#: Anchors before the last one that a window may have.
 REACH = WINDOW - ANCHOR
-#: The bitmap has 2 ** BITS bits (8 MB).
-BITS = 26
-#: Contexts per automaton; an anchor's own contexts are never split.
-SHARD_CONTEXTS = 4000
+#: Windows of a shard's passages and words of the echoes that one task streams, about.
+SHARD_WINDOWS, TASK_WORDS = 40_000, 2_000_000
 
 
-def anchors(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the anchors of all windows, their hashes, and all word hashes."""
+def anchors(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """The first words of all windows, and the hash of each window's anchor."""
     h = block.word_hash()
     n = len(h) - WINDOW + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), h
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     gram = np.zeros(len(h) - ANCHOR + 1, np.uint64)
     for j in range(ANCHOR):
         gram = gram * np.uint64(0xD6E8FEB86659FD93) + h[j : j + len(gram)]
     gram ^= gram >> np.uint64(29)
     gram *= np.uint64(0xBF58476D1CE4E5B9)
     gram ^= gram >> np.uint64(32)
-    least, place = gram[:n].copy(), np.zeros(n, np.int64)
+    least = gram[:n].copy()
     for j in range(1, REACH + 1):
-        smaller = gram[j : j + n] < least
-        np.copyto(least, gram[j : j + n], where=smaller)
-        place[smaller] = j
+        np.minimum(least, gram[j : j + n], out=least)
     starts = np.flatnonzero(block.doc[:n] == block.doc[WINDOW - 1 :])
-    at = starts + place[starts]
-    if len(at):
-        at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-    return at, gram[at], h
+    return starts, least[starts]
 
 
 def _anchor_rows(texts: DataFrame) -> DataFrame:
-    """``anchor, doc_id``: the distinct anchors of each text."""
+    """``anchor, doc_id``: the anchors of each text."""
     out = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch["doc_id"].to_numpy(zero_copy_only=False)
             for block in blocks(batch["text"]):
-                at, gram, _ = anchors(block)
-                yield arrow_rows(out, {"anchor": gram.view(np.int64), "doc_id": ids[block.first + block.doc[at]]})
+                starts, gram = anchors(block)
+                new = np.ones(len(gram), bool)
+                new[1:] = (gram[1:] != gram[:-1]) | (block.doc[starts[1:]] != block.doc[starts[:-1]])
+                yield arrow_rows(out, {"anchor": gram[new].view(np.int64), "doc_id": ids[block.first + block.doc[starts[new]]]})
 
     return texts.mapInArrow(rows, "anchor long, doc_id long")
 
 
-def recurring_bitmap(texts: DataFrame) -> np.ndarray:
-    """64-bit words of the bitmap of anchors that two or more documents hold."""
-    seen = _anchor_rows(texts).groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b")
-    bit = F.shiftrightunsigned("anchor", 64 - BITS)
-    one = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(anchor, {64 - BITS}) & 63 as int))")
-    found = seen.groupBy(F.shiftrightunsigned(bit, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
-    bitmap = np.zeros(1 << (BITS - 6), np.uint64)
-    bitmap[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return bitmap
+def recurring_anchors(texts: DataFrame) -> np.ndarray:
+    """The bitmap of anchors that two or more documents hold."""
+    seen = _anchor_rows(texts).groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    return bitmap(seen.filter("a < b").select("anchor"))
+
+
+def spans_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The byte spans of a text block as strings; spans begin and end with whole characters."""
+    size = end - start
+    ends = np.cumsum(size)
+    index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+    offsets = np.concatenate([[0], ends]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[index].tobytes())]).cast(pa.string())
 
 
-OCCURRENCES = "anchor long, context_id long, context binary, doc_id long, text_key long, first_word int"
-_OCCURRENCES = pa.schema([("anchor", pa.int64()), ("context_id", pa.int64()), ("context", pa.binary()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("first_word", pa.int32())])
+REGIONS = "doc_id long, text_key long, first_word long, words string"
+_REGIONS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("first_word", pa.int64()), ("words", pa.string())])
 
 
-def contexts(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """``OCCURRENCES``: the contexts of the anchors in the bitmap, by document and word."""
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+def regions(texts: DataFrame, recurring: np.ndarray) -> DataFrame:
+    """``REGIONS``: the runs of windows whose anchors recur, with their place in the document."""
+    shared = texts.sparkSession.sparkContext.broadcast(recurring)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for batch in batches:
             ids, keys = (batch[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key"))
             for block in blocks(batch["text"]):
-                at, gram, h = anchors(block)
-                bit = gram >> np.uint64(64 - BITS)
-                hit = (bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-                at, gram = at[hit], gram[hit]
-                bound = np.concatenate([[0], np.cumsum(block.n_words)])
-                doc = block.doc[at]
-                lo, hi = np.maximum(at - REACH, bound[doc]), np.minimum(at + WINDOW, bound[doc + 1])
-                numbers = (h >> np.uint64(32)).astype("<u4")
-                size = hi - lo
-                ends = np.cumsum(size)
-                index = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(lo, size)
-                offsets = np.concatenate([[0], 4 * ends]).astype(np.int32)
-                data = pa.py_buffer(numbers[index].tobytes())
-                context = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.tobytes()), data])
-                key = np.zeros(len(at), np.uint64)
-                for j in range(REACH + WINDOW):
-                    word = np.where(lo + j < hi, h[np.minimum(lo + j, len(h) - 1)], np.uint64(j)) if len(h) else key
-                    key = (key ^ word) * np.uint64(0x9FB21C651E98DF25)
-                    key ^= key >> np.uint64(28)
-                yield arrow_rows(
-                    _OCCURRENCES,
-                    {"anchor": gram.view(np.int64), "context_id": key.view(np.int64), "context": context}
-                    | {"doc_id": ids[block.first + doc], "text_key": keys[block.first + doc], "first_word": (lo - bound[doc]).astype(np.int32)},
-                )
-
-    return keyed(texts).mapInArrow(rows, OCCURRENCES)
-
-
-def locate(shard: list[tuple[int, bytes, int, int]]) -> Iterator[tuple[int, list[int], list[int]]]:
-    """For contexts ``(id, words, smallest doc, largest doc)`` of whole anchors: the places of
-    recurring windows in them and the smallest document of each."""
-    spread: dict[tuple, list[int]] = {}
-    words = [tuple(np.frombuffer(c, "<u4").tolist()) for _, c, _, _ in shard]
-    for seq, (_, _, small, large) in zip(words, shard, strict=True):
-        for i in range(len(seq) - WINDOW + 1):
-            known = spread.get(key := seq[i : i + WINDOW])
-            if known is None:
-                spread[key] = [small, large]
-            else:
-                if small < known[0]:
-                    known[0] = small
-                if large > known[1]:
-                    known[1] = large
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for key, (small, large) in spread.items():
-        if small < large:
-            automaton.add_word(key, small)
-    if not len(automaton):
-        return
-    automaton.make_automaton()
-    for seq, (context_id, _, _, large) in zip(words, shard, strict=True):
-        found = [(end - WINDOW + 1, first) for end, first in automaton.iter(seq) if first < large]
-        if found:
-            yield context_id, [i for i, _ in found], [first for _, first in found]
+                starts, gram = anchors(block)
+                starts = starts[in_bitmap(shared.value, gram)]
+                if not len(starts):
+                    continue
+                doc = block.doc[starts]
+                new = np.flatnonzero(np.concatenate([[True], (starts[1:] != starts[:-1] + 1) | (doc[1:] != doc[:-1])]))
+                first, last = starts[new], starts[np.append(new[1:], len(starts)) - 1] + WINDOW - 1
+                doc = doc[new]
+                before = np.concatenate([[0], np.cumsum(block.n_words)])[doc]
+                words = spans_of(block.data, block.start[first], block.end[last])
+                at = block.first + doc
+                yield arrow_rows(_REGIONS, {"doc_id": ids[at], "text_key": keys[at], "first_word": first - before, "words": words})
+
+    return keyed(texts).mapInArrow(rows, REGIONS).withColumn("region", F.monotonically_increasing_id())
+
+
+def _windows(found: DataFrame) -> DataFrame:
+    """``window, doc_id, region, at``: the hash and place of every window of the regions."""
+    out = pa.schema([("window", pa.int64()), ("doc_id", pa.int64()), ("region", pa.int64()), ("at", pa.int32())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, region = (batch[c].to_numpy() for c in ("doc_id", "region"))
+            for block in blocks(batch["words"]):
+                key, start = block.window_hash(block.word_hash(), WINDOW)
+                doc = block.doc[start]
+                at = start - np.concatenate([[0], np.cumsum(block.n_words)])[doc]
+                doc = doc + block.first
+                yield arrow_rows(out, {"window": key.view(np.int64), "doc_id": ids[doc], "region": region[doc], "at": at.astype(np.int32)})
 
+    return found.select("doc_id", "region", "words").mapInArrow(rows, "window long, doc_id long, region long, at int")
 
-FINDS = "context_id long, places array<int>, firsts array<long>"
-_FINDS = pa.schema([("context_id", pa.int64()), ("places", pa.list_(pa.int32())), ("firsts", pa.list_(pa.int64()))])
 
+RUNS = "first long, echo boolean, doc_id long, text_key long, first_word long, words string"
+_RUNS = pa.schema([("first", pa.int64()), ("echo", pa.bool_()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("first_word", pa.int64()), ("words", pa.string())])
 
-def find_repeats(occurrences: DataFrame) -> DataFrame:
-    """``FINDS`` of every distinct context, by automata over shards of anchors."""
-    one = occurrences.groupBy("anchor", "context_id", "context").agg(F.min("doc_id").alias("small"), F.max("doc_id").alias("large"))
-    sharded = one.repartition("anchor").sortWithinPartitions("anchor")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, last = [], None
+def runs(found: DataFrame) -> DataFrame:
+    """``RUNS``: passages and echoes, by the document that holds their windows first."""
+    windows = _windows(found)
+    several = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    hits = windows.join(several.select("window", "first"), "window").select("region", "at", "first")
+    placed = hits.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("at", "first"))).alias("hits"))
+    placed = placed.select("region", F.col("hits.at").alias("at"), F.col("hits.first").alias("of"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = (batch[c].to_pylist() for c in ("anchor", "context_id", "context", "small", "large"))
-            for anchor, *row in zip(*columns, strict=True):
-                if anchor != last and len(shard) >= SHARD_CONTEXTS:
-                    yield _finds(shard)
-                    shard = []
-                shard.append(row)
-                last = anchor
-        yield _finds(shard)
+            out = []
+            for doc_id, key, base, text, at, of in zip(*(batch[c] for c in ("doc_id", "text_key", "first_word", "words", "at", "of")), strict=True):
+                words = text.as_py().encode().split()
+                at, of = at.values.to_numpy(), of.values.to_numpy()
+                new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1])]))
+                last = np.append(new[1:], len(at)) - 1
+                doc_id, base = doc_id.as_py(), base.as_py()
+                for first, a, b in zip(of[new].tolist(), at[new].tolist(), at[last].tolist(), strict=True):
+                    out.append((first, first < doc_id, doc_id, key.as_py(), base + a, b" ".join(words[a : b + WINDOW]).decode()))
+            yield arrow_rows(_RUNS, {f.name: [r[i] for r in out] for i, f in enumerate(_RUNS)})
 
-    return sharded.mapInArrow(run, FINDS)
+    return found.join(placed, "region").select("doc_id", "text_key", "first_word", "words", "at", "of").mapInArrow(rows, RUNS)
 
 
-def _finds(shard: list) -> pa.RecordBatch:
-    found = list(locate(shard))
-    return arrow_rows(_FINDS, {f.name: [r[i] for r in found] for i, f in enumerate(_FINDS)})
+def compiled(passages: list[tuple[int, str]]) -> tuple[ahocorasick.Automaton, dict[str, int]]:
+    """The automaton of the windows of passages ``(document, words)``, and its word numbers."""
+    number: dict[str, int] = {}
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for first, text in passages:
+        seq = tuple(number.setdefault(w, len(number) + 1) for w in text.split(" "))
+        for i in range(len(seq) - WINDOW + 1):
+            automaton.add_word(seq[i : i + WINDOW], first)
+    automaton.make_automaton()
+    return automaton, number
+
+
+def occurrences(automaton: ahocorasick.Automaton, number: dict[str, int], doc_id: int, text: str) -> list[int]:
+    """Where in the words of a document windows start that a smaller document holds."""
+    if not len(automaton):
+        return []
+    seq = tuple(number.get(w, 0) for w in text.split(" "))
+    return [end - WINDOW + 1 for end, first in automaton.iter(seq) if first < doc_id]
+
 
+FOUND = "doc_id long, text_key long, starts array<long>"
+_FOUND = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("starts", pa.list_(pa.int64()))])
 
-def spans(occurrences: DataFrame, finds: DataFrame) -> DataFrame:
-    """``doc_id, text_key, starts``: the windows of a row that a smaller document also holds."""
-    hits = occurrences.select("context_id", "doc_id", "text_key", "first_word").join(finds, "context_id")
-    earlier = F.filter(F.arrays_zip("places", "firsts"), lambda w: w["firsts"] < F.col("doc_id"))
-    starts = F.transform(earlier, lambda w: w["places"] + F.col("first_word"))
-    hits = hits.select("doc_id", "text_key", starts.alias("some")).filter(F.size("some") > 0)
-    return hits.groupBy("doc_id", "text_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("some")))).alias("starts"))
+
+def locate(found: DataFrame, n_shards: int) -> DataFrame:
+    """``FOUND``: the confirmed windows of every echo, by automata over shards of passages."""
+    dealt = found.withColumn("shard", F.pmod(F.xxhash64("first"), F.lit(n_shards)).cast("int"))
+    load = dealt.filter("echo").groupBy("shard").agg(F.sum(F.length("words")).alias("chars"))
+    load = load.select("shard", F.ceil(F.col("chars") / (6 * TASK_WORDS)).cast("int").alias("tasks"))
+    dealt = dealt.join(load, "shard")
+    every = F.sequence(F.lit(0), F.col("tasks") - 1)
+    one = F.array(F.pmod(F.xxhash64("doc_id", "first_word"), F.col("tasks")).cast("int"))
+    dealt = dealt.withColumn("task", F.explode(F.when(F.col("echo"), one).otherwise(every)))
+    dealt = dealt.repartition("shard", "task").sortWithinPartitions("shard", "task", "echo").drop("tasks")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, passages, automaton, number = None, [], None, {}
+        for batch in batches:
+            out = []
+            names = ("shard", "task", "first", "echo", "doc_id", "text_key", "first_word", "words")
+            for shard, task, first, echo, doc_id, key, base, text in zip(*(batch[c].to_pylist() for c in names), strict=True):
+                if (shard, task) != now:
+                    now, passages, automaton = (shard, task), [], None
+                if not echo:
+                    passages.append((first, text))
+                    continue
+                if automaton is None:
+                    automaton, number = compiled(passages)
+                    passages = []
+                if starts := occurrences(automaton, number, doc_id, text):
+                    out.append((doc_id, key, [base + s for s in starts]))
+            yield arrow_rows(_FOUND, {f.name: [r[i] for r in out] for i, f in enumerate(_FOUND)})
+
+    return dealt.mapInArrow(rows, FOUND)
 
 
 def deduplicate(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -204,11 +232,18 @@ def deduplicate(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFr
     words joined by one space, and their digest."""
     texts = texts_of(docs)
     known = texts.filter("doc_id is not null")
-    bitmap = recurring_bitmap(known)
+    work = Workspace(docs.sparkSession, "substring")
+    found = work.save(regions(known, recurring_anchors(known)), "regions")
+    release(docs.sparkSession)
+    windows = F.sum(F.when(~F.col("echo"), F.size(F.split("words", " ")) - WINDOW + 1).otherwise(0))
+    found, size = work.save(runs(found), "runs", windows=windows)
+    work.drop("regions")
+    release(docs.sparkSession)
+    located = work.save(locate(found, 1 + (size["windows"] or 0) // SHARD_WINDOWS), "located")
+    work.drop("runs")
     release(docs.sparkSession)
-    occurrences = staged(contexts(known, bitmap), "contexts")
-    finds = staged(find_repeats(occurrences), "finds")
-    starts = spans(occurrences, finds).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_of"), F.col("starts").alias("_starts"))
+    starts = located.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("_starts"))
+    starts = starts.withColumnsRenamed({"doc_id": "_id", "text_key": "_of"})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(c for c in carry if c != "doc_id"), F.coalesce("text", F.lit("")).alias("_text"))
     here = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("_text") == F.col("_of"))
     marked = rows.join(starts, here, "left").drop("_id", "_of")

@@ -157,3 +157,27 @@ def test_arc_versions_and_declared_lengths():
     data += b"\nhttp://x/ 1.2.3.4 19960102030405 text/html %d\n" % len(body) + body + b"\n"
     (record,) = warc.parse_arc(data)
     assert (record["payload"], record["date"], record["page_id"]) == (b"ab\n\ncd", "19960102030405", None)
+
+
+def test_token_counts_over_many_partitions_with_repeated_and_null_ids(spark):
+    rows = [(1, "a b"), (1, "a b"), (None, "c\nd"), (2, None), (3, "x" * 300_000), (4, "yes " * 50_000 + "no")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    spark.conf.set("spark.sql.shuffle.partitions", 211)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = tokens.token_counts(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    library = Tokenizer.from_file(tokens.VOCABULARY)
+    expected = [(i, len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows]
+    assert sorted(((r.doc_id, r.n_tokens) for r in got), key=str) == sorted(expected, key=str)
+
+
+def test_bitmap_holds_what_was_put_in(spark):
+    import numpy as np
+
+    keys = np.random.default_rng(3).integers(-(2**63), 2**63, 500)
+    words = common.bitmap(spark.createDataFrame([(int(k),) for k in keys[:300]], "key long"))
+    found = common.in_bitmap(words, keys.view(np.uint64))
+    assert found[:300].all() and found[300:].mean() < 0.05
