@@ -67,17 +67,53 @@ def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(documents(spark, ["x"]).limit(0)).count() == 0
 
 
-def test_register_estimates_are_close():
+def fine_group(texts, k, component=None):
     import pyarrow as pa
 
-    rng = np.random.default_rng(1)
-    words = rng.integers(0, 10**9, 3000)
-    texts = [" ".join(map(str, words[:2000])), " ".join(map(str, words[200:2200]))]
     (block,) = minhash.lowered(pa.array(texts))
-    key, doc = minhash.shingles(block, 1)
-    r = minhash.registers(key, doc, 2)
-    n = np.bincount(doc).astype(float)
-    assert abs(minhash.estimate(r[:1], r[1:], n[:1], n[1:])[0] - 1800 / 2200) < 0.15
+    key, doc = minhash.shingles(block, k)
+    ids, part = np.arange(len(texts)), np.zeros(len(texts), int)
+    n = np.bincount(doc, minlength=len(texts))
+    group = minhash.Group(ids, ids if component is None else component, n, minhash.fine_registers(key, doc, len(texts)), part, 80)
+    return group, np.split(key, np.searchsorted(doc, np.arange(1, len(texts))))
+
+
+def test_estimates_are_close():
+    words = np.random.default_rng(1).integers(0, 10**9, 9000)
+    for a, b in (((0, 2000), (200, 2200)), ((0, 8000), (500, 8600))):
+        group, (x, y) = fine_group([" ".join(map(str, words[a[0] : a[1]])), " ".join(map(str, words[b[0] : b[1]]))], 1)
+        j, estimate = group.judge(0)
+        exact = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+        assert len(j) == 1 and abs(estimate[0] - exact) < 0.05
+
+
+def test_no_pair_over_the_threshold_is_rejected():
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts = []
+    for size in (6, 20, 60, 250, 1000, 3000):
+        base = [rng.choice(vocabulary) for _ in range(size)]
+        for edit in range(14):
+            copy = list(base)
+            for _ in range(edit * size // 160):
+                copy[rng.randrange(size)] = rng.choice(vocabulary)
+            texts.append(" ".join(copy))
+    group, sets = fine_group(texts, 4)
+    kept, possible = set(zip(*group.pairs(False))), 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            common = len(np.intersect1d(a, sets[j]))
+            if 100 * common >= 80 * (len(a) + len(sets[j]) - common):
+                possible += 1
+                assert (j, i) in kept
+    assert possible > 100 and len(kept) < 3 * possible
+
+
+def test_groups_in_several_cells_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CELL", 3)
+    texts = family_texts(21, 60) + ["same words here again now"] * 9
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, texts), k=4).collect()}
+    assert got == {i: c for i, (_, c) in enumerate(brute_components(texts))}
 
 
 def brute_repeats(texts, k=13):
