@@ -2,6 +2,8 @@
 
 A window is ``WINDOW`` consecutive words of one document.
 
+0. Copies: a text that a smaller document also is, by 128 bits of hash, is one echo as a whole
+   and leaves the other steps.
 1. Regions: a window's anchor is the ``ANCHOR``-word gram of least hash in it, so equal windows
    have equal anchors and only a fifth of all positions are anchors.  Anchors of two or more
    documents set bits of a bitmap of fixed size; runs of windows over such anchors are the only
@@ -44,6 +46,8 @@ from loomscribe.sources.scratch import Workspace
 WINDOW, ANCHOR = 13, 5
 #: Anchors before the last one that a window may have.
 REACH = WINDOW - ANCHOR
+#: Rows of copies (16 bytes each) that may be broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Windows of a shard's passages and words of the echoes that one task streams, about.
 SHARD_WINDOWS, TASK_WORDS = 40_000, 2_000_000
 
@@ -123,11 +127,12 @@ def regions(texts: DataFrame, recurring: np.ndarray) -> DataFrame:
                 at = block.first + doc
                 yield arrow_rows(_REGIONS, {"doc_id": ids[at], "text_key": keys[at], "first_word": first - before, "words": words})
 
-    return keyed(texts).mapInArrow(rows, REGIONS).withColumn("region", F.monotonically_increasing_id())
+    return texts.mapInArrow(rows, REGIONS).withColumn("region", F.monotonically_increasing_id())
 
 
-def _windows(found: DataFrame) -> DataFrame:
-    """``window, doc_id, region, at``: the hash and place of every window of the regions."""
+def _windows(found: DataFrame, recurring: np.ndarray | None = None) -> DataFrame:
+    """``window, doc_id, region, at``: the hash and place of the regions' windows, of all or of those in a bitmap."""
+    shared = found.sparkSession.sparkContext.broadcast(recurring)
     out = pa.schema([("window", pa.int64()), ("doc_id", pa.int64()), ("region", pa.int64()), ("at", pa.int32())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,6 +140,9 @@ def _windows(found: DataFrame) -> DataFrame:
             ids, region = (batch[c].to_numpy() for c in ("doc_id", "region"))
             for block in blocks(batch["words"]):
                 key, start = block.window_hash(block.word_hash(), WINDOW)
+                if shared.value is not None:
+                    some = in_bitmap(shared.value, key)
+                    key, start = key[some], start[some]
                 doc = block.doc[start]
                 at = start - np.concatenate([[0], np.cumsum(block.n_words)])[doc]
                 doc = doc + block.first
@@ -147,11 +155,16 @@ RUNS = "first long, echo boolean, doc_id long, text_key long, first_word long, w
 _RUNS = pa.schema([("first", pa.int64()), ("echo", pa.bool_()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("first_word", pa.int64()), ("words", pa.string())])
 
 
-def runs(found: DataFrame) -> DataFrame:
+def recurring_windows(found: DataFrame) -> DataFrame:
+    """``window, first``: the windows of two or more documents, and the smallest of these."""
+    several = _windows(found).groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    return several.filter("first < last").select("window", "first")
+
+
+def runs(found: DataFrame, several: DataFrame) -> DataFrame:
     """``RUNS``: passages and echoes, by the document that holds their windows first."""
-    windows = _windows(found)
-    several = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    hits = windows.join(several.select("window", "first"), "window").select("region", "at", "first")
+    windows = _windows(found, bitmap(several.select("window")))
+    hits = windows.join(several, "window").select("region", "at", "first")
     placed = hits.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("at", "first"))).alias("hits"))
     placed = placed.select("region", F.col("hits.at").alias("at"), F.col("hits.first").alias("of"))
 
@@ -227,22 +240,39 @@ def locate(found: DataFrame, n_shards: int) -> DataFrame:
     return dealt.mapInArrow(rows, FOUND)
 
 
+def copies(texts: DataFrame) -> DataFrame:
+    """``doc_id, text_key``: the rows whose whole text a smaller document also is."""
+    hashed = keyed(texts).select("doc_id", "text_key", F.xxhash64("text", F.lit(WINDOW)).alias("more"))
+    first = hashed.groupBy("text_key", "more").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    return hashed.join(first.drop("last"), ["text_key", "more"]).filter("first < doc_id").select("doc_id", "text_key").distinct()
+
+
+def without(texts: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """The texts but for ``n`` rows, which are broadcast if few enough, else joined by shuffle."""
+    return keyed(texts).join(F.broadcast(rows) if n <= BROADCAST_ROWS else rows, ["doc_id", "text_key"], "left_anti")
+
+
 def deduplicate(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per row of ``docs``: the columns to ``carry`` (``doc_id`` among them), counts, the kept
     words joined by one space, and their digest."""
-    texts = texts_of(docs)
+    spark, texts = docs.sparkSession, texts_of(docs)
     known = texts.filter("doc_id is not null")
-    work = Workspace(docs.sparkSession, "substring")
+    work = Workspace(spark, "substring")
+    same, size = work.save(copies(known), "copies", n=F.count(F.lit(1)))
+    known = without(known, same, size["n"])
     found = work.save(regions(known, recurring_anchors(known)), "regions")
-    release(docs.sparkSession)
+    release(spark)
+    several = work.save(recurring_windows(found), "windows")
+    release(spark)
     windows = F.sum(F.when(~F.col("echo"), F.size(F.split("words", " ")) - WINDOW + 1).otherwise(0))
-    found, size = work.save(runs(found), "runs", windows=windows)
-    work.drop("regions")
-    release(docs.sparkSession)
+    found, size = work.save(runs(found, several), "runs", windows=windows)
+    work.drop("regions", "windows")
+    release(spark)
     located = work.save(locate(found, 1 + (size["windows"] or 0) // SHARD_WINDOWS), "located")
     work.drop("runs")
-    release(docs.sparkSession)
+    release(spark)
     starts = located.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("_starts"))
+    starts = starts.withColumn("_copy", F.lit(False)).union(same.select("doc_id", "text_key", F.lit(None).cast("array<long>"), F.lit(True)))
     starts = starts.withColumnsRenamed({"doc_id": "_id", "text_key": "_of"})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(c for c in carry if c != "doc_id"), F.coalesce("text", F.lit("")).alias("_text"))
     here = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("_text") == F.col("_of"))
@@ -254,10 +284,12 @@ def deduplicate(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFr
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for text, at in zip(batch["_text"], batch["_starts"], strict=True):
+            for text, at, copy in zip(batch["_text"], batch["_starts"], batch["_copy"].to_pylist(), strict=True):
                 words = text.as_py().encode().split()
                 n = len(words)
-                if at.is_valid:
+                if copy and n >= WINDOW:
+                    words = []
+                elif at.is_valid:
                     edge = np.zeros(n + 1, np.int64)
                     edge[at.values.to_numpy()] += 1
                     edge[at.values.to_numpy() + WINDOW] -= 1
