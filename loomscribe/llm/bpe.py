@@ -1,46 +1,56 @@
 """Byte-level BPE encoding and decoding with Spark higher-order functions.
 
-The bytes of a word are an array of pieces (in hexadecimal, so that concatenating pieces
-concatenates bytes).  A fold over the array looks up the rank of every adjacent pair in a
-literal rank map, merges the leftmost pair of lowest rank, and looks up the two pairs it
-touches, until no pair has a rank; what is left are the tokens.  Decoding concatenates the
-binary pieces of the ids.  Spark finds keys of a literal map by scanning, so the rank map
-is a literal array of small maps, the bucket of a key being its hash.
-
-Only distinct words are folded: each Arrow batch of texts becomes one row with the batch's
-texts and distinct words (``BATCH_BYTES`` of text at most, or one longer text), the words are
-encoded and decoded by the fold, and the next step puts the texts together.  Nothing is
-shuffled, and memory is bounded by the batch.
-
-Texts are cut before single spaces and line breaks between non-space characters, over which
-no word of the pattern reaches, and the pattern runs on distinct cuts only.
-
-Defined results: null and empty texts have no tokens; repeated rows and ids are encoded each;
-extra columns are ignored; an empty table gives no rows.
+A word is an array of bytes.  They become the ids of single bytes, and a fold over the array
+merges, at every step, the leftmost adjacent pair of lowest rank: the rank of a pair (which is
+also the id of the merged piece) comes from a literal rank map, and only the two pairs that a
+merge touches are looked up again.  What is left when no pair has a rank are the tokens.
+Decoding concatenates the binary pieces of the ids.  Spark finds keys of a literal map by
+scanning, so the rank map is two literal arrays of buckets, one of pairs and one of their ranks.
+
+Words are folded once for many texts.  The most frequent words of the corpus, at most ``TABLE``
+of at most ``MAX_ENTRY_BYTES`` (some 60 MB of a Python worker), are folded first and broadcast.
+Then texts go through in chunks of ``CHUNK_BYTES``: a chunk is a row with its texts and those of
+its distinct words that the table lacks, the fold encodes and decodes these, and the next step
+puts the texts together.  No word occurrence is shuffled.  A word that is a token needs no fold.
+Each step of the fold copies the word, so words of more than ``LONG`` bytes are merged in the
+same order by a priority queue instead, which takes n log n steps.
+
+Texts are cut at single spaces and before line breaks, over which no word of the pattern
+reaches (``common.pieces``), and the pattern runs on distinct pieces only.
+
+Defined results: null and empty texts have no tokens; ids may be null, repeated rows and ids are
+encoded each; extra columns are ignored; an empty table gives no rows; a text longer than a
+chunk is a chunk of its own.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
-import re
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomscribe.llm.common import arrow_rows, texts_of
+from loomscribe.llm.common import arrow_rows, clean, frequent, pieces, texts_of, uneven_pieces
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-BUCKETS = 1 << 15
-BATCH_BYTES = 32 << 20
+BUCKETS = 1 << 16
+TABLE, MAX_ENTRY_BYTES = 1 << 18, 48
+CHUNK_BYTES = 3 << 20
+LONG = 128
+#: Pieces that a Python worker remembers.
+CACHE_ENTRIES = 300_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _WORD = regex.compile(public_tokenizers.PATTERN)
 
 
@@ -49,129 +59,271 @@ def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` over a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 class RankMap:
-    """The literal rank map and the literal pieces by id."""
-
-    def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
-        rows = spark.createDataFrame([(k.hex().upper(), r) for k, r in ranks.items()], "piece string, rank int")
-        buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-        for piece, rank, bucket in rows.select("piece", "rank", F.pmod(F.hash("piece"), F.lit(BUCKETS))).collect():
-            buckets[bucket][piece] = rank
-        pieces = [""] * (max(ranks.values()) + 1)
-        for piece, rank in ranks.items():
-            pieces[rank] = piece.hex().upper()
-        self.buckets = F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
-        self.pieces = F.split(F.lit(",".join(pieces)), ",")
-
-    def rank(self, piece: Column) -> Column:
-        bucket = F.element_at(self.buckets, F.pmod(F.hash(piece), F.lit(BUCKETS)) + 1)
-        return F.try_element_at(bucket, piece)
+    """The literal rank map over pairs of ids, and the literal pieces by id."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pairs: list[list[int]] = [[] for _ in range(BUCKETS)]
+        values: list[list[int]] = [[] for _ in range(BUCKETS)]
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                a, b = ranks.get(token[:i]), ranks.get(token[i:])
+                if a is not None and b is not None:
+                    pairs[(a * 40503 + b) % BUCKETS].append(a << 20 | b)
+                    values[(a * 40503 + b) % BUCKETS].append(rank)
+        pieces_of = [""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            pieces_of[rank] = token.hex().upper()
+        self.pairs, self.values = (
+            F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), f"array<array<{kind}>>") for x, kind in ((pairs, "bigint"), (values, "int"))
+        )
+        self.bytes = F.lit([ranks[bytes([b])] for b in range(256)])
+        self.pieces = F.split(F.lit(",".join(pieces_of)), ",")
+
+    def rank(self, a: Column, b: Column) -> Column:
+        """The rank of a pair of ids, null if it has none or one of them is null."""
+        a = a.cast("long")
+        bucket = ((a * 40503 + b) % BUCKETS).cast("int")
+        at = F.array_position(F.get(self.pairs, bucket), a * (1 << 20) + b).cast("int")
+        return F.get(F.get(self.values, bucket), at - 1)
 
     def encode(self, word: Column) -> Column:
-        """The ids of a word (a string column)."""
-        code = F.hex(F.encode(word, "utf-8"))
-        size = F.expr("array()").cast("array<int>")
-
-        def pieces(c: Column) -> Column:
-            return F.transform(F.sequence(F.lit(1), F.length(c) - 1, F.lit(2)), lambda i: F.substring(c, i, F.lit(2)))
-
-        def start(p: Column) -> Column:
-            pairs = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: self.rank(F.concat(F.element_at(p, i), F.element_at(p, i + 1))))
-            return F.struct(p.alias("p"), F.when(F.size(p) > 1, pairs).otherwise(size).alias("r"), F.lit(0).alias("at"))
-
-        def fold(state: Column, _: Column) -> Column:
-            p, r, at = state["p"], state["r"], state["at"]
-            merged = F.concat(F.element_at(p, at), F.element_at(p, at + 1))
-            before = F.when(at > 1, F.array(self.rank(F.concat(F.try_element_at(p, at - 1), merged)))).otherwise(size)
-            after = F.when(at + 1 < F.size(p), F.array(self.rank(F.concat(merged, F.try_element_at(p, at + 2))))).otherwise(size)
-            joined = F.struct(
-                F.concat(F.slice(p, F.lit(1), at - 1), F.array(merged), F.slice(p, at + 2, F.size(p))).alias("p"),
-                F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(r, at + 2, F.size(r))).alias("r"),
-                F.lit(0).alias("at"),
+        """The ids of a word (an array of byte values)."""
+        none = F.expr("array()").cast("array<int>")
+
+        def state(p: Column) -> Column:
+            return F.struct(p.alias("p"), F.zip_with(p, F.slice(p, 2, F.size(p)), self.rank).alias("r"))
+
+        def merge(s: Column, least: Column, at: Column) -> Column:
+            p, r = s["p"], s["r"]
+            before = F.when(at > 1, F.array(self.rank(F.get(p, at - 2), least))).otherwise(none)
+            return F.struct(
+                F.concat(F.slice(p, F.lit(1), at - 1), F.array(least), F.slice(p, at + 2, F.size(p))).alias("p"),
+                F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), before, F.array(self.rank(least, F.get(p, at + 1))), F.slice(r, at + 2, F.size(r))).alias("r"),
             )
-            chosen = F.struct(p.alias("p"), r.alias("r"), F.array_position(r, F.array_min(r)).cast("int").alias("at"))
-            return F.when(at.isNull(), state).when(at == 0, chosen).otherwise(joined)
 
-        def merged(p: Column) -> Column:
-            return F.transform(F.aggregate(F.sequence(F.lit(1), F.size(p) * 2), start(p), fold, lambda s: s["p"]), self.rank)
+        def step(s: Column, _: Column) -> Column:
+            found = lambda least: F.when(least.isNull(), s).otherwise(_let(F.array_position(s["r"], least).cast("int"), lambda at: merge(s, least, at)))
+            return _let(F.array_min(s["r"]), found)
 
-        whole = self.rank(code)
-        parts = F.element_at(F.transform(F.array(pieces(code)), merged), 1)
-        return F.when(F.length(code) == 0, size).when(whole.isNotNull(), F.array(whole)).otherwise(parts)
+        start = state(F.transform(word, lambda b: F.get(self.bytes, b.cast("int"))))
+        return F.when(F.size(word) == 0, none).otherwise(F.aggregate(F.slice(word, 2, F.size(word)), start, step, lambda s: s["p"]))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of ids."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(self.pieces, i + 1)), ""))
+        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""))
+
+
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a long word: the same merges in the same order, by a priority queue."""
+    n, longest = len(word), max(map(len, ranks))
+    end, before, whole = list(range(1, n + 1)), list(range(-1, n)), [True] * n
+    queue: list[tuple[int, int, int]] = []
+
+    def offer(start: int, stop: int) -> None:
+        if stop - start <= longest and (rank := ranks.get(word[start:stop])) is not None:
+            heapq.heappush(queue, (rank, start, stop))
+
+    for i in range(n - 1):
+        offer(i, i + 2)
+    while queue:
+        _, i, stop = heapq.heappop(queue)
+        j = end[i] if whole[i] else n
+        if j >= n or end[j] != stop or not whole[j]:
+            continue
+        whole[j], end[i] = False, stop
+        if stop < n:
+            before[stop] = i
+            offer(i, end[stop])
+        if before[i] >= 0:
+            offer(before[i], stop)
+    found, i = [], 0
+    while i < n:
+        found.append(ranks[word[i : end[i]]])
+        i = end[i]
+    return found
+
+
+def words_of(piece: str, first: bool = False) -> list[str]:
+    """The words of a piece that stands in a text, with the space it follows on."""
+    return _WORD.findall(piece if first or piece[:1] == "\n" else " " + piece)
 
 
-def words_of(text: str, known: dict[str, list[str]]) -> list[list[str]]:
-    """The words of a text, by cut; ``known`` remembers cuts."""
-    found = []
-    for part in _CUT.split(text):
-        words = known.get(part)
-        if words is None:
-            words = known[part] = _WORD.findall(part)
-        found.append(words)
+def frequent_words(texts: DataFrame, ranks: dict[bytes, int]) -> list[str]:
+    """The most frequent words that are no tokens."""
+
+    def items(counts: Counter) -> Counter:
+        found: Counter = Counter()
+        for piece, n in counts.items():
+            if len(piece) <= MAX_ENTRY_BYTES:
+                for word in words_of(piece):
+                    found[word] += n
+        return Counter({w: n for w, n in found.items() if w.encode() not in ranks})
+
+    return frequent(texts, items, TABLE, MAX_ENTRY_BYTES)
+
+
+def _values(words: list[bytes]) -> pa.Array:
+    """Byte arrays of words."""
+    sizes = np.fromiter(map(len, words), np.int32, len(words))
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int16)))
+
+
+Token = tuple[str, int, bytes]
+
+
+class Reader:
+    """What a Python worker knows of words and pieces: ids joined by commas, their number, and bytes."""
+
+    def __init__(self, table: dict[str, Token], ranks: dict[bytes, int]):
+        self.table, self.ranks = table, ranks
+        self.known: dict[str, Token] = {}
+        self.plain: set[str] = set()
+
+    def parts(self, text: str) -> tuple[list[str], list[str]]:
+        """Parts that stand as they are, and pieces that follow on after a space or line break."""
+        first, *rest = pieces(text)
+        if rest and not (clean(first) and all(p in self.plain or clean(p) for p in rest)):
+            return uneven_pieces(text), []
+        return [first] if first else [], rest
+
+    def direct(self, word: str) -> bool:
+        """Is a word known without the fold: by the table, as a token, or as too long for it."""
+        return word in self.table or (raw := word.encode()) in self.ranks or len(raw) > LONG
+
+    def lacking(self, texts: list[str]) -> list[bytes]:
+        """The distinct words of the texts that must be folded."""
+        if len(self.plain) > CACHE_ENTRIES:
+            self.plain.clear()
+        seen: set[str] = set()
+        found: set[str] = set()
+        for text in texts:
+            alone, rest = self.parts(text)
+            for part in alone:
+                found.update(w for w in words_of(part, True) if not self.direct(w))
+            new = set(rest).difference(self.plain, seen)
+            for piece in new:
+                words = [w for w in words_of(piece) if not self.direct(w)]
+                if words:
+                    found.update(words)
+                else:
+                    self.plain.add(piece)
+            seen |= new
+        return [w.encode() for w in found]
+
+    def token(self, word: str, folded: dict[str, Token]) -> Token:
+        found = self.table.get(word) or folded.get(word)
+        if found is None:
+            raw = word.encode()
+            ids = [self.ranks[raw]] if raw in self.ranks else merged(raw, self.ranks)
+            found = ",".join(map(str, ids)), len(ids), raw
+        return found
+
+    def joined(self, words: list[str], folded: dict[str, Token]) -> Token:
+        found = [self.token(w, folded) for w in words]
+        return ",".join([f[0] for f in found]), sum([f[1] for f in found]), b"".join([f[2] for f in found])
+
+    def encode(self, text: str, folded: dict[str, Token]) -> tuple[int, str, str]:
+        """The number of ids, and the digests of the ids and of their bytes."""
+        alone, rest = self.parts(text)
+        tokens = [self.joined(words_of(part, True), folded) for part in alone]
+        for piece in set(rest).difference(self.known):
+            self.known[piece] = self.joined(words_of(piece), folded)
+        tokens += map(self.known.__getitem__, rest)
+        ids = ",".join([t[0] for t in tokens if t[1]])
+        return sum([t[1] for t in tokens]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([t[2] for t in tokens])).hexdigest()
+
+
+class _Shared:
+    """A broadcast with a name that no other job's has."""
+
+    def __init__(self, broadcast):
+        self.broadcast, self.key = broadcast, uuid.uuid4().hex
+
+
+_readers: dict[str, Reader] = {}
+
+
+def reader(shared) -> Reader:
+    """The worker's reader of a broadcast table and ranks; later tasks of the worker use it again."""
+    found = _readers.get(shared.key)
+    if found is None:
+        _readers.clear()
+        found = _readers[shared.key] = Reader(*shared.broadcast.value)
     return found
 
 
-def _batched(texts: DataFrame) -> DataFrame:
-    """``ids, texts, words``: one row per batch."""
-    out = pa.schema([("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.string())), ("words", pa.list_(pa.string()))])
+def word_table(texts: DataFrame, ranks: RankMap, words: list[str]) -> dict[str, Token]:
+    """The tokens of words of bounded number and length, folded by Spark in groups."""
+    if not words:
+        return {}
+    bounds = [*range(0, len(words), 2048), len(words)]
+    groups = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), _values([w.encode() for w in words]))
+    frame = texts.sparkSession.createDataFrame(pa.table({"words": groups})).repartition(len(groups))
+    frame = frame.select(F.transform("words", ranks.encode).alias("ids"))
+    found = frame.select(*_joined(ranks)).toArrow().combine_chunks()
+    columns = (found[c].combine_chunks().flatten().to_pylist() for c in ("word_ids", "sizes", "decoded"))
+    return {raw.decode(): (ids, n, raw) for ids, n, raw in zip(*columns, strict=True)}
+
+
+def _joined(ranks: RankMap) -> list[Column]:
+    """Of ``ids`` (arrays by word): joined by commas, their numbers, and the bytes they stand for."""
+    return [
+        F.transform("ids", lambda w: F.array_join(w.cast("array<string>"), ",")).alias("word_ids"),
+        F.transform("ids", F.size).alias("sizes"),
+        F.transform("ids", ranks.decode).alias("decoded"),
+    ]
+
+
+def _chunks(texts: DataFrame, shared: _Shared) -> DataFrame:
+    """``doc_ids, texts, words``: one row per chunk."""
+    out = pa.schema([("doc_ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.string())), ("words", pa.list_(pa.list_(pa.int16())))])
 
     def row(ids: list, bodies: list[str]) -> pa.RecordBatch:
-        known: dict[str, list[str]] = {}
-        for text in bodies:
-            words_of(text, known)
-        return arrow_rows(out, {"ids": [ids], "texts": [bodies], "words": [list({w for words in known.values() for w in words})]})
+        words = _values(reader(shared).lacking(bodies))
+        return arrow_rows(out, {"doc_ids": [ids], "texts": [bodies], "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, bodies, size = [], [], 0
         for batch in batches:
-            ids, bodies, size = [], [], 0
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                if bodies and size + len(text) > BATCH_BYTES:
+                if bodies and size + len(text) > CHUNK_BYTES:
                     yield row(ids, bodies)
                     ids, bodies, size = [], [], 0
                 ids.append(doc_id)
                 bodies.append(text)
                 size += len(text)
+        if bodies:
             yield row(ids, bodies)
 
-    return texts.mapInArrow(run, "ids array<long>, texts array<string>, words array<string>")
+    return texts.mapInArrow(run, "doc_ids array<long>, texts array<string>, words array<array<smallint>>")
 
 
 def encode_documents(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """``SCHEMA``: token counts and digests of the ids and of what they decode to."""
-    ranks = RankMap(docs.sparkSession, read_ranks(path))
-    encoded = _batched(texts_of(docs)).withColumn("word_ids", F.transform("words", ranks.encode))
-    encoded = encoded.select(
-        "ids",
-        "texts",
-        "words",
-        F.transform("word_ids", lambda w: F.array_join(w.cast("array<string>"), ",")).alias("word_ids"),
-        F.transform("word_ids", F.size).alias("sizes"),
-        F.transform("word_ids", ranks.decode).alias("decoded"),
-    )
+    plain, texts = read_ranks(path), texts_of(docs)
+    ranks = RankMap(plain)
+    table = word_table(texts, ranks, frequent_words(texts, plain))
+    shared = _Shared(docs.sparkSession.sparkContext.broadcast((table, plain)))
+    encoded = _chunks(texts, shared).select("doc_ids", "texts", F.transform("words", ranks.encode).alias("ids"))
+    encoded = encoded.select("doc_ids", "texts", *_joined(ranks))
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                ids, texts, words, word_ids, sizes, decoded = (batch[c][i].as_py() for c in ("ids", "texts", "words", "word_ids", "sizes", "decoded"))
-                table = dict(zip(words, zip(word_ids, sizes, decoded, strict=True), strict=True))
-                rows, known, cuts = [], {}, {}
-                for doc_id, text in zip(ids, texts, strict=True):
-                    n, joined, raw = 0, [], []
-                    for part in _CUT.split(text):
-                        cut = cuts.get(part)
-                        if cut is None:
-                            found = [table[w] for words in words_of(part, known) for w in words]
-                            cut = cuts[part] = (",".join(f[0] for f in found), sum(f[1] for f in found), b"".join(f[2] for f in found))
-                        if cut[1]:
-                            joined.append(cut[0])
-                            n += cut[1]
-                            raw.append(cut[2])
-                    rows.append((doc_id, n, hashlib.sha256(",".join(joined).encode()).hexdigest(), hashlib.sha256(b"".join(raw)).hexdigest()))
+                doc_ids, bodies, ids, sizes, decoded = (batch[c][i].as_py() for c in ("doc_ids", "texts", "word_ids", "sizes", "decoded"))
+                folded = {raw.decode(): (w, n, raw) for w, n, raw in zip(ids, sizes, decoded, strict=True)}
+                by = reader(shared)
+                if len(by.known) > CACHE_ENTRIES:
+                    by.known.clear()
+                rows = [(doc_id, *by.encode(text, folded)) for doc_id, text in zip(doc_ids, bodies, strict=True)]
                 yield arrow_rows(out, {f.name: [r[k] for r in rows] for k, f in enumerate(out)})
 
     return encoded.mapInArrow(assemble, SCHEMA)

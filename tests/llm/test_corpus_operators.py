@@ -276,3 +276,17 @@ def test_pipeline_cut_stage_matches_brute_force(spark):
     docs = documents(spark, [f"start {passage} end", f"other {passage} tail", passage, "plain  text"]).drop("component")
     got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
     assert got == {0: f"start {passage} end", 1: "other tail", 3: "plain  text"}
+
+
+def test_bpe_merges_long_words_like_the_library(spark):
+    rng = random.Random(12)
+    texts = ["a" * 3000, "".join(rng.choice("abcdeéß漢") for _ in range(100_000)), "x" * 127 + " " + "y" * 129, "the\nThe  the\t"]
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)] + [(None, None)], "doc_id long, text string")
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(), special_tokens={})
+    got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_documents(docs).collect()}
+    want = set()
+    for i, t in [(i // 2, t) for i, t in enumerate(texts)] + [(None, "")]:
+        ids = library.encode_ordinary(t)
+        want.add((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    assert got == want
+    assert bpe.encode_documents(docs.limit(0)).count() == 0
