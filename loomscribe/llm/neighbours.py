@@ -2,21 +2,26 @@
 
 Vectors are lifted by one coordinate to equal norms, which turns the largest inner product
 into the smallest angle, and hashed by ``ROTATIONS`` learned rotations: principal axes, then
-alternating sign codes and orthogonal fits (iterative quantization).  The codes' bytes are
-the substrings.  Rows are dealt into blocks; every block indexes each substring by its value.
-A code within Hamming radius r of a query's has, in one of m substrings, at most r // m
-differing bits, so probing the values that near retrieves every such code of the block.
-They are reranked on the original vectors in double precision.  Queries with fewer than k
-finds are repeated at full radius, so no query lacks rows.
-
-Queries go through in chunks of at most ``CHUNK``, each broadcast; a block returns k rows per
-query, so what is shuffled is small and no list of candidates leaves its task.
+alternating sign codes and orthogonal fits (iterative quantization).  A code is split into
+substrings of ``SUBSTRING`` bits.  Rows are dealt into blocks, and a block indexes each
+substring by its value.  A query probes, in every substring, all values within ``PROBE`` bits
+of its own; by the pigeonhole principle that retrieves every code within a Hamming radius of
+m * (PROBE + 1) - 1 for m substrings, and many beyond it.  What is found is reranked on the
+original vectors in double precision.  If a probe finds fewer than ``LEAST`` rows of a block,
+it goes on with one more bit, so small blocks are read more widely and no query lacks rows.
+
+Queries travel in chunks of at most ``CHUNK``, each with every block; one shuffle serves all
+chunks, a task holds one block's index and streams chunks through it, and a block returns at
+most k rows per query, so no list of candidates leaves its task.
 
 The rotations are fitted on the ``SAMPLE`` vectors of least id hash; every vector is indexed.
+On isotropic vectors the default reads about 23 % of the rows for a recall over 0.9.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or
-non-finite components take no part, nor do null ids; equal scores go to the smaller id;
-rows of one id are not each other's neighbours; an empty table gives no rows.
+non-finite components take no part, nor do null ids; equal scores go to the smaller id; rows of
+one id are not each other's neighbours, but each is a candidate of other queries, and of several
+queries with one id that with the smallest vector is answered; extra columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -25,19 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomscribe.llm.common import arrow_rows
 
 SAMPLE = 8192
-ROTATIONS = 4
-#: Hamming radius as a share of the code's bits.
-RADIUS = 0.445
-#: Vectors per index block, and queries per broadcast chunk.
-BLOCK, CHUNK = 32768, 16384
-_DISTANCE = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
+ROTATIONS = 5
+#: Bits of a substring, and the differing bits that a probe allows at first.
+SUBSTRING, PROBE = 18, 4
+#: Rows of a block that a query reads at least.
+LEAST = 1200
+#: Vectors per index block, and queries per chunk.
+BLOCK, CHUNK = 32768, 4096
 
 
 def usable(vector: Column) -> Column:
@@ -69,38 +74,46 @@ class Codes:
         return np.concatenate([x, rest[:, None]], axis=1)
 
     def code(self, x: np.ndarray, query: bool = False) -> np.ndarray:
-        """Sign codes as rows of bytes; a query's own lift is zero."""
+        """The substrings of sign codes as rows of numbers; a query's own lift is zero."""
         lifted = np.concatenate([x, np.zeros((len(x), 1))], axis=1) if query else self.lift(x)
-        return np.packbits(np.concatenate([lifted @ r >= 0 for r in self.rotations], axis=1), axis=1)
+        bits = np.concatenate([lifted @ r >= 0 for r in self.rotations], axis=1)
+        size = min(SUBSTRING, bits.shape[1])
+        bits = bits[:, : bits.shape[1] // size * size].reshape(len(x), -1, size)
+        return bits @ (1 << np.arange(size))
 
 
 class Index:
-    """One block's codes, indexed by the value of every byte."""
+    """One block's vectors, indexed by the value of every substring of their codes."""
 
     def __init__(self, codes: Codes, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors, self.code = ids, vectors, codes.code(vectors)
-        self.order = np.argsort(self.code, axis=0, kind="stable").T
-        self.bounds = np.stack([np.searchsorted(c[o], np.arange(257)) for c, o in zip(self.code.T, self.order, strict=True)])
-        pad = -self.code.shape[1] % 8
-        self.words = np.pad(self.code, ((0, 0), (0, pad))).view(np.uint64)
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Every row whose code lies within the radius, by pigeonhole probing."""
-        m = len(code)
-        found, rows = np.zeros(len(self.ids), bool), None
-        for j in range(m):
-            for value in np.flatnonzero(_DISTANCE[code[j]] <= radius // m):
-                found[self.order[j, self.bounds[j, value] : self.bounds[j, value + 1]]] = True
-            if 2 * np.count_nonzero(found) > len(found):  # further probes cost more than the rows they spare
-                rows = np.arange(len(found))
-                break
-        if rows is None:
+        self.ids, self.vectors = ids, vectors
+        code = codes.code(vectors)
+        self.bits = min(SUBSTRING, codes.rotations[0].shape[0] * len(codes.rotations))
+        self.order = np.argsort(code, axis=0, kind="stable").T.astype(np.int32)
+        values = np.arange((1 << self.bits) + 1)
+        self.bounds = np.stack([np.searchsorted(c[o], values).astype(np.int32) for c, o in zip(code.T, self.order, strict=True)])
+        distance = np.bitwise_count(values[:-1])
+        self.masks = [np.flatnonzero(distance <= PROBE), *(np.flatnonzero(distance == d) for d in range(PROBE + 1, self.bits + 1))]
+
+    def probed(self, code: np.ndarray) -> np.ndarray:
+        """The rows that share a substring with the code, but for so many bits as the probe allows."""
+        found = np.zeros(len(self.ids), bool)
+        for masks in self.masks:
+            for value, order, bounds in zip(code, self.order, self.bounds, strict=True):
+                at = masks ^ value
+                first, last = bounds[at], bounds[at + 1]
+                some = last > first
+                first, size = first[some], (last - first)[some]
+                ends = np.cumsum(size)
+                if len(ends):
+                    found[order[np.arange(ends[-1]) + np.repeat(first - (ends - size), size)]] = True
             rows = np.flatnonzero(found)
-        word = np.pad(code, (0, -m % 8)).view(np.uint64)
-        return rows[np.bitwise_count(self.words[rows] ^ word).sum(axis=1) <= radius]
+            if len(rows) >= min(LEAST, len(found)):
+                break
+        return rows
 
-    def nearest(self, query_id: int, query: np.ndarray, code: np.ndarray, radius: int, k: int) -> list[tuple[int, int, float]]:
-        rows = self.within(code, radius)
+    def nearest(self, query_id: int, query: np.ndarray, code: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+        rows = self.probed(code)
         rows = rows[self.ids[rows] != query_id]
         near = self.vectors[rows] @ query
         if len(near) > k:
@@ -112,24 +125,49 @@ class Index:
 
 
 HITS = "query_id long, vec_id long, score double"
+_HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
-def _probe(vectors: DataFrame, n_blocks: int, codes: Codes, queries: pa.Table, radius: int, k: int) -> DataFrame:
-    """``HITS``: each block's k nearest rows within the radius of each query."""
-    out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-    q_ids, q = queries["vec_id"].to_numpy(), _matrix(queries["vector"].combine_chunks())
-    shared = vectors.sparkSession.sparkContext.broadcast((q_ids, q, codes.code(q, query=True)))
+def _search(rows: DataFrame, asked: DataFrame, n_blocks: int, codes: Codes, k: int) -> DataFrame:
+    """``HITS``: for each query, the best k of the rows that every block's index finds."""
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")
+    queries = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    both = rows.select(block.alias("block"), F.lit(False).alias("query"), "vec_id", "vector").union(queries.select("block", F.lit(True), "vec_id", "vector"))
+    both = both.repartition(n_blocks, "block").sortWithinPartitions("block", "query")
+    shared = rows.sparkSession.sparkContext.broadcast(codes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches)
-        if not len(table):
-            return
-        index = Index(codes, table["vec_id"].to_numpy(), _matrix(table["vector"].combine_chunks()))
-        for a in range(0, len(q_ids), 256):
-            hits = [h for row in zip(*(x[a : a + 256] for x in shared.value), strict=True) for h in index.nearest(int(row[0]), row[1], row[2], radius, k)]
-            yield arrow_rows(out, {f.name: [h[i] for h in hits] for i, f in enumerate(out)})
+    def answers(index: Index, queries: pa.Table) -> Iterator[pa.RecordBatch]:
+        x = _matrix(queries["vector"].combine_chunks())
+        code = shared.value.code(x, query=True)
+        ids = queries["vec_id"].to_pylist()
+        for a in range(0, len(ids), 256):
+            hits = [h for i in range(a, min(a + 256, len(ids))) for h in index.nearest(ids[i], x[i], code[i], k)]
+            yield arrow_rows(_HITS, {f.name: [h[i] for h in hits] for i, f in enumerate(_HITS)})
 
-    return vectors.repartition(n_blocks, "vec_id").mapInArrow(run, HITS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, index = None, [], None
+        for batch in batches:
+            if not len(batch):
+                continue
+            kind = np.stack([batch["block"].to_numpy(), batch["query"].to_numpy(zero_copy_only=False)], axis=1)
+            at = [0, *(np.flatnonzero((kind[1:] != kind[:-1]).any(axis=1)) + 1), len(batch)]
+            for start, end in zip(at, at[1:]):
+                number, query = kind[start]
+                if number != now:
+                    now, held, index = number, [], None
+                part = batch.slice(start, end - start)
+                if not query:
+                    held.append(part)
+                    continue
+                if index is None:
+                    if not held:
+                        continue
+                    table = pa.Table.from_batches(held)
+                    index, held = Index(shared.value, table["vec_id"].to_numpy(), _matrix(table["vector"].combine_chunks())), []
+                for a in range(0, len(part), CHUNK):
+                    yield from answers(index, pa.Table.from_batches([part.slice(a, CHUNK)]))
+
+    return both.mapInArrow(run, HITS)
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -145,24 +183,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id
     rows = rows.filter(F.size("vector") == common["dim"])
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
     codes = Codes(_matrix(sample["vector"].combine_chunks()), common["norm"] ** 0.5)
-    n_bits = 8 * codes.code(np.ones((1, common["dim"]))).shape[1]
     n_blocks = -(-common["n"] // BLOCK)
-    asked = rows.filter(queries)
-    hits = None
-    for chunk in range(max(1, -(-asked.count() // CHUNK))):
-        several = F.pmod(F.xxhash64("vec_id"), F.lit(-(-asked.count() // CHUNK) or 1)) == chunk
-        table = asked.filter(several).toArrow()
-        if not len(table):
-            continue
-        near = _probe(rows, n_blocks, codes, table, int(RADIUS * n_bits), k)
-        lacking = near.groupBy("query_id").count().filter(F.col("count") >= min(k, common["n"] - 1)).select("query_id").toArrow()
-        missing = table.filter(pa.compute.invert(pa.compute.is_in(table["vec_id"], lacking["query_id"].combine_chunks())))
-        if len(missing):
-            near = near.union(_probe(rows, n_blocks, codes, missing, n_bits, k)).distinct()
-        hits = near if hits is None else hits.union(near)
-    if hits is None:
-        return empty
-    order = F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("away"), "vec_id")))
+    asked = rows.filter(queries).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    hits = _search(rows, asked, n_blocks, codes, k)
+    order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("away"), "vec_id")))
     best = hits.groupBy("query_id").agg(F.slice(order, 1, k).alias("best"))
     best = best.select("query_id", F.posexplode("best").alias("pos", "b"))
     return best.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.away")).alias("score"))

@@ -290,3 +290,26 @@ def test_bpe_merges_long_words_like_the_library(spark):
         want.add((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
     assert got == want
     assert bpe.encode_documents(docs.limit(0)).count() == 0
+
+
+def test_probing_retrieves_the_radius_and_spares_rows():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    codes = neighbours.Codes(x[:4000], 1.0)
+    index = neighbours.Index(codes, np.arange(len(x)), x)
+    code, asked = codes.code(x), codes.code(x[:20], query=True)
+    share = []
+    for q in asked:
+        rows = index.probed(q)
+        distance = np.bitwise_count(code ^ q).sum(axis=1)
+        assert set(np.flatnonzero(distance <= code.shape[1] * (neighbours.PROBE + 1) - 1)) <= set(rows)
+        share.append(len(rows) / len(x))
+    assert np.mean(share) < 0.3
+
+
+def test_neighbours_of_repeated_rows(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.0, 1.0]), (3, [1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id, r.score) for r in neighbours.nearest(frame, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(1, 3, 1.0), (2, 1, 0.5), (3, 1, 0.5), (4, 2, 0.0)]
