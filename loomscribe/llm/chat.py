@@ -1,15 +1,19 @@
 """Chat formatting by schema fingerprints.
 
-A record is JSON of any layout.  Its fingerprint is the hash of its nested field paths
-(types left out), and selects one of the declared ``LAYOUTS``: a SQL expression that maps
-the record to canonical turns.  Turns are then rendered one by one with markers around
+A record is JSON of any layout.  Its fingerprint is the hash of those of its nested field paths
+that some layout declares, and selects one of the ``LAYOUTS``: a SQL expression that maps the
+record to canonical turns.  Fields that no layout knows do not count; if the fingerprint fits
+none, the first layout whose paths the record all has is taken.  Turns are then rendered one by one with markers around
 role and text; a backslash escape keeps marker strings inside texts apart and is undone on
 reading.  A formatted conversation is a sequence of pieces, one row per turn, so none has
 to fit in memory; reading back streams over pieces sorted by conversation and turn.
 
 Defined results: null roles and texts are empty; equal turns of one conversation are
-ordered by role and text; a record of unknown layout yields no turns and is returned by
-``unmapped``; extra columns are ignored; an empty table gives no rows.
+ordered by role and text; repeated records repeat their turns; a record that is null, no JSON or
+of no known layout is kept as one turn of role ``unmapped`` with the record as its text, and is
+also returned by ``unmapped``; extra columns are ignored; an empty table gives no rows.  All
+turns of one conversation are read by one task, which its digest needs; they stream through, so
+only one turn is held at a time.
 """
 
 from __future__ import annotations
@@ -28,85 +32,96 @@ from loomscribe.llm.common import arrow_rows
 BEGIN, END = "<|im_start|>", "<|im_end|>\n"
 _PIECE = re.compile(r"\A<\|im_start\|>(.*?)\n(.*)<\|im_end\|>\n\Z", re.S)
 _ESCAPE = re.compile(r"\\(.)", re.S)
-_TYPES = r": [A-Z_]+(\(\d+,\d+\))?(?=[,>])"
-
-
 @dataclass(frozen=True)
 class Layout:
-    """``paths``: the record's field paths as ``fingerprint`` sees them; ``turns``: SQL over
-    the variant ``v`` that gives ``array<struct<role, text>>``; ``turn``: SQL of the first number."""
+    """``paths``: the field paths that the layout needs, in order; ``turns``: SQL over the variant
+    ``v`` that gives ``array<struct<role, text>>``; ``turn``: SQL of the first number."""
 
     name: str
-    paths: str
+    paths: tuple[str, ...]
     turns: str
     turn: str = "0L"
 
 
 def _messages(field: str, role: str, text: str) -> str:
     kind = f"array<struct<{role} string, {text} string>>"
-    return f"transform(variant_get(v, '$.{field}', '{kind}'), m -> struct(m.{role} as role, m.{text} as text))"
+    return f"transform(try_variant_get(v, '$.{field}', '{kind}'), m -> struct(m.{role} as role, m.{text} as text))"
+
+
+def _text(field: str) -> str:
+    return f"try_variant_get(v, '$.{field}', 'string')"
 
 
 def _pair(user: str, assistant: str) -> str:
-    return f"array(struct('user' as role, {user} as text), struct('assistant' as role, variant_get(v, '$.{assistant}', 'string') as text))"
+    return f"array(struct('user' as role, {user} as text), struct('assistant' as role, {_text(assistant)} as text))"
 
 
-_INPUT = "concat_ws('\n\n', variant_get(v, '$.instruction', 'string'), nullif(variant_get(v, '$.input', 'string'), ''))"
+_INPUT = f"concat_ws('\n\n', {_text('instruction')}, nullif({_text('input')}, ''))"
 LAYOUTS = (
-    Layout(
-        "turn rows",
-        "OBJECT<role, text, turn>",
-        "array(struct(variant_get(v, '$.role', 'string') as role, variant_get(v, '$.text', 'string') as text))",
-        "variant_get(v, '$.turn', 'long')",
-    ),
-    Layout("messages", "OBJECT<messages: ARRAY<OBJECT<content, role>>>", _messages("messages", "role", "content")),
-    Layout("from and value", "OBJECT<conversations: ARRAY<OBJECT<from, value>>>", _messages("conversations", "from", "value")),
-    Layout("prompt and completion", "OBJECT<completion, prompt>", _pair("variant_get(v, '$.prompt', 'string')", "completion")),
-    Layout("prompt and response", "OBJECT<prompt, response>", _pair("variant_get(v, '$.prompt', 'string')", "response")),
-    Layout("instruction", "OBJECT<instruction, output>", _pair("variant_get(v, '$.instruction', 'string')", "output")),
-    Layout("instruction and input", "OBJECT<input, instruction, output>", _pair(_INPUT, "output")),
+    Layout("turn rows", ("role", "text", "turn"), f"array(struct({_text('role')} as role, {_text('text')} as text))", "try_variant_get(v, '$.turn', 'long')"),
+    Layout("messages", ("messages[0].content", "messages[0].role"), _messages("messages", "role", "content")),
+    Layout("from and value", ("conversations[0].from", "conversations[0].value"), _messages("conversations", "from", "value")),
+    Layout("prompt and completion", ("completion", "prompt"), _pair(_text("prompt"), "completion")),
+    Layout("prompt and response", ("prompt", "response"), _pair(_text("prompt"), "response")),
+    Layout("instruction and input", ("input", "instruction", "output"), _pair(_INPUT, "output")),
+    Layout("instruction", ("instruction", "output"), _pair(_text("instruction"), "output")),
 )
+#: The role of a record that no layout fits.
+UNMAPPED = "unmapped"
 #: Role names of other layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
 
 
-def fingerprint(variant: Column) -> Column:
-    """Hash of a variant's nested field paths."""
-    return F.xxhash64(F.regexp_replace(F.schema_of_variant(variant), _TYPES, ""))
+def _known_paths(layouts: tuple[Layout, ...]) -> list[str]:
+    return sorted({p for layout in layouts for p in layout.paths})
 
 
-def _marked(records: DataFrame) -> DataFrame:
-    v = F.parse_json("record")
-    return records.select("conv_id", v.alias("v"), fingerprint(v).alias("layout"))
+def _has(path: str) -> Column:
+    """Has the variant ``v`` a field at the path, be it null."""
+    return F.expr(f"variant_get(v, '$.{path}', 'variant') is not null")
 
 
-def _is(layout: Layout) -> Column:
-    return F.col("layout") == F.xxhash64(F.lit(layout.paths))
+def fingerprint(layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """Hash of those nested field paths of the variant ``v`` that the layouts know."""
+    return F.xxhash64(F.concat_ws(" ", *(F.when(_has(p), F.lit(p)) for p in _known_paths(layouts))))
+
+
+def _mapped(records: DataFrame, layouts: tuple[Layout, ...]) -> DataFrame:
+    """``conv_id, record, layout`` (its number, null if none fits), ``turns, first``."""
+    marked = records.select("conv_id", F.col("record").cast("string").alias("record"), F.try_parse_json("record").alias("v"))
+    marked = marked.withColumn("print", fingerprint(layouts))
+    exact, wide = [F.lit(None).cast("int")] * 2
+    for number, layout in reversed(list(enumerate(layouts))):
+        exact = F.when(F.col("print") == F.xxhash64(F.lit(" ".join(layout.paths))), number).otherwise(exact)
+        all_there = F.lit(True)
+        for path in layout.paths:
+            all_there = all_there & _has(path)
+        wide = F.when(all_there, number).otherwise(wide)
+    marked = marked.withColumn("layout", F.coalesce(exact, wide))
+    turns = first = F.lit(None)
+    for number, layout in enumerate(layouts):
+        turns = F.when(F.col("layout") == number, F.expr(layout.turns)).otherwise(turns)
+        first = F.when(F.col("layout") == number, F.expr(layout.turn)).otherwise(first)
+    return marked.select("conv_id", "record", "layout", turns.alias("turns"), first.alias("first"))
 
 
 def canonical_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """``conv_id, turn, role, text`` of records (``conv_id``, JSON text ``record``)."""
-    turns = first = F.lit(None)
-    for layout in layouts:
-        turns = F.when(_is(layout), F.expr(layout.turns)).otherwise(turns)
-        first = F.when(_is(layout), F.expr(layout.turn)).otherwise(first)
     role = F.coalesce("t.role", F.lit(""))
     names = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
-    found = _marked(records).select("conv_id", first.alias("first"), F.posexplode(turns).alias("pos", "t"))
+    whole = F.array(F.struct(F.lit(UNMAPPED).alias("role"), F.col("record").alias("text")))
+    found = _mapped(records, layouts).select("conv_id", "first", F.posexplode(F.coalesce("turns", whole)).alias("pos", "t"))
     return found.select(
         "conv_id",
-        (F.col("first") + F.col("pos")).alias("turn"),
+        (F.coalesce("first", F.lit(0).cast("long")) + F.col("pos")).alias("turn"),
         F.coalesce(F.try_element_at(names, role), role).alias("role"),
         F.coalesce("t.text", F.lit("")).alias("text"),
     )
 
 
 def unmapped(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """The records whose fingerprint no layout declares."""
-    known = F.lit(False)
-    for layout in layouts:
-        known = known | _is(layout)
-    return _marked(records).filter(~known).select("conv_id", F.to_json("v").alias("record"), "layout")
+    """``conv_id, record`` of the records that no layout fits."""
+    return _mapped(records, layouts).filter("turns is null").select("conv_id", "record")
 
 
 def _escaped(text: Column) -> Column:

@@ -116,7 +116,8 @@ def test_chat_round_trip_over_layouts(spark):
     for r in pieces.collect():
         assert r.piece.count("<|im_start|>") == r.piece.count("<|im_end|>") == 1
     got = {r.conv_id: r for r in chat.read_back(pieces).collect()}
-    assert set(got) == {1, 2, 3, 4, 5}
+    assert set(got) == {1, 2, 3, 4, 5, 6}
+    assert got[6].turns_sha256 == hashlib.sha256(b'unmapped\n{"who": "knows"}\n').hexdigest()
     digest = hashlib.sha256("".join(f"{r}\n{t or ''}\n" for r, t in TURNS).encode()).hexdigest()
     loss = "".join(t or "" for r, t in TURNS if r == "assistant")
     for conv in (1, 2):
@@ -181,3 +182,17 @@ def test_bitmap_holds_what_was_put_in(spark):
     words = common.bitmap(spark.createDataFrame([(int(k),) for k in keys[:300]], "key long"))
     found = common.in_bitmap(words, keys.view(np.uint64))
     assert found[:300].all() and found[300:].mean() < 0.05
+
+
+def test_records_with_unknown_fields_and_broken_json_are_kept(spark):
+    turns = [{"role": "user", "content": "q", "name": "n"}, {"role": "assistant", "content": "a" * 100_000}]
+    rows = [(1, json.dumps({"id": 7, "messages": turns})), (2, '{"messages": [{"role"'), (3, None), (4, json.dumps({"prompt": "q", "completion": "a", "input": None}))]
+    rows += [(5, json.dumps({"messages": []})), (6, json.dumps({"prompt": "p", "completion": "c"})), (6, json.dumps({"prompt": "p", "completion": "c"}))]
+    records = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, record string, turn string")
+    got = {}
+    for r in chat.canonical_turns(records).orderBy("conv_id", "turn", "role").collect():
+        got.setdefault(r.conv_id, []).append((r.turn, r.role, r.text))
+    assert got[1] == [(0, "user", "q"), (1, "assistant", "a" * 100_000)]
+    assert got[2] == [(0, "unmapped", '{"messages": [{"role"')] and got[3] == [(0, "unmapped", "")]
+    assert got[4] == [(0, "user", "q"), (1, "assistant", "a")] and len(got[6]) == 4
+    assert {r.conv_id for r in chat.unmapped(records).collect()} == {2, 3, 5}
