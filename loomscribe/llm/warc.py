@@ -7,19 +7,22 @@ types and SHA-1 payload digests.  ``read_warc`` parses the archives again.
 
 Archives are written by Spark's text writer, whose record separator is the format's own
 (a line break after an ARC block, two CRLFs after a WARC record), in files of at most
-``RECORDS_PER_FILE`` records, and read whole file by whole file; both parsers go by the
-declared lengths, so payloads may hold anything.  Revisits are found by one grouped maximum
+``RECORDS_PER_FILE`` records, and read whole file by whole file, so a file's size is bounded by
+that many of its longest record; both parsers go by the declared lengths, so payloads may hold
+anything.  HTTP heads are carried over as they stand, with CRLF or bare LF line ends; blocks
+without one (``dns:`` records and the like) become ``resource`` records.  Revisits are found by one grouped maximum
 per digest (combined before the shuffle) joined back by digest.
 
 Defined results: a null payload is empty; of equal payloads of ``REVISIT_BYTES`` or more the
 largest page id is the response (all rows that carry it), null ids never win unless all are
-null; blanks in URLs are percent-encoded, a null URL is ``unknown:``; an empty table gives
+null; repeated rows are records of their own, as ids are made of a record's place; blanks in URLs are percent-encoded, a null URL is ``unknown:``; an empty table gives
 no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -31,17 +34,17 @@ from loomscribe.llm.common import arrow_rows
 from loomscribe.sources.scratch import shared_folder
 
 REVISIT_BYTES = 1000
-RECORDS_PER_FILE = 1000
+RECORDS_PER_FILE = 500
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-PAGE_HEADER = "X-Page-Id"
-RECORDS = "page_id long, url string, date string, mime string, payload binary, payload_bytes long, digest string"
+PAGE_HEADER, KEEPER_HEADER = "X-Page-Id", "X-Refers-To-Page-Id"
+RECORDS = "page_id long, record_id string, url string, date string, mime string, head binary, payload binary, payload_bytes long, digest string"
 _RECORDS = pa.schema(
-    [("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("mime", pa.string())]
-    + [("payload", pa.binary()), ("payload_bytes", pa.int64()), ("digest", pa.string())]
+    [("page_id", pa.int64()), ("record_id", pa.string()), ("url", pa.string()), ("date", pa.string()), ("mime", pa.string())]
+    + [("head", pa.binary()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("digest", pa.string())]
 )
 
 
@@ -81,43 +84,55 @@ def write_archive(rows: DataFrame, separator: str, name: str) -> str:
 
 def archives(spark: SparkSession, path: str) -> DataFrame:
     """Whole archive files, one row each."""
-    return spark.read.text(path, wholetext=True).select(F.col("value").cast("binary").alias("content"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").cast("binary").alias("content"))
+
+
+_BLANK_LINE = re.compile(rb"\r?\n\r?\n")
 
 
 def _head(data: bytes, at: int) -> tuple[dict[bytes, bytes], int]:
-    """Header lines from ``at`` up to the blank line, and where the body begins."""
-    end = data.index(b"\r\n\r\n", at)
-    lines = (line.partition(b":") for line in data[at:end].split(b"\r\n"))
-    return {k.strip().lower(): v.strip() for k, _, v in lines}, end + 4
+    """Header lines from ``at`` up to the blank line (or all that is left), and where the body begins."""
+    blank = _BLANK_LINE.search(data, at)
+    end, body = blank.span() if blank else (len(data), len(data))
+    lines = (line.partition(b":") for line in data[at:end].splitlines())
+    return {k.strip().lower(): v.strip() for k, _, v in lines}, body
+
 
+def _page_id(headers: dict[bytes, bytes], name: str) -> int | None:
+    value = headers.get(name.lower().encode(), b"-")
+    return None if value == b"-" else int(value)
 
-def parse_arc(data: bytes) -> Iterator[dict]:
-    """The records of concatenated ARC data."""
+
+def parse_arc(data: bytes, name: str = "") -> Iterator[dict]:
+    """The records of concatenated ARC data; ``name`` tells archives apart in record ids."""
     at, names = 0, ARC_FIELDS[1].split()
     while at < len(data):
         if data[at : at + 1] in b"\r\n":
             at += 1
             continue
-        end = data.index(b"\n", at)
-        line = data[at:end].decode("utf-8", "replace")
+        begin, end = at, data.find(b"\n", at)
+        if end < 0:
+            raise ValueError(f"{name}: a header line at {at} does not end")
+        line = data[at:end].decode("utf-8", "replace").rstrip("\r")
         fields = line.split(" ") if line.startswith("filedesc:") else line.rsplit(" ", len(names) - 1)
         length, at = int(fields[-1]), end + 1
         block = data[at : at + length]
         if len(block) < length:
-            raise ValueError(f"a block of {length} bytes was declared, {len(block)} are left")
+            raise ValueError(f"{name}: a block of {length} bytes was declared, {len(block)} are left")
         at += length
         if fields[0].startswith("filedesc:"):
             names = ARC_FIELDS[int(block[:1])].split()
             continue
         header = dict(zip(names, fields, strict=True))
-        http, body = _head(block, 0)
-        page = http.get(PAGE_HEADER.lower().encode(), b"-")
+        http, body = _head(block, 0) if block.startswith(b"HTTP/") else ({}, 0)
         payload = block[body:]
         yield {
-            "page_id": None if page == b"-" else int(page),
+            "page_id": _page_id(http, PAGE_HEADER),
+            "record_id": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}#{begin} {header['URL']}')}>",
             "url": header["URL"],
             "date": header["Archive-date"],
             "mime": header["Content-type"],
+            "head": block[:body],
             "payload": payload,
             "payload_bytes": len(payload),
             "digest": hashlib.sha1(payload).hexdigest(),
@@ -127,8 +142,8 @@ def parse_arc(data: bytes) -> Iterator[dict]:
 def _parsed(archive: DataFrame, parse, schema: pa.Schema, ddl: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch["content"]:
-                rows = list(parse(content.as_buffer().to_pybytes()))
+            for name, content in zip(batch["name"].to_pylist(), batch["content"], strict=True):
+                rows = list(parse(content.as_buffer().to_pybytes(), name))
                 yield arrow_rows(schema, {f.name: [r[f.name] for r in rows] for f in schema})
 
     return archive.mapInArrow(run, ddl)
@@ -138,50 +153,41 @@ def read_arc(archive: DataFrame) -> DataFrame:
     return _parsed(archive, parse_arc, _RECORDS, RECORDS)
 
 
-def _record_id(page_id: Column, url: Column) -> Column:
-    """A stable UUID: its first half from the URL, its second half the page id."""
-    h = F.concat(F.substring(F.sha1(url), 1, 16), F.lpad(F.lower(F.hex(F.coalesce(page_id, F.lit(0)))), 16, "0"))
-    return F.concat(
-        F.lit("<urn:uuid:"),
-        F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))),
-        F.lit(">"),
-    )
-
-
 def revisits(records: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
-    """Records with ``keeper`` and ``keeper_url``, set where another record has the payload."""
+    """Records with ``keeper`` and ``keeper_record``, set where another record has the payload."""
     long = records.filter(F.col("payload_bytes") >= least)
-    keepers = long.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "url")).alias("k")).filter("n > 1")
-    keepers = keepers.select(F.col("digest").alias("d"), F.col("k.page_id").alias("keeper"), F.col("k.url").alias("keeper_url"))
+    keepers = long.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "record_id")).alias("k")).filter("n > 1")
+    keepers = keepers.select(F.col("digest").alias("d"), F.col("k.page_id").alias("keeper"), F.col("k.record_id").alias("keeper_record"))
     joined = records.join(keepers, (F.col("digest") == F.col("d")) & (F.col("payload_bytes") >= least), "left")
     other = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
-    return joined.withColumns({c: F.when(other, F.col(c)) for c in ("keeper", "keeper_url")}).drop("d")
+    return joined.withColumns({c: F.when(other, F.col(c)) for c in ("keeper", "keeper_record")}).drop("d")
 
 
 def warc_rows(records: DataFrame) -> DataFrame:
     """One WARC record per row of ``revisits``."""
-    revisit = F.col("keeper").isNotNull()
-    http = _http(F.col("page_id"), F.col("payload_bytes"))
-    date = F.regexp_replace("date", r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)$", "$1-$2-$3T$4:$5:$6Z")
+    revisit, http = F.col("keeper").isNotNull(), F.length("head") > 0
+    kind = F.when(revisit, F.lit("revisit")).when(http, F.lit("response")).otherwise(F.lit("resource"))
+    refers = F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), F.col("keeper_record"), F.lit(f"\r\n{KEEPER_HEADER}: "), F.col("keeper").cast("string"))
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "),
-        F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")),
+        kind,
         F.lit("\r\nWARC-Record-ID: "),
-        _record_id(F.col("page_id"), F.col("url")),
+        F.col("record_id"),
         F.lit("\r\nWARC-Date: "),
-        date,
+        F.regexp_replace("date", r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)$", "$1-$2-$3T$4:$5:$6Z"),
         F.lit("\r\nWARC-Target-URI: "),
         F.col("url"),
         F.lit("\r\nWARC-Payload-Digest: sha1:"),
         F.upper("digest"),
-        F.when(
-            revisit,
-            F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), _record_id(F.col("keeper"), F.col("keeper_url"))),
-        ).otherwise(F.lit("")),
-        F.lit("\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: "),
+        F.lit("\r\nX-Payload-Length: "),
+        F.col("payload_bytes").cast("string"),
+        F.when(revisit, refers).otherwise(F.lit("")),
+        F.lit("\r\nContent-Type: "),
+        F.when(http, F.lit("application/http;msgtype=response")).otherwise(F.col("mime")),
+        F.lit("\r\nContent-Length: "),
     )
     payload = F.when(revisit, F.lit("")).otherwise(F.col("payload").cast("string"))
-    block = F.concat(http, payload)
+    block = F.concat(F.col("head").cast("string"), payload)
     return records.select(F.concat(head, F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block).alias("value"))
 
 
@@ -192,14 +198,8 @@ _WARC = pa.schema(
 )
 
 
-def _signed(record_id: bytes) -> int:
-    """The page id in a record id."""
-    n = int(record_id.strip(b"<>").rpartition(b":")[2].replace(b"-", b"")[16:], 16)
-    return n - (1 << 64) if n >> 63 else n
-
-
-def parse_warc(data: bytes) -> Iterator[dict]:
-    """The records of an uncompressed WARC file, responses with their digest checked."""
+def parse_warc(data: bytes, name: str = "") -> Iterator[dict]:
+    """The records of an uncompressed WARC file, stored payloads with their digest checked."""
     at = 0
     while at < len(data):
         if data[at : at + 1] in b"\r\n":
@@ -208,20 +208,19 @@ def parse_warc(data: bytes) -> Iterator[dict]:
         head, at = _head(data, at)
         block = data[at : at + int(head[b"content-length"])]
         at += len(block)
-        http, body = _head(block, 0)
         kind = head[b"warc-type"].decode()
+        http, body = _head(block, 0) if block.startswith(b"HTTP/") else ({}, 0)
         declared = head[b"warc-payload-digest"].partition(b":")[2].lower().decode()
-        if kind == "response" and hashlib.sha1(block[body:]).hexdigest() != declared:
-            raise ValueError(f"{head[b'warc-record-id']!r}: the payload does not match its digest")
-        page = http[PAGE_HEADER.lower().encode()]
+        if kind != "revisit" and hashlib.sha1(block[body:]).hexdigest() != declared:
+            raise ValueError(f"{name}: {head[b'warc-record-id']!r}: the payload does not match its digest")
         yield {
-            "page_id": None if page == b"-" else int(page),
+            "page_id": _page_id(http, PAGE_HEADER),
             "url": head[b"warc-target-uri"].decode(),
             "date": head[b"warc-date"].decode(),
-            "payload_bytes": int(http[b"content-length"]) if kind == "revisit" else len(block) - body,
+            "payload_bytes": int(head[b"x-payload-length"]),
             "payload_digest": declared,
             "record_type": kind,
-            "refers_to": _signed(head[b"warc-refers-to"]) if kind == "revisit" else None,
+            "refers_to": _page_id(head, KEEPER_HEADER),
         }
 
 

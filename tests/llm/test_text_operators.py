@@ -196,3 +196,22 @@ def test_records_with_unknown_fields_and_broken_json_are_kept(spark):
     assert got[2] == [(0, "unmapped", '{"messages": [{"role"')] and got[3] == [(0, "unmapped", "")]
     assert got[4] == [(0, "user", "q"), (1, "assistant", "a")] and len(got[6]) == 4
     assert {r.conv_id for r in chat.unmapped(records).collect()} == {2, 3, 5}
+
+
+def test_arc_blocks_with_bare_line_feeds_and_without_http():
+    v1 = b"1 0 Old\nURL IP-address Archive-date Content-type Archive-length\n\n"
+    data = b"filedesc://x 0.0.0.0 19960101000000 text/plain %d\n" % len(v1) + v1
+    for url, mime, body in ((b"http://a/", b"text/html", b"HTTP/1.0 200 OK\nX-Page-Id: 4\n\nab\r\n\r\n"), (b"dns:b", b"text/dns", b"19960101\nb. IN A 1.2.3.4\n\n"), (b"http://c/", b"text/html", b"HTTP/1.0 204 None")):
+        data += b"\n%s 1.2.3.4 19960102030405 %s %d\n" % (url, mime, len(body)) + body + b"\n"
+    a, dns, c = warc.parse_arc(data)
+    assert (a["page_id"], a["payload"], a["head"]) == (4, b"ab\r\n\r\n", b"HTTP/1.0 200 OK\nX-Page-Id: 4\n\n")
+    assert (dns["payload"], dns["head"], c["payload"], c["page_id"]) == (b"19960101\nb. IN A 1.2.3.4\n\n", b"", b"", None)
+    assert len({r["record_id"] for r in (a, dns, c)}) == 3
+
+
+def test_archives_of_repeated_rows_and_long_pages(spark):
+    long = "<p>é</p>" * 40_000
+    pages = spark.createDataFrame([(0, "http://a/", long), (0, "http://a/", long), (None, "http://a/", long), (3, "http://b/", long)], "page_id long, url string, html string")
+    got = sorted(((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()))
+    n = len(long.encode())
+    assert got == [("0", n, "revisit", 3), ("0", n, "revisit", 3), ("3", n, "response", None), ("None", n, "revisit", 3)]
