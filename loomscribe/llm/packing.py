@@ -1,16 +1,16 @@
 """Best-two-fit packing of tokenised documents into sequences of bounded length.
 
 Every document's ids (an end id follows) are cut into pieces of at most ``LENGTH``.  Pieces
-are dealt by hash into groups, and a group is packed by itself: a sequence is filled
+are dealt by hash into groups of about ``GROUP``, and a group is packed by itself: a sequence is filled
 greedily with the longest pieces that fit; if a gap is left, its smallest piece is taken
 out and the two unpacked pieces that fill the widened gap most tightly go in, if they fill
-more.  Only lengths and keys take part, so a group of a million pieces is a few megabytes.
+more.  Only lengths and keys take part, so a group is a few megabytes however large the corpus is.
 
 Tokenising splits texts at ASCII white space, over which no token of this vocabulary
 reaches, and keeps the ids of the parts in a bounded cache of the Python worker.
 
-Defined results: a null or empty text is the end id alone; repeated rows and ids are packed
-each for itself; extra columns are ignored; an empty table gives no rows.
+Defined results: a null or empty text is the end id alone; ids may be null; repeated rows and
+ids are packed each for itself; very long texts are cut, whole; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,13 +26,17 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomscribe.llm.common import arrow_rows, texts_of
+from loomscribe.sources.scratch import Workspace
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 LENGTH = 4096
 END_ID = 1
+#: Pieces of a group, about.
+GROUP = 50_000
 CACHE_ENTRIES = 600_000
 MISS_BATCH = 8192
 
@@ -181,4 +185,5 @@ def pack(cut: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in table.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).to_batches(20000):
             yield arrow_rows(out, {n: batch[n] for n in out.names})
 
-    return cut.repartition("doc_id", "piece", "ids_crc32").mapInArrow(fill, PACKED)
+    cut, size = Workspace(cut.sparkSession, "packing").save(cut, "pieces", n=F.count(F.lit(1)))
+    return cut.repartition(1 + size["n"] // GROUP, "doc_id", "piece", "ids_crc32").mapInArrow(fill, PACKED)

@@ -313,3 +313,38 @@ def test_neighbours_of_repeated_rows(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [(r.rank, r.vec_id, r.score) for r in neighbours.nearest(frame, F.col("vec_id") == 0).orderBy("rank").collect()]
     assert got == [(1, 3, 1.0), (2, 1, 0.5), (3, 1, 0.5), (4, 2, 0.0)]
+
+
+def test_packing_of_repeated_and_null_ids_and_of_nothing(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (2, None)], "doc_id long, text string")
+    rows = packing.pack(packing.pieces(docs)).collect()
+    assert sorted(((r.doc_id, r.length) for r in rows), key=str) == [(1, 3), (1, 3), (2, 1), (None, 2)]
+    assert len({(r.sequence_id, r.offset) for r in rows}) == 4
+    assert packing.pack(packing.pieces(docs.limit(0))).count() == 0
+
+
+def test_toxicity_scores_match_a_plain_sum(spark):
+    import math
+
+    rng = random.Random(4)
+    plain, bad = [f"word{i}" for i in range(80)], ["vile", "Foul", "nasty"]
+    texts = [" ".join(rng.choice(plain + bad * (8 * (i % 4 == 0))) for _ in range(30)) for i in range(240)] + ["", None, "vile! FOUL-nasty é", "x " * 60_000 + "vile"]
+    docs = documents(spark, texts + texts[:3])
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+
+    def one(word, kind):
+        import pyarrow as pa
+        from loomscribe.llm import common
+
+        (block,) = common.blocks(pa.array([word]))
+        return int(common.mix(block.word_hash() + np.uint64(kind))[0])
+
+    weight = {(int(k), int(i)): w for k, i, w in zip(model.kind, model.item, model.weight)}
+    for r in toxicity.score(docs, model).collect():
+        text = "".join(c.lower() if c.isascii() else c for c in (texts + texts[:3])[r.doc_id] or "")
+        words = set(re.findall(rb"[a-z0-9\x80-\xff]+", text.encode()))
+        items = {(k, w[:size] if size else w) for w in words for k, size in enumerate(toxicity.KINDS) if not size or len(w) >= size}
+        total = model.bias + sum(weight.get((k, one(w.decode("utf-8", "surrogateescape"), k)), 0.0) for k, w in items if w.isascii())
+        assert abs(r.score - 1 / (1 + math.exp(-total))) < 1e-9 or any(not w.isascii() for _, w in items)
+    assert toxicity.toxicity(docs.limit(0), labels).count() == 0
