@@ -1,15 +1,18 @@
 """Chunking of files into line-tracked pieces.
 
 ``fixed_chunks`` is native.  The recursive splitter is sequential within a text, so it runs
-as a small function over Arrow batches; everything around it (which lines entities cover,
-the runs of lines between them, numbering) is joins and windows.
+as a small function over Arrow batches, as does the search for lines that no entity covers;
+everything around it (spans by file, numbering) is joins and windows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import accumulate, groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,50 +28,55 @@ def fixed_chunks(files: DataFrame, *keys: str, size: int = 1000, overlap: int =
     return cut.select(*keys, "chunk_idx", "start", F.substring("content", F.col("start") + 1, F.lit(size)).alias("text"))
 
 
-def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Recursive split: the first separator that occurs, pieces merged up to ``size`` with a tail of ``overlap``."""
-    at = next((i for i, s in enumerate(separators) if s in text), len(separators) - 1)
-    mark, finer = separators[at], separators[at + 1 :]
-    if mark:
-        first, *others = text.split(mark)
-        pieces = [p for p in (first, *(mark + o for o in others)) if p]
-    else:
-        pieces = list(text)
+Span = tuple[int, int]
+
+
+def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS, base: int = 0) -> list[Span]:
+    """Bounds of the chunks of ``text``, blanks at their ends left out.
+
+    The first separator that occurs cuts the text, each piece keeping the one before it; pieces
+    are merged up to ``size`` with a tail of ``overlap``, longer ones are cut by finer separators.
+    """
+    level = next((i for i, s in enumerate(separators) if s in text), len(separators) - 1)
+    mark, finer = separators[level], separators[level + 1 :]
+    cuts = [0, *(m.start() for m in re.finditer(re.escape(mark), text)), len(text)] if mark else list(range(len(text) + 1))
     out, small = [], []
-    for piece in pieces:
-        if len(piece) < size:
-            small.append(piece)
-            continue
-        out += _merge(small, size, overlap)
-        small = []
-        out += split_text(piece, size, overlap, finer) if finer else [piece]
-    return out + _merge(small, size, overlap)
-
-
-def _merge(pieces: list[str], size: int, overlap: int) -> list[str]:
-    out, held, total = [], [], 0
-    for piece in pieces:
-        if held and total + len(piece) > size:
-            out.append("".join(held))
-            while held and (total > overlap or total + len(piece) > size):
-                total -= len(held.pop(0))
-        held.append(piece)
-        total += len(piece)
-    if held:
-        out.append("".join(held))
-    return [c for c in (chunk.strip() for chunk in out) if c]
-
-
-def with_lines(text: str, chunks: list[str]) -> list[tuple[str, int, int]]:
-    """Chunks with their first and last line, found by searching forward."""
-    found, begin = [], 0
-    for chunk in chunks:
-        at = text.find(chunk, begin)
-        at = text.find(chunk) if at < 0 else at
-        at = begin if at < 0 else at
-        first = text.count("\n", 0, at) + 1
-        found.append((chunk, first, first + chunk.count("\n")))
-        begin = at + len(chunk) // 2
+    for a, b in zip(cuts, cuts[1:]):
+        if b - a >= size:
+            out += _merge(small, size, overlap) if small else []
+            small = []
+            out += split_text(text[a:b], size, overlap, finer, a) if finer else [(a, b)]
+        elif a < b:
+            small.append((a, b))
+    out += _merge(small, size, overlap)
+    return [(base + a, base + b) for a, b in (_stripped(text, *span) for span in out) if a < b]
+
+
+def _merge(pieces: list[Span], size: int, overlap: int) -> list[Span]:
+    """Adjoining pieces to chunks of at most ``size``, each beginning with at most ``overlap`` of the one before."""
+    out, first = [], 0
+    for k, (a, b) in enumerate(pieces):
+        begin = pieces[first][0]
+        if first < k and b - begin > size:
+            out.append((begin, a))
+            while first < k and (a - pieces[first][0] > overlap or b - pieces[first][0] > size):
+                first += 1
+    if pieces:
+        out.append((pieces[first][0], pieces[-1][1]))
+    return out
+
+
+def _stripped(text: str, a: int, b: int) -> Span:
+    body = text[a:b]
+    return b - len(body.lstrip()), a + len(body.rstrip())
+
+
+def with_lines(text: str, spans: list[Span]) -> list[tuple[str, int, int]]:
+    """Chunks with their first and last line, by their place in the text."""
+    found, line, seen = [], 1, 0
+    for a, b in spans:
+        line, seen = line + (text.count("\n", seen, a) if a >= seen else -text.count("\n", a, seen)), a
+        found.append((text[a:b], line, line + text.count("\n", a, b)))
     return found
 
 
@@ -94,30 +102,54 @@ def chunk_lines(files: DataFrame, size: int = 1000, overlap: int = 100) -> DataF
     return cut.withColumnsRenamed({"first_line": "start_line", "last_line": "end_line"})
 
 
-def numbered_lines(files: DataFrame) -> DataFrame:
-    """``repo_id, rel_path, line_no, line`` from 1."""
-    return files.select("repo_id", "rel_path", F.posexplode(F.split("content", "\n")).alias("i", "line")).select("repo_id", "rel_path", (F.col("i") + 1).alias("line_no"), "line")
+_RUNS = pa.schema([("repo_id", pa.string()), ("rel_path", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("content", pa.string())])
+
+
+def uncovered_runs(files: DataFrame, entities: DataFrame) -> DataFrame:
+    """``repo_id, rel_path, start_line, end_line, content``: the runs of lines that no entity's span covers.
+
+    Spans are grouped by file and join it once; the lines of a file never leave its row.
+    """
+    spans = entities.groupBy("repo_id", "rel_path").agg(F.collect_list("start_line").alias("first"), F.collect_list("end_line").alias("last"))
+    joined = files.select("repo_id", "rel_path", "content").join(spans, ["repo_id", "rel_path"], "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for repo, path, content, first, last in zip(*(batch[c].to_pylist() for c in ("repo_id", "rel_path", "content", "first", "last")), strict=True):
+                lines = (content or "").split("\n")
+                edge = [0] * (len(lines) + 2)
+                for a, b in zip(first or [], last or [], strict=True):
+                    edge[min(a, len(lines) + 1)] += 1
+                    edge[min(b, len(lines)) + 1] -= 1
+                covered = [c > 0 for c in accumulate(edge)]
+                for inside, numbers in groupby(range(1, len(lines) + 1), covered.__getitem__):
+                    if not inside:
+                        numbers = list(numbers)
+                        rows.append((repo, path, numbers[0], numbers[-1], "\n".join(lines[numbers[0] - 1 : numbers[-1]])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_RUNS)], schema=_RUNS)
+
+    return joined.mapInArrow(run, "repo_id string, rel_path string, start_line int, end_line int, content string")
 
 
 def uncovered_lines(files: DataFrame, entities: DataFrame) -> DataFrame:
-    """The lines that no entity's span covers: an equality anti join on exploded spans."""
-    covered = entities.select("repo_id", "rel_path", F.explode(F.sequence("start_line", "end_line")).alias("line_no")).distinct()
-    return numbered_lines(files).join(covered, ["repo_id", "rel_path", "line_no"], "left_anti")
+    """``repo_id, rel_path, line_no, line``: the lines that no entity's span covers."""
+    lines = uncovered_runs(files, entities).select("repo_id", "rel_path", "start_line", F.posexplode(F.split("content", "\n")).alias("i", "line"))
+    return lines.select("repo_id", "rel_path", (F.col("start_line") + F.col("i")).alias("line_no"), "line")
 
 
-def islands(lines: DataFrame) -> DataFrame:
-    """``repo_id, rel_path, start_line, end_line, content``: runs of consecutive lines, blank ones dropped."""
-    run = F.col("line_no") - F.row_number().over(W.partitionBy("repo_id", "rel_path").orderBy("line_no"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    grouped = lines.withColumn("run", run).groupBy("repo_id", "rel_path", "run").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), text.alias("content"))
-    return grouped.filter(F.col("content").rlike(r"\S")).drop("run")
+def islands(files: DataFrame, entities: DataFrame) -> DataFrame:
+    """The uncovered runs of lines, blank ones dropped."""
+    return uncovered_runs(files, entities).filter(F.col("content").rlike(r"\S"))
 
 
 def entity_texts(files: DataFrame, entities: DataFrame) -> DataFrame:
-    """Entities with the text of their lines."""
-    joined = entities.join(files.select("repo_id", "rel_path", F.split("content", "\n").alias("lines")), ["repo_id", "rel_path"])
+    """Entities with the text of their lines; a file meets all its entities in one join."""
+    grouped = entities.groupBy("repo_id", "rel_path").agg(F.collect_list(F.struct(*(c for c in entities.columns if c not in ("repo_id", "rel_path")))).alias("all"))
+    joined = files.select("repo_id", "rel_path", F.split("content", "\n").alias("lines")).join(grouped, ["repo_id", "rel_path"])
+    rows = joined.select("repo_id", "rel_path", "lines", F.explode("all").alias("e")).select("repo_id", "rel_path", "lines", "e.*")
     text = F.array_join(F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
-    return joined.withColumn("content", text).drop("lines").filter(F.col("content").rlike(r"\S"))
+    return rows.withColumn("content", text).drop("lines").filter(F.col("content").rlike(r"\S"))
 
 
 def chunk_entities(files: DataFrame, entities: DataFrame, max_entity: int = 1500, size: int = 1000, overlap: int = 100) -> DataFrame:
@@ -137,7 +169,7 @@ def chunk_entities(files: DataFrame, entities: DataFrame, max_entity: int = 1500
     last = F.least(first + F.col("last_line") - F.col("first_line"), F.col("end_line")).cast("int")
     split = split.withColumn("a", first).withColumn("b", last).withColumn("emit_pos", F.col("entity_pos") * 1000 + F.col("piece_pos"))
     split = split.withColumn("start_line", F.col("a")).withColumn("end_line", F.col("b"))
-    gaps = split_rows(islands(uncovered_lines(files, entities)), ["repo_id", "rel_path", "start_line", "end_line"], size, overlap)
+    gaps = split_rows(islands(files, entities), ["repo_id", "rel_path", "start_line", "end_line"], size, overlap)
     gaps = gaps.withColumns({"entity": F.lit(None).cast("string"), "entity_type": F.lit(None).cast("string"), "emit_pos": F.lit(1_000_000) + F.col("piece_pos")})
     return whole.select(columns).unionByName(split.select(columns)).unionByName(gaps.select(columns))
 

@@ -1,16 +1,21 @@
 """Extraction of imports, declarations and markdown parts from texts.
 
-Every extractor turns one row into many with native regular expressions and higher-order
-functions; nothing is shuffled but where anchors are numbered within a page.
+Every extractor turns one row into many, with native regular expressions and higher-order
+functions but for declarations, which one Arrow pass scans; nothing is shuffled but where
+anchors are numbered within a page.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomscribe.functions.text import is_file_path, path_suffix, slugify_heading
+from loomscribe.operators.declarations import HEADS, declarations
 
 _FLAGS = "(?Umd)"
 #: Import statements by language, module names in the groups.
@@ -45,103 +50,31 @@ def extract_imports(files: DataFrame) -> DataFrame:
     return files.select("repo_id", "rel_path", suffix.alias("suffix"), F.posexplode(found).alias("import_pos", "raw_import"))
 
 
-_BRACE = r"^(\s*)(?:(?:export|default|public|private|protected|internal|static|abstract|final|sealed|data|open|override|async|pub(?:\([^)]*\))?|unsafe|suspend|inline|virtual|const)\s+)*"
-#: Declarations: suffixes -> (pattern with groups indent, keyword, name, rest; block by indent).
-DECLARATIONS = (
-    ((".py",), r"^(\s*)(?:async\s+)?(class|def)\s+(\w+)\s*(.*)$", True),
-    ((".js", ".jsx", ".ts", ".tsx"), _BRACE + r"(class|interface|function\*?)\s+(\w+)\s*(.*)$", False),
-    ((".go",), r"^(\s*)(func|type)\s+(?:\([^)]*\)\s*)?(\w+)\s*(.*)$", False),
-    ((".java", ".cs"), _BRACE + r"(class|interface|enum|struct)\s+(\w+)\s*(.*)$", False),
-    ((".kt", ".kts"), _BRACE + r"(class|interface|object|fun)\s+(\w+)\s*(.*)$", False),
-    ((".rs",), _BRACE + r"(struct|enum|trait|impl|fn)\s+(\w+)\s*(.*)$", False),
-    ((".c", ".h", ".cpp", ".cc"), r"^(\s*)(class|struct|(?!return|else|if|for|while|switch)[\w:*&<>]+)\s+\**(\w+)\s*(\(.*|\{.*|:.*)$", False),
+_ENTITIES = pa.schema(
+    [("repo_id", pa.string()), ("rel_path", pa.string()), ("entity_pos", pa.int32()), ("type", pa.string()), ("name", pa.string())]
+    + [("start_line", pa.int32()), ("end_line", pa.int32()), ("signature", pa.string()), ("docstring", pa.string())]
 )
-CLASS_WORDS = ("class", "struct", "interface", "object", "impl", "type", "trait", "enum")
-
-
-def _indent(line: Column) -> Column:
-    return F.length(F.regexp_extract(line, r"^(\s*)", 1))
-
-
-def _opened(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit("{"), F.lit(""))) - (F.length(line) - F.length(F.replace(line, F.lit("}"), F.lit(""))))
-
-
-def _end(lines: Column, at: Column, by_indent: bool) -> Column:
-    """The last line (from 0) of the block that begins at ``at``."""
-    tail = F.slice(lines, at + 2, F.size(lines))
-    if by_indent:
-        own = _indent(F.element_at(lines, at + 1))
-        start = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("end"), F.lit(False).alias("over"))
-
-        def walk(s: Column, line: Column) -> Column:
-            blank = F.trim(line) == ""
-            over = s["over"] | (~blank & (_indent(line) <= own))
-            seen = s["seen"] + 1
-            return F.struct(seen.alias("seen"), F.when(~over & ~blank, seen).otherwise(s["end"]).alias("end"), over.alias("over"))
-
-        return at + F.aggregate(tail, start, walk, lambda s: s["end"])
-    first = F.element_at(lines, at + 1)
-    start = F.struct(_opened(first).alias("depth"), F.contains(first, F.lit("{")).alias("begun"), F.lit(0).alias("seen"), F.lit(0).alias("end"), F.lit(False).alias("over"))
-    start = F.transform(F.array(start), lambda s: F.struct(s["depth"].alias("depth"), s["begun"].alias("begun"), s["seen"].alias("seen"), s["end"].alias("end"), ((s["begun"] & (s["depth"] <= 0)) | first.rlike(r"[;)]\s*$")).alias("over")))
-
-    def walk_braces(s: Column, line: Column) -> Column:
-        depth, begun, seen = s["depth"] + _opened(line), s["begun"] | F.contains(line, F.lit("{")), s["seen"] + 1
-        closed = ~s["over"] & begun & (depth <= 0)
-        end = F.when(s["over"], s["end"]).when(closed, seen).otherwise(s["end"])
-        return F.struct(depth.alias("depth"), begun.alias("begun"), seen.alias("seen"), end.alias("end"), (s["over"] | closed).alias("over"))
-
-    return at + F.aggregate(tail, F.element_at(start, 1), walk_braces, lambda s: s["end"])
-
-
-def _doc(lines: Column, at: Column, by_indent: bool) -> Column:
-    """At most 300 characters of documentation: a triple-quoted block below or a comment above."""
-    if by_indent:
-        below = F.array_join(F.slice(lines, at + 2, F.lit(40)), "\n")
-        quoted = F.regexp_extract(below, r'(?s)\A\s*[rRuU]?(?:"""|\'\'\')(.*?)(?:"""|\'\'\')', 1)
-    else:
-        above = F.array_join(F.slice(lines, F.greatest(at - 19, F.lit(1)), F.least(at, F.lit(20))), "\n")
-        quoted = F.regexp_replace(F.regexp_extract(above, r"(?s)((?:/\*\*?(?:(?!\*/).)*\*/)|(?:(?:^|\n)\s*///?[^\n]*)+)\s*\z", 1), r"(?m)^\s*(?:/\*\*?|\*/|\*|///?)\s?|\*/", "")
-    return F.nullif(F.substring(F.trim(F.regexp_replace(quoted, r"\A\s+|\s+\z", "")), 1, 300), F.lit(""))
-
-
-def _declarations(pattern: str, by_indent: bool) -> Column:
-    """The declarations in the column ``lines`` as an array of structs."""
-
-    def entity(x: Column) -> Column:
-        line, at = x["line"], x["at"]
-        part = lambda g: F.regexp_extract(line, pattern, g)
-        is_class = F.lower(part(2)).isin(*CLASS_WORDS)
-        rest = F.regexp_replace(F.trim(part(4)), r"\s*(?:[:{]|=>)\s*[^)\]]*$", "")
-        sign = F.regexp_extract(rest, r"^(\([^)]*\))", 1)
-        back = F.trim(F.regexp_replace(F.regexp_extract(rest, r"^\([^)]*\)\s*(?:->|:)?\s*(.*)$", 1), r"[:{].*$", ""))
-        signature = F.concat(part(3), sign, F.when(back != "", F.concat(F.lit(" -> "), back)).otherwise(F.lit("")))
-        return F.struct(
-            F.when(is_class, F.lit("class")).otherwise(F.lit("function")).alias("type"),
-            part(3).alias("name"),
-            (at + 1).alias("start_line"),
-            (_end(F.col("lines"), at, by_indent) + 1).alias("end_line"),
-            F.when(sign != "", signature).alias("signature"),
-            _doc(F.col("lines"), at, by_indent).alias("docstring"),
-        )
-
-    numbered = F.transform(F.col("lines"), lambda line, i: F.struct(line.alias("line"), i.alias("at")))
-    return F.transform(F.filter(numbered, lambda x: x["line"].rlike(pattern)), entity)
 
 
 def extract_entities(files: DataFrame) -> DataFrame:
     """``repo_id, rel_path, entity_pos, type, name, start_line, end_line, signature, docstring``.
 
-    A declaration scan: lines that look like a declaration of the file's language, in order,
-    with the block that follows by indentation or braces.  Declarations inside strings or
-    comments cannot be told apart from real ones.
+    A declaration scan: the heads of declarations in the file's language, in order, nested ones
+    too, with the block that follows by indentation or braces, the parameters and result, and at
+    most 300 characters of documentation.  One map-side pass, linear in a file's length.
     """
-    suffix, found = path_suffix(F.col("rel_path")), F.lit(None)
-    lines = F.split("content", "\n")
-    for suffixes, pattern, by_indent in DECLARATIONS:
-        found = F.when(F.col("suffix").isin(*suffixes), _declarations(pattern, by_indent)).otherwise(found)
-    marked = files.select("repo_id", "rel_path", suffix.alias("suffix"), lines.alias("lines"))
-    return marked.select("repo_id", "rel_path", F.posexplode(found).alias("entity_pos", "e")).select("repo_id", "rel_path", "entity_pos", "e.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for repo, path, suffix, content in zip(*(batch[c].to_pylist() for c in ("repo_id", "rel_path", "suffix", "content")), strict=True):
+                rows += [(repo, path, i, *d) for i, d in enumerate(declarations(content or "", suffix))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ENTITIES)], schema=_ENTITIES)
+
+    suffix = path_suffix(F.col("rel_path"))
+    known = files.select("repo_id", "rel_path", suffix.alias("suffix"), "content").filter(F.col("suffix").isin(*HEADS))
+    fields = "repo_id string, rel_path string, entity_pos int, type string, name string, start_line int, end_line int, signature string, docstring string"
+    return known.mapInArrow(run, fields)
 
 
 def file_info(files: DataFrame, entities: DataFrame, names: int = 20) -> DataFrame:

@@ -167,7 +167,7 @@ QUERIES = {
     "chunk_entities": lambda s, d: chunks.chunk_entities(_code(s, d), _entities(s, d)).select("repo_id", "rel_path", "start_line", "end_line", F.md5("text").alias("h"), "entity", "entity_type"),
     "chunk_index": lambda s, d: chunks.chunk_index(_code(s, d), _entities(s, d)).select("repo_id", "file", "chunk_idx", "start_line", "end_line", "entity"),
     "cover_lines": lambda s, d: chunks.uncovered_lines(_code(s, d), _entities(s, d)),
-    "islands": lambda s, d: chunks.islands(chunks.uncovered_lines(_code(s, d), _entities(s, d))).select("repo_id", "rel_path", "start_line", "end_line", F.md5("content").alias("h")),
+    "islands": lambda s, d: chunks.islands(_code(s, d), _entities(s, d)).select("repo_id", "rel_path", "start_line", "end_line", F.md5("content").alias("h")),
     "l2_normalize": lambda s, d: table(s, d, "embeddings").select("vec_id", F.round(F.aggregate(vectors.l2_normalize(F.col("embedding")), F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm")),
     "embed_chunks": lambda s, d: vectors.embed(table(s, d, "part").select("p_partkey", F.col("p_name").alias("text"))).select("p_partkey", F.posexplode("embedding").alias("bucket", "n")).filter("n > 0"),
     "vector_scan_join": lambda s, d: vectors.topk(*_vec(s, d), 1 << 30).select("repo_id", "query_id", "chunk_id", "score"),
