@@ -5,10 +5,10 @@ merges, at every step, the leftmost adjacent pair of lowest rank: the rank of a
 also the id of the merged piece) comes from a literal rank map, and only the two pairs that a
 merge touches are looked up again.  What is left when no pair has a rank are the tokens.
 Decoding concatenates the binary pieces of the ids.  Spark finds keys of a literal map by
-scanning, so the rank map is two literal arrays of buckets, one of pairs and one of their ranks.
+scanning, so the rank map is a literal array of slots, two for each pair.
 
 Words are folded once for many texts.  The most frequent words of the corpus, at most ``TABLE``
-of at most ``MAX_ENTRY_BYTES`` (some 60 MB of a Python worker), are folded first and broadcast.
+of at most ``MAX_ENTRY_BYTES`` (some 130 MB of a Python worker), are folded first and broadcast.
 Then texts go through in chunks of ``CHUNK_BYTES``: a chunk is a row with its texts and those of
 its distinct words that the table lacks, the fold encodes and decodes these, and the next step
 puts the texts together.  No word occurrence is shuffled.  A word that is a token needs no fold.
@@ -43,8 +43,9 @@ from pyspark.sql import functions as F
 from loomscribe.llm.common import arrow_rows, clean, frequent, pieces, texts_of, uneven_pieces
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-BUCKETS = 1 << 16
-TABLE, MAX_ENTRY_BYTES = 1 << 18, 48
+#: Slots of the rank map, a few for each pair.
+SLOTS = 1 << 18
+TABLE, MAX_ENTRY_BYTES = 1 << 19, 48
 CHUNK_BYTES = 3 << 20
 LONG = 128
 #: Pieces that a Python worker remembers.
@@ -64,59 +65,73 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _slots(a: int, b: int) -> tuple[int, int]:
+    return (a * 40503 + b) % SLOTS, (a * 24593 + b * 31) % SLOTS
+
+
+def rank_table(ranks: dict[bytes, int]) -> list[int | None]:
+    """By slot, (a << 32 | b << 16 | rank) of a pair of ids; each pair is in one of its two slots."""
+    table: list[int | None] = [None] * SLOTS
+    for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            a, b = ranks.get(token[:i]), ranks.get(token[i:])
+            if a is None or b is None:
+                continue
+            entry, slot = a << 32 | b << 16 | rank, _slots(a, b)[0]
+            for _ in range(1000):
+                entry, table[slot] = table[slot], entry
+                if entry is None:
+                    break
+                slot = sum(_slots(entry >> 32, entry >> 16 & 0xFFFF)) - slot
+            else:
+                raise ValueError("the pairs do not fit: raise SLOTS")
+    return table
+
+
 class RankMap:
     """The literal rank map over pairs of ids, and the literal pieces by id."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        pairs: list[list[int]] = [[] for _ in range(BUCKETS)]
-        values: list[list[int]] = [[] for _ in range(BUCKETS)]
-        for token, rank in ranks.items():
-            for i in range(1, len(token)):
-                a, b = ranks.get(token[:i]), ranks.get(token[i:])
-                if a is not None and b is not None:
-                    pairs[(a * 40503 + b) % BUCKETS].append(a << 20 | b)
-                    values[(a * 40503 + b) % BUCKETS].append(rank)
         pieces_of = [""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             pieces_of[rank] = token.hex().upper()
-        self.pairs, self.values = (
-            F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), f"array<array<{kind}>>") for x, kind in ((pairs, "bigint"), (values, "int"))
-        )
+        table = json.dumps(rank_table(ranks), separators=(",", ":"))
+        self.table = F.from_json(F.lit(table), "array<bigint>")
         self.bytes = F.lit([ranks[bytes([b])] for b in range(256)])
         self.pieces = F.split(F.lit(",".join(pieces_of)), ",")
 
     def rank(self, a: Column, b: Column) -> Column:
-        """The rank of a pair of ids, null if it has none or one of them is null."""
-        a = a.cast("long")
-        bucket = ((a * 40503 + b) % BUCKETS).cast("int")
-        at = F.array_position(F.get(self.pairs, bucket), a * (1 << 20) + b).cast("int")
-        return F.get(F.get(self.values, bucket), at - 1)
+        """The rank of a pair of ids (long), null if it has none or one of them is null."""
+        pair = a * (1 << 16) + b
+        one, two = (F.get(self.table, (x % SLOTS).cast("int")) for x in (a * 40503 + b, a * 24593 + b * 31))
+        return F.when(F.shiftright(one, 16) == pair, one % (1 << 16)).when(F.shiftright(two, 16) == pair, two % (1 << 16))
 
     def encode(self, word: Column) -> Column:
         """The ids of a word (an array of byte values)."""
-        none = F.expr("array()").cast("array<int>")
+        none = F.expr("array()").cast("array<bigint>")
 
-        def state(p: Column) -> Column:
+        def start(p: Column) -> Column:
             return F.struct(p.alias("p"), F.zip_with(p, F.slice(p, 2, F.size(p)), self.rank).alias("r"))
 
-        def merge(s: Column, least: Column, at: Column) -> Column:
-            p, r = s["p"], s["r"]
-            before = F.when(at > 1, F.array(self.rank(F.get(p, at - 2), least))).otherwise(none)
+        def merge(s: Column, least: Column) -> Column:
+            p, r, at, rank = s["p"], s["r"], (least % (1 << 20)).cast("int"), F.shiftright(least, 20)
+            before = F.when(at > 0, F.array(self.rank(F.get(p, at - 1), rank))).otherwise(none)
             return F.struct(
-                F.concat(F.slice(p, F.lit(1), at - 1), F.array(least), F.slice(p, at + 2, F.size(p))).alias("p"),
-                F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), before, F.array(self.rank(least, F.get(p, at + 1))), F.slice(r, at + 2, F.size(r))).alias("r"),
+                F.concat(F.slice(p, F.lit(1), at), F.array(rank), F.slice(p, at + 3, F.size(p))).alias("p"),
+                F.concat(F.slice(r, F.lit(1), F.greatest(at - 1, F.lit(0))), before, F.array(self.rank(rank, F.get(p, at + 2))), F.slice(r, at + 3, F.size(r))).alias("r"),
             )
 
         def step(s: Column, _: Column) -> Column:
-            found = lambda least: F.when(least.isNull(), s).otherwise(_let(F.array_position(s["r"], least).cast("int"), lambda at: merge(s, least, at)))
-            return _let(F.array_min(s["r"]), found)
+            least = F.array_min(F.transform(s["r"], lambda rank, i: rank * (1 << 20) + i))
+            return _let(least, lambda x: F.when(x.isNull(), s).otherwise(merge(s, x)))
 
-        start = state(F.transform(word, lambda b: F.get(self.bytes, b.cast("int"))))
-        return F.when(F.size(word) == 0, none).otherwise(F.aggregate(F.slice(word, 2, F.size(word)), start, step, lambda s: s["p"]))
+        ids = F.transform(word, lambda b: F.get(self.bytes, b.cast("int")).cast("long"))
+        folded = _let(ids, lambda p: F.aggregate(F.slice(word, 2, F.size(word)), start(p), step, lambda s: s["p"]))
+        return F.when(F.size(word) == 0, none).otherwise(folded)
 
     def decode(self, ids: Column) -> Column:
         """The bytes of ids."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""))
+        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i.cast("int"))), ""))
 
 
 def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -265,20 +280,22 @@ def word_table(texts: DataFrame, ranks: RankMap, words: list[str]) -> dict[str,
         return {}
     bounds = [*range(0, len(words), 2048), len(words)]
     groups = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), _values([w.encode() for w in words]))
-    frame = texts.sparkSession.createDataFrame(pa.table({"words": groups})).repartition(len(groups))
+    spark = texts.sparkSession
+    frame = spark.createDataFrame(pa.table({"words": groups})).repartition(min(len(groups), 2 * spark.sparkContext.defaultParallelism))
     frame = frame.select(F.transform("words", ranks.encode).alias("ids"))
     found = frame.select(*_joined(ranks)).toArrow().combine_chunks()
-    columns = (found[c].combine_chunks().flatten().to_pylist() for c in ("word_ids", "sizes", "decoded"))
-    return {raw.decode(): (ids, n, raw) for ids, n, raw in zip(*columns, strict=True)}
+    columns = (found[c].combine_chunks().flatten().to_pylist() for c in ("word_ids", "decoded"))
+    return {raw.decode(): _token(ids, raw) for ids, raw in zip(*columns, strict=True)}
+
+
+def _token(ids: str, raw: bytes) -> Token:
+    return ids, ids.count(",") + 1, raw
 
 
 def _joined(ranks: RankMap) -> list[Column]:
-    """Of ``ids`` (arrays by word): joined by commas, their numbers, and the bytes they stand for."""
-    return [
-        F.transform("ids", lambda w: F.array_join(w.cast("array<string>"), ",")).alias("word_ids"),
-        F.transform("ids", F.size).alias("sizes"),
-        F.transform("ids", ranks.decode).alias("decoded"),
-    ]
+    """Of ``ids`` (arrays by word): joined by commas, and the bytes they stand for."""
+    joined = F.transform("ids", lambda w: F.array_join(w.cast("array<string>"), ","))
+    return [joined.alias("word_ids"), F.transform("ids", ranks.decode).alias("decoded")]
 
 
 def _chunks(texts: DataFrame, shared: _Shared) -> DataFrame:
@@ -310,16 +327,17 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     plain, texts = read_ranks(path), texts_of(docs)
     ranks = RankMap(plain)
     table = word_table(texts, ranks, frequent_words(texts, plain))
-    shared = _Shared(docs.sparkSession.sparkContext.broadcast((table, plain)))
-    encoded = _chunks(texts, shared).select("doc_ids", "texts", F.transform("words", ranks.encode).alias("ids"))
+    spread = docs.sparkSession.sparkContext.broadcast
+    shared = _Shared(spread((table, plain)))
+    encoded = _chunks(texts, _Shared(spread((dict.fromkeys(table), plain)))).select("doc_ids", "texts", F.transform("words", ranks.encode).alias("ids"))
     encoded = encoded.select("doc_ids", "texts", *_joined(ranks))
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                doc_ids, bodies, ids, sizes, decoded = (batch[c][i].as_py() for c in ("doc_ids", "texts", "word_ids", "sizes", "decoded"))
-                folded = {raw.decode(): (w, n, raw) for w, n, raw in zip(ids, sizes, decoded, strict=True)}
+                doc_ids, bodies, ids, decoded = (batch[c][i].as_py() for c in ("doc_ids", "texts", "word_ids", "decoded"))
+                folded = {raw.decode(): _token(w, raw) for w, raw in zip(ids, decoded, strict=True)}
                 by = reader(shared)
                 if len(by.known) > CACHE_ENTRIES:
                     by.known.clear()
