@@ -66,10 +66,11 @@ COUNTED = 400_000
 
 
 def frequent(texts: DataFrame, items: Callable[[Counter], Counter], size: int, longest: int) -> list[str]:
-    """About the ``size`` most frequent items of all texts, of at most ``longest`` bytes each.
+    """The most frequent items of all texts, ``size`` at most, of at most ``longest`` bytes each.
 
     ``items`` turns counts of ``pieces`` into counts of items.  Every task counts its own texts and
-    hands on at most ``size`` items, so what is shuffled and what reaches the driver is bounded.
+    hands on at most ``size`` items.  A histogram of the counts (8 levels a doubling) gives the level
+    from which on the items are few enough, so no task or driver sees more than ``size`` of them.
     The list only serves lookups that have another way for what it lacks.
     """
     out = pa.schema([("item", pa.string()), ("n", pa.int64())])
@@ -85,7 +86,16 @@ def frequent(texts: DataFrame, items: Callable[[Counter], Counter], size: int, l
         yield arrow_rows(out, {"item": [i for i, _ in best], "n": [n for _, n in best]})
 
     counted = texts.select("text").mapInArrow(count, "item string, n long").groupBy("item").agg(F.sum("n").alias("n"))
-    return counted.orderBy(F.desc("n"), "item").limit(size).toArrow()["item"].to_pylist()
+    work = Workspace(texts.sparkSession, "frequent")
+    counted = work.save(counted.withColumn("level", F.floor(F.log2("n") * 8).cast("int")), "counted")
+    left, least = size, None
+    for level, n in sorted(counted.groupBy("level").count().collect(), reverse=True):
+        if n > left:
+            break
+        left, least = left - n, level
+    found = [] if least is None else counted.filter(F.col("level") >= least).select("item").toArrow()["item"].to_pylist()
+    work.drop("counted")
+    return found
 
 
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
