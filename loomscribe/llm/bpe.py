@@ -100,29 +100,34 @@ class RankMap:
         self.bytes = F.lit([ranks[bytes([b])] for b in range(256)])
         self.pieces = F.split(F.lit(",".join(pieces_of)), ",")
 
-    def rank(self, a: Column, b: Column) -> Column:
+    @staticmethod
+    def rank(table: Column, a: Column, b: Column) -> Column:
         """The rank of a pair of ids (long), null if it has none or one of them is null."""
         pair = a * (1 << 16) + b
-        one, two = (F.get(self.table, (x % SLOTS).cast("int")) for x in (a * 40503 + b, a * 24593 + b * 31))
+        one, two = (F.get(table, (x % SLOTS).cast("int")) for x in (a * 40503 + b, a * 24593 + b * 31))
         return F.when(F.shiftright(one, 16) == pair, one % (1 << 16)).when(F.shiftright(two, 16) == pair, two % (1 << 16))
 
     def encode(self, word: Column) -> Column:
-        """The ids of a word (an array of byte values)."""
+        """The ids of a word (an array of byte values); the plan holds the rank map once."""
+        return _let(self.table, lambda table: self._fold(table, word))
+
+    def _fold(self, table: Column, word: Column) -> Column:
         none = F.expr("array()").cast("array<bigint>")
+        rank = lambda a, b: self.rank(table, a, b)
 
         def start(p: Column) -> Column:
-            return F.struct(p.alias("p"), F.zip_with(p, F.slice(p, 2, F.size(p)), self.rank).alias("r"))
+            return F.struct(p.alias("p"), F.zip_with(p, F.slice(p, 2, F.size(p)), rank).alias("r"))
 
         def merge(s: Column, least: Column) -> Column:
-            p, r, at, rank = s["p"], s["r"], (least % (1 << 20)).cast("int"), F.shiftright(least, 20)
-            before = F.when(at > 0, F.array(self.rank(F.get(p, at - 1), rank))).otherwise(none)
+            p, r, at, new = s["p"], s["r"], (least % (1 << 20)).cast("int"), F.shiftright(least, 20)
+            before = F.when(at > 0, F.array(rank(F.get(p, at - 1), new))).otherwise(none)
             return F.struct(
-                F.concat(F.slice(p, F.lit(1), at), F.array(rank), F.slice(p, at + 3, F.size(p))).alias("p"),
-                F.concat(F.slice(r, F.lit(1), F.greatest(at - 1, F.lit(0))), before, F.array(self.rank(rank, F.get(p, at + 2))), F.slice(r, at + 3, F.size(r))).alias("r"),
+                F.concat(F.slice(p, F.lit(1), at), F.array(new), F.slice(p, at + 3, F.size(p))).alias("p"),
+                F.concat(F.slice(r, F.lit(1), F.greatest(at - 1, F.lit(0))), before, F.array(rank(new, F.get(p, at + 2))), F.slice(r, at + 3, F.size(r))).alias("r"),
             )
 
         def step(s: Column, _: Column) -> Column:
-            least = F.array_min(F.transform(s["r"], lambda rank, i: rank * (1 << 20) + i))
+            least = F.array_min(F.transform(s["r"], lambda x, i: x * (1 << 20) + i))
             return _let(least, lambda x: F.when(x.isNull(), s).otherwise(merge(s, x)))
 
         ids = F.transform(word, lambda b: F.get(self.bytes, b.cast("int")).cast("long"))
