@@ -102,27 +102,30 @@ def replace_architecture(content: Column, diagram: Column) -> Column:
     return F.concat(F.lit("## Architecture\n\n```mermaid\n"), diagram, F.lit("\n```\n\n"), rest)
 
 
-_SPECIAL = r"(){}|<>/"
-
-
 def _quoted(inner: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(inner, F.lit('"'), F.lit("#quot;")), F.lit('"'))
 
 
-def _sub(line: Column, shape: str, inner: str, must: str) -> Column:
-    """Quote group 2 of ``shape`` wherever it holds a special character and no quote yet."""
-    return F.regexp_replace(line, shape.format(inner=inner, must=must), '$1"$2"$3')
+def _edge_labels(line: Column) -> Column:
+    """Labels between pairs of bars, quoted where they hold special characters and no quote leads."""
+
+    def label(part: Column, i: Column) -> Column:
+        inside = (i % 2 == 1) & (i < F.size(F.split(line, r"\|")) - 1)
+        return F.when(inside & part.rlike(r"[(){}<>/]") & ~part.startswith('"'), _quoted(part)).otherwise(part)
+
+    return F.array_join(F.transform(F.split(line, r"\|"), label), "|")
 
 
 def _sanitize_line(line: Column) -> Column:
     special = r"[(){}|<>/]"
-    line = F.regexp_replace(line, r'(\|)(?!")(?=[^|\n]*[(){}<>/])([^|\n]+)(\|)', '$1"$2"$3')
-    line = F.regexp_replace(line, r'(\w\(\()(?!")(?=(?:(?!\)\)).)*' + special + r')((?:(?!\)\)(?!\))).)+\)?)(\)\))', '$1"$2"$3')
-    line = F.regexp_replace(line, r'(\w\{\{)(?!")(?=(?:(?!\}\}).)*' + special + r")((?:(?!\}\}).)+)(\}\})", '$1"$2"$3')
+    line = _edge_labels(line)
+    line = F.regexp_replace(line, r'(\w\(\()(?!")(?=(?:(?!\)\)).)*(?!\)\))' + special + r')((?:(?!\)\)(?!\))).)+\)?)(\)\))', '$1"$2"$3')
+    line = F.regexp_replace(line, r'(\w\{\{)(?!")(?=(?:(?!\}\}).)*(?!\}\})' + special + r")((?:(?!\}\}).)+)(\}\})", '$1"$2"$3')
     line = F.regexp_replace(line, r'(\w\[[(\[/])(?!")(?=[^\]"]*' + special + r'[^\]"]*[)\]/]\])([^\]"]*?)([)\]/]\])', '$1"$2"$3')
     line = F.regexp_replace(line, r'(\w\[)(?!["(\[/])(?=[^\]"]*' + special + r')([^\]"]+)(\])', '$1"$2"$3')
     line = F.regexp_replace(line, r'(\w\([\[])(?!")(?=[^)\]"]*' + special + r')([^)\]"]+)([\]]\))', '$1"$2"$3')
-    line = F.regexp_replace(line, r'(\w\()(?!["(\[])(?=[^)"]*[({}|<>/])([^"\n]*?[^)"\n])(\)(?!\)))', '$1"$2"$3')
+    # a round label may hold pairs of brackets of its own, but does not reach into another node
+    line = F.regexp_replace(line, r'(\w\()(?!["(\[])(?=[^)"]*[({}|<>/])((?:[^()"\n]|\([^()"\n]*\))+)(\)(?!\)))', '$1"$2"$3')
     return F.regexp_replace(line, r'(\w\{)(?!["{])(?=[^}"]*[(){|<>/])([^}"]+)(\}(?!\}))', '$1"$2"$3')
 
 

@@ -4,7 +4,9 @@ the ignore patterns, whose small table is joined by repository."""
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,10 +65,16 @@ def ignore_regex(pattern: str) -> str | None:
 
 
 def ignored_files(files: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Files of ``patterns`` (``repo_id, line_no, pattern``) that its last match drops."""
-    rows = [(*r, ignore_regex(r[2]), r[2].startswith("!")) for r in patterns.select("repo_id", "line_no", "pattern").toLocalIterator()]
-    spark = files.sparkSession
-    compiled = spark.createDataFrame([r for r in rows if r[3]], "repo_id string, line_no int, pattern string, regex string, negated boolean")
+    """Files of ``patterns`` (``repo_id, line_no, pattern``) that its last match drops.
+
+    Distinct patterns are translated in tasks; files meet the patterns of their repository only."""
+
+    def translate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("regex", pa.array([ignore_regex(p or "") for p in batch["pattern"].to_pylist()], pa.string()))
+
+    regexes = patterns.select("pattern").distinct().mapInArrow(translate, "pattern string, regex string").filter("regex is not null")
+    compiled = patterns.join(regexes, "pattern").select("repo_id", "line_no", "regex", F.col("pattern").startswith("!").alias("negated"))
     hits = files.select("repo_id", "rel_path").join(compiled, "repo_id").filter(F.expr("rel_path rlike regex"))
     last = hits.groupBy("repo_id", "rel_path").agg(F.max_by("negated", "line_no").alias("negated"))
     return last.filter(~F.col("negated")).select("repo_id", "rel_path")

@@ -1,6 +1,6 @@
 """Normalised vectors, default embeddings and exact cosine search.
 
-Queries are the small side and are broadcast when their count is checked to be small, else
+Queries are the small side and are broadcast when their bytes are checked to be few, else
 joined by repository; scores are native dot products in double precision, and only the first
 k per query leave each map-side partition (the window's group limit).
 """
@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BROADCAST_QUERIES = 20_000
+#: Bytes of query vectors that may be broadcast; more are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -38,15 +39,28 @@ def embed(rows: DataFrame, text: str = "text", embedder: Callable[[Column], Colu
     return rows.withColumn("embedding", embedder(F.col(text)))
 
 
-def topk(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """``repo_id, query_id, rank, score, chunk_id``: best chunks of each query's repository."""
+def _scored(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``repo_id, query_id, chunk_id, score`` of all chunks of each query's repository."""
     asked = queries.select("repo_id", "query_id", l2_normalize(F.col("embedding")).alias("q"))
-    if queries.count() <= BROADCAST_QUERIES:
+    n_bytes = queries.agg(F.coalesce(F.sum(8 * F.size("embedding")), F.lit(0))).first()[0]
+    if n_bytes <= BROADCAST_BYTES:
         asked = F.broadcast(asked)
     scored = chunks.select("repo_id", "chunk_id", l2_normalize(F.col("embedding")).alias("v")).join(asked, "repo_id")
-    scored = scored.select("repo_id", "query_id", "chunk_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
+    return scored.select("repo_id", "query_id", "chunk_id", dot(F.col("q"), F.col("v")).alias("score"))
+
+
+def topk(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
+    """``repo_id, query_id, rank, score, chunk_id``: best chunks of each query's repository, by the
+    unrounded score; the score returned is rounded to six places."""
+    scored = _scored(queries, chunks)
     rank = F.row_number().over(W.partitionBy("repo_id", "query_id").orderBy(F.desc("score"), "chunk_id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("repo_id", "query_id", "rank", "score", "chunk_id")
+    best = scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return best.select("repo_id", "query_id", "rank", F.round("score", 6).alias("score"), "chunk_id")
+
+
+def scan(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``repo_id, query_id, score, chunk_id``: every query against every chunk of its repository, unranked."""
+    return _scored(queries, chunks).select("repo_id", "query_id", F.round("score", 6).alias("score"), "chunk_id")
 
 
 def multi_topk(hits: DataFrame, groups: DataFrame) -> DataFrame:

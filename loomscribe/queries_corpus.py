@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomscribe.functions import text as P
 from loomscribe.operators import extract, filters, graph
 from loomscribe.sources import corpus
+from loomscribe.sources.scratch import Workspace
 from loomscribe.sources.carriers import carrier, ctes
 
 
@@ -66,7 +67,7 @@ def _plan_json(s: SparkSession, d: str) -> DataFrame:
 def _conform(s: SparkSession, d: str) -> DataFrame:
     from pyspark.sql.types import StructType
 
-    wanted = StructType().add("n_nationkey", "long").add("n_name", "string").add("stars", "int").add("status", "string")
+    wanted = StructType().add("n_nationkey", "long").add("n_name", "string").add("stars", "integer").add("status", "string")
     return corpus.conform(table(s, d, "nation"), wanted)
 
 
@@ -81,8 +82,17 @@ def _ignored(s: SparkSession, d: str) -> DataFrame:
     return filters.filter_corpus(_mixed(s, d), patterns).select("repo_id", "rel_path")
 
 
+def _scan(s: SparkSession, d: str) -> DataFrame:
+    """The documents as text files in a folder per source, scanned like any tree of files."""
+    root = f"{Workspace(s, 'scan').folder}/files"
+    texts = table(s, d, "documents").select("source", F.coalesce("text", F.lit("")).alias("value"))
+    texts.write.option("maxRecordsPerFile", 200).partitionBy("source").text(root)
+    files = corpus.scan_corpus(s, root, "documents").filter(F.col("rel_path").endswith(".txt"))
+    return files.groupBy(F.regexp_extract("rel_path", "source=([^/]+)/", 1).alias("source")).agg(F.sum("size").alias("size"), F.sum(F.length("content")).alias("n"))
+
+
 QUERIES = {
-    "corpus_scan": lambda s, d: _mixed(s, d).select("repo_id", "rel_path", "size", F.length("content").alias("n")),
+    "corpus_scan": _scan,
     "text_decode": lambda s, d: table(s, d, "documents").select("doc_id", F.length(corpus.decode_text(F.concat(F.encode("text", "utf-8"), F.unhex(F.lit("FF"))))).alias("n")),
     "readme_pick": _readmes,
     "catalog_scan": lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("repo_id"), "c_name"),
@@ -177,7 +187,7 @@ ent as (
 _MD = "with " + ctes("md_pages")
 
 SQL = {
-    "corpus_scan": _M + " select repo_id, rel_path, size, length(content) n from mixed_files",
+    "corpus_scan": "select source, sum(octet_length(encode(coalesce(text, ''))) + 1)::bigint size, sum(length(coalesce(text, '')) + 1)::bigint n from documents group by 1",
     "text_decode": "select doc_id, length(text) + 1 as n from documents",
     "readme_pick": """with f as (select cast(doc_id // 3 as varchar) repo_id, doc_id % 4 k, text from documents),
 b as (select repo_id, arg_min(substr(text, 1, 300), case k when 3 then 2 when 1 then 4 else 5 end) readme from f where k <> 2 group by 1)

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from loomscribe.functions.text import slugify_title
 from loomscribe.operators import chunks, extract, filters, graph, vectors
 from loomscribe.plans import pages as plans
-from loomscribe.plans import refresh
+from loomscribe.plans import refresh, runs
 from loomscribe.queries_corpus import _BUDGET, _C, _CC, _ENT, _IMPORTS, _P, _entities, _graph, _page_files, table
-from loomscribe.sources import tables
+from loomscribe.sources import corpus, tables
 from loomscribe.sources.carriers import carrier, ctes
 from loomscribe.sources.scratch import Workspace
 from loomscribe.streaming import jobs as streams
@@ -125,12 +125,11 @@ def _frames(s: SparkSession, d: str) -> DataFrame:
     answers = _chat(s, d).filter("role = 'assistant'")
     cut = answers.select("session_id", F.col("seq").alias("turn"), F.posexplode(F.split("content", "(?<= )")).alias("seq", "content")).withColumn("type", F.lit("chunk"))
     end = answers.select("session_id", F.col("seq").alias("turn"), F.coalesce(F.size(F.split("content", "(?<= )")), F.lit(0)).alias("seq"), F.lit("").alias("content"), F.when(F.col("session_id") % 5 == 0, "error").otherwise("done").alias("type"))
-    return cut.unionByName(end).select("session_id", "turn", F.col("seq").cast("long").alias("seq"), "type", "content")
+    return cut.unionByName(end).select("session_id", "turn", F.col("seq").cast("long").alias("seq"), "type", "content", F.timestamp_seconds(60 * F.col("turn") + F.col("seq")).alias("ts"))
 
 
 def _decision(s: SparkSession, d: str) -> DataFrame:
-    repos = _code(s, d).select("repo_id").distinct().withColumns({"old_commit": F.lit("a"), "new_commit": F.when(F.col("repo_id") == "r1", F.lit("a")).otherwise(F.lit("b"))})
-    return refresh.refresh_decision(repos, _diff(s, d), _plan(s, d), _page_files(s, d))
+    return refresh.refresh_decision(_commits(s, d), _diff(s, d), _plan(s, d), _page_files(s, d))
 
 
 def _merge(s: SparkSession, d: str) -> DataFrame:
@@ -139,26 +138,61 @@ def _merge(s: SparkSession, d: str) -> DataFrame:
     return refresh.refresh_merge(old, new, _slugs(_affected(s, d)).select("repo_id", "slug"))
 
 
+def _commits(s: SparkSession, d: str) -> DataFrame:
+    repos = _code(s, d).select("repo_id").distinct()
+    return repos.withColumns({"old_commit": F.lit("a"), "new_commit": F.when(F.col("repo_id") == "r1", F.lit("a")).otherwise(F.lit("b"))})
+
+
 def _ingest(s: SparkSession, d: str) -> DataFrame:
     old, new = _snaps(s, d)
-    found = streams.run_available(new, lambda arriving: arriving, files=2).drop("batch")
-    return refresh.snapshot_diff(old, found)
+    arrive = lambda batch: streams.ingest(batch, old, _commits(s, d), _plan(s, d), _page_files(s, d))
+    return streams.run_available(new, lambda arriving: arriving, files=4, keys=("repo_id",), per_batch=arrive)
 
 
 def _full_run(s: SparkSession, d: str) -> DataFrame:
-    """Corpus to graph to fallback plan to page prompts to text of a template generator."""
-    files = _code(s, d)
-    held = plans.fallback_plan(files, _comp(s, d))
-    titles = held.select("repo_id", "title").distinct()
-    deps = graph.page_deps(held, *_graph(s, d)[1:])
-    pages = titles.withColumns({"purpose": F.lit("Covers its files"), "parent": F.lit(None).cast("string"), "page_pos": F.lit(0)})
-    none = s.createDataFrame([], "repo_id string, title string, pos int, file string, text string")
-    prompts = plans.page_context_pack(pages, held, _entities(s, d), deps, none)
-    return prompts.select("repo_id", slugify_title(F.col("title")).alias("slug"), F.length("prompt").alias("n_chars"), F.concat(F.lit("# "), "title").alias("content"))
+    """Corpus to graph to fallback plan to retrieval to page prompts to texts."""
+    return runs.run_full(_code(s, d)).select("repo_id", "slug", "page_order", F.md5("content").alias("h"))
+
+
+def _refresh_run(s: SparkSession, d: str) -> DataFrame:
+    """A snapshot with changed and added files: its affected pages are written again."""
+    new = _code(s, d).withColumn("content_hash", F.when(F.col("p_partkey") % 47 == 0, F.lit("edited")).otherwise(F.md5("content")))
+    written = _slugs(_plan(s, d)).select("repo_id", "slug", F.col("page_pos").alias("page_order"), F.lit("old").alias("content"))
+    return runs.run_refresh(_snaps(s, d)[0], new, _commits(s, d), _plan(s, d), _page_files(s, d), written)
+
+
+def _written(s: SparkSession, rows: DataFrame, *write) -> DataFrame:
+    """What the sinks ``write`` leave of their rows in a folder of their own."""
+    path = f"{Workspace(s, 'sink').folder}/table"
+    for sink, part in write:
+        sink(part, path)
+    return s.read.schema(rows.schema).parquet(path).select(rows.columns)
 
 
-def _sink(s: SparkSession, d: str, write) -> DataFrame:
-    return Workspace(s, "sink").save(write, "rows")
+def _page_sink(s: SparkSession, d: str) -> DataFrame:
+    rows = _md(s, d).select("repo_id", "slug", "doc_id", "content")
+    return _written(s, rows, (tables.write_pages, rows)).select("repo_id", "slug", "doc_id", F.md5("content").alias("h"))
+
+
+def _vector_sink(s: SparkSession, d: str) -> DataFrame:
+    rows = _vec(s, d)[1]
+    values = F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x.cast("double"))
+    return _written(s, rows, (tables.write_partitioned, rows)).select("repo_id", "chunk_id", F.size("embedding").alias("dim"), F.round(values, 4).alias("x"))
+
+
+def _replaced(s: SparkSession, d: str) -> DataFrame:
+    rows = _md(s, d).select("repo_id", "doc_id")
+    fresh = rows.filter("repo_id in ('src0', 'src1') and doc_id % 2 = 0").select("repo_id", (-F.col("doc_id")).alias("doc_id"))
+    return _written(s, rows, (tables.write_partitioned, rows), (tables.write_partitioned, fresh))
+
+
+def _vector_source(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.concat(F.lit("chunk "), F.col("vec_id").cast("string")).alias("text"), "embedding")
+    work = Workspace(s, "vectors")
+    work.save(rows.select("chunk_id", "text"), "chunks")
+    work.save(rows.select("chunk_id", "embedding"), "vectors")
+    found = corpus.read_vectors(s, work.paths["chunks"], work.paths["vectors"])
+    return found.select("chunk_id", "text", F.size("embedding").alias("dim"))
 
 
 QUERIES = {
@@ -170,11 +204,11 @@ QUERIES = {
     "islands": lambda s, d: chunks.islands(_code(s, d), _entities(s, d)).select("repo_id", "rel_path", "start_line", "end_line", F.md5("content").alias("h")),
     "l2_normalize": lambda s, d: table(s, d, "embeddings").select("vec_id", F.round(F.aggregate(vectors.l2_normalize(F.col("embedding")), F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm")),
     "embed_chunks": lambda s, d: vectors.embed(table(s, d, "part").select("p_partkey", F.col("p_name").alias("text"))).select("p_partkey", F.posexplode("embedding").alias("bucket", "n")).filter("n > 0"),
-    "vector_scan_join": lambda s, d: vectors.topk(*_vec(s, d), 1 << 30).select("repo_id", "query_id", "chunk_id", "score"),
+    "vector_scan_join": lambda s, d: vectors.scan(*_vec(s, d)),
     "vector_topk": lambda s, d: vectors.topk(*_vec(s, d), 5),
     "multi_query_topk": _multi,
     "retrieve": _retrieved,
-    "vector_source": lambda s, d: _vec(s, d)[1].join(table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label"), "chunk_id").select("chunk_id", "label", F.size("embedding").alias("dim")),
+    "vector_source": _vector_source,
     "dup_slugs": lambda s, d: plans.duplicate_slugs(_plan(s, d).withColumn("title", F.regexp_replace("title", "#.*", ""))),
     "parent_validate": lambda s, d: plans.valid_parents(_plan(s, d)).select("repo_id", "title", "parent"),
     "orphan_assign": lambda s, d: plans.assign_orphans(_plan(s, d), _page_files(s, d), _code(s, d)),
@@ -217,25 +251,26 @@ QUERIES = {
     "session_owner": lambda s, d: filters.owned_sessions(_chat(s, d).select("session_id", (F.col("seq") % 3).alias("repo_id"), "seq"), _chat(s, d).select("session_id", (F.col("session_id") % 3).alias("repo_id")).distinct()),
     "point_lookup": lambda s, d: filters.point_lookup(_md(s, d), repo_id="src0", slug="page-3").select("doc_id"),
     "nonempty_message": lambda s, d: _chat(s, d).filter(filters.not_blank(F.col("content"))).select("session_id", "seq"),
-    "page_sink": lambda s, d: _sink(s, d, _md(s, d).select("repo_id", "slug", "doc_id", F.md5("content").alias("h"))),
-    "vector_sink": lambda s, d: _sink(s, d, _vec(s, d)[1].select("repo_id", "chunk_id", F.round(F.col("embedding")[0].cast("double"), 4).alias("x"))),
-    "replace_repo": lambda s, d: tables.replace_repos(_md(s, d).select("repo_id", "doc_id"), _md(s, d).filter("repo_id in ('src0', 'src1') and doc_id % 2 = 0").select("repo_id", (-F.col("doc_id")).alias("doc_id"))),
+    "page_sink": _page_sink,
+    "vector_sink": _vector_sink,
+    "replace_repo": _replaced,
     "delete_insert": lambda s, d: tables.delete_insert(_md(s, d).select("repo_id", "slug", "doc_id"), _md(s, d).filter("doc_id % 7 = 0"), _md(s, d).filter("doc_id % 7 = 0").select("repo_id", "slug", (F.col("doc_id") + 1000000).alias("doc_id")), ["repo_id", "slug"]),
     "insert_if_absent": lambda s, d: tables.insert_if_absent(table(s, d, "nation").select("n_nationkey", "n_name").filter("n_nationkey % 2 = 0"), table(s, d, "nation").select("n_nationkey", F.lit("new").alias("n_name")), "n_nationkey"),
     "patch_row": lambda s, d: tables.patch_rows(table(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), table(s, d, "customer").filter("c_custkey % 3 = 0").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.lit("patched")).alias("c_name"), F.lit(True).alias("set_c_name")), "c_custkey"),
     "append_message": lambda s, d: tables.append_messages(_chat(s, d).withColumn("created_at", F.current_timestamp()), _chat(s, d).filter("seq = 0").withColumn("seq", F.lit(99).cast("long"))).select("session_id", "seq", "role"),
-    "job_progress_stream": lambda s, d: streams.run_available(_jobs(s, d), streams.job_progress, mode="complete").drop("batch"),
+    "job_progress_stream": lambda s, d: streams.run_available(_jobs(s, d), streams.job_progress, mode="complete"),
     "job_terminal_once": lambda s, d: streams.run_available(_jobs(s, d), lambda e: streams.job_terminal(e, "100 days")).select("job_id"),
-    "chat_frame_assembly": lambda s, d: streams.run_available(_frames(s, d), streams.assemble_frames, files=4).select("session_id", "turn", F.md5("content").alias("h")),
+    "chat_frame_assembly": lambda s, d: streams.run_available(_frames(s, d), streams.assemble_frames).select("session_id", "turn", F.md5("content").alias("h")),
     "incremental_ingest": _ingest,
     "run_full": _full_run,
+    "run_refresh": _refresh_run,
 }
 
 _V = """with q as (select cast("label" as varchar) repo_id, vec_id query_id, embedding e from embeddings where vec_id % 50 = 0),
 c as (select cast("label" as varchar) repo_id, vec_id chunk_id, embedding e from embeddings),
-sc as (select c.repo_id, query_id, chunk_id, round(list_sum(list_transform(range(1, len(c.e) + 1), lambda i: cast(c.e[i] as double) * q.e[i]))
-  / sqrt(list_sum(list_transform(c.e, lambda x: cast(x as double) * x)) * list_sum(list_transform(q.e, lambda x: cast(x as double) * x))), 6) score from q join c using (repo_id)),
-rk as (select *, cast(row_number() over (partition by repo_id, query_id order by score desc, chunk_id) as int) "rank" from sc),
+sc as (select c.repo_id, query_id, chunk_id, list_sum(list_transform(range(1, len(c.e) + 1), lambda i: cast(c.e[i] as double) * q.e[i]))
+  / sqrt(list_sum(list_transform(c.e, lambda x: cast(x as double) * x)) * list_sum(list_transform(q.e, lambda x: cast(x as double) * x))) raw, round(raw, 6) score from q join c using (repo_id)),
+rk as (select *, cast(row_number() over (partition by repo_id, query_id order by raw desc, chunk_id) as int) "rank" from sc),
 mt as (select concat(repo_id, '/', query_id // 200) group_id, chunk_id, min(row(query_id // 50, "rank")) a from rk where "rank" <= 3 group by all),
 mp as (select group_id, cast(row_number() over (partition by group_id order by a) - 1 as int) pos, chunk_id from mt)"""
 _S = "with " + ctes("snap_old", "plan_pages") + """,
@@ -280,7 +315,7 @@ select p_partkey, cast(cast(concat('0x', substr(md5(w), 1, 4)) as int) % 64 as i
     "vector_topk": _V + ' select repo_id, query_id, "rank", score, chunk_id from rk where "rank" <= 5',
     "multi_query_topk": _V + " select * from mp",
     "retrieve": _V + " select chunk_id, group_id, pos, concat('chunk ', chunk_id) \"text\" from mp",
-    "vector_source": 'select vec_id chunk_id, "label", cast(len(embedding) as int) dim from embeddings',
+    "vector_source": "select vec_id chunk_id, concat('chunk ', vec_id) \"text\", cast(len(embedding) as int) dim from embeddings",
     "dup_slugs": _PL + " select repo_id, slug, count(*) n from (select repo_id, trim(regexp_replace(lower(regexp_replace(title, '#.*', '')), '[^a-z0-9-]+', '-', 'g'), '-') slug from plan_pages) x group by all having count(*) > 1",
     "parent_validate": _PL + " select repo_id, title, case when exists (select 1 from plan_pages q where q.repo_id = p.repo_id and q.title = p.parent) then parent end parent from plan_pages p",
     "orphan_assign": _PL + " select * from plan_files union all select repo_id, 'Overview', rel_path from code_files anti join plan_files using (repo_id, rel_path)",
@@ -340,7 +375,7 @@ select job_id, case when not refresh and status in ('queued', 'running') and lea
     "point_lookup": _MD + " select doc_id from md_pages where repo_id = 'src0' and slug = 'page-3'",
     "nonempty_message": _CH + r" select session_id, seq from chat where regexp_matches(content, '\S')",
     "page_sink": _MD + " select repo_id, slug, doc_id, md5(content) h from md_pages",
-    "vector_sink": 'select cast("label" as varchar) repo_id, vec_id chunk_id, round(cast(embedding[1] as double), 4) x from embeddings',
+    "vector_sink": 'select cast("label" as varchar) repo_id, vec_id chunk_id, cast(len(embedding) as int) dim, round(list_sum(list_transform(embedding, lambda x: cast(x as double))), 4) x from embeddings',
     "replace_repo": _MD + " select repo_id, doc_id from md_pages where repo_id not in (select repo_id from md_pages where repo_id in ('src0', 'src1') and doc_id % 2 = 0) union all select repo_id, -doc_id from md_pages where repo_id in ('src0', 'src1') and doc_id % 2 = 0",
     "delete_insert": _MD + ", g as (select distinct repo_id, slug from md_pages where doc_id % 7 = 0) select repo_id, slug, doc_id from md_pages anti join g using (repo_id, slug) union all select repo_id, slug, doc_id + 1000000 from md_pages where doc_id % 7 = 0",
     "insert_if_absent": "select n_nationkey, case when n_nationkey % 2 = 0 then n_name else 'new' end n_name from nation",
@@ -349,5 +384,15 @@ select job_id, case when not refresh and status in ('queued', 'running') and lea
     "job_progress_stream": _J + ", l as (select *, row_number() over (partition by job_id order by ts desc, event_id desc) n from job_log) select job_id, status, progress, status_description, status = 'running' and starts_with(status_description, 'Retry ') retrying from l where n = 1",
     "job_terminal_once": _J + " select distinct job_id from job_log where status in ('done', 'failed')",
     "chat_frame_assembly": _CH + " select session_id, seq turn, md5(content) h from chat where role = 'assistant' and session_id % 5 <> 0",
-    "incremental_ingest": _S + " select * from d",
+    "run_refresh": _C + "," + ctes("plan_pages").split("\nplan_rows", 1)[1].join(["\nplan_rows", ""]) + f""",
+hit as (
+  select distinct repo_id, title from plan_files f join code_files c using (repo_id, rel_path) where p_partkey % 47 = 0 and p_partkey % 59 <> 0
+  union select repo_id, title from plan_pages where contains(lower(title), 'overview') and repo_id in (select repo_id from code_files where p_partkey % 59 = 0))
+select repo_id, {_SLUG} slug, page_pos page_order,
+  case when repo_id <> 'r1' and (repo_id, title) in (select (repo_id, title) from hit) then concat('# ', title, chr(10), chr(10), purpose) else 'old' end content from plan_pages""",
 }
+
+_PLACED = f"""(select *, cast(row_number() over (partition by repo_id order by case when title = 'Overview' then 0 else 1 end, title) - 1 as int) page_order
+  from (select distinct repo_id, title from ({SQL["fallback_plan"]}) f) g) h"""
+SQL["run_full"] = f"select repo_id, {_SLUG} slug, page_order, md5(concat('# ', title, chr(10), chr(10), 'Covers the files of ', title)) h from {_PLACED}"
+SQL["incremental_ingest"] = f"select repo_id, rel_path, change, decision from ({SQL['snapshot_diff']}) d join ({SQL['refresh_decision']}) n using (repo_id)"

@@ -14,7 +14,7 @@ _CODE = """
 imp as (
   select distinct a.l_partkey src, b.l_partkey dst
   from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1
-  where a.l_orderkey % 40 = 0 and a.l_partkey <> b.l_partkey),
+  where a.l_partkey <> b.l_partkey),
 il as (
   select src, {joined} txt from (
     select src, concat('import pkg', cast(dst % 10 as varchar(20)), '.m', cast(dst as varchar(20))) line from imp) x

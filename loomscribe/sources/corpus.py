@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -18,7 +20,7 @@ def decode_text(content: Column) -> Column:
 def scan_corpus(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
     """All regular files under ``root``: ``repo_id, rel_path, size, content``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.lit(root.rstrip("/") + "/")
+    base = F.lit(re.sub(r"^file:/+", "/", root.rstrip("/") + "/"))
     path = F.regexp_replace("path", "^file:/+", "/")
     return files.select(
         F.lit(repo_id).alias("repo_id"),

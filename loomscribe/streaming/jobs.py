@@ -13,9 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StructField, StructType
 
 from loomscribe.functions.text import retrying
+from loomscribe.plans.refresh import refresh_decision, snapshot_diff
 from loomscribe.sources.scratch import shared_folder
 
 TERMINAL = ("done", "failed")
@@ -37,61 +37,90 @@ def job_terminal(events: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 MESSAGES = "session_id long, turn long, content string"
-_HELD = "seqs array<long>, parts array<string>, total long, closed boolean"
+_HELD = "seqs array<long>, parts array<string>, total long, newest long"
 
 
-#: Milliseconds after which an unfinished turn is dropped; 0 keeps it, which ``availableNow``
-#: runs need (with a timeout they would wait for it for ever).
-EXPIRY_MS = 0
+#: Event time after its newest frame at which an unfinished turn is given up, in milliseconds.
+EXPIRY_MS = 3_600_000
 
 
 def _turn(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Holds the chunks of one turn until its done frame, whose ``seq`` is their number, and all of
-    them have come, in any order and any batches; an error drops them."""
+    them have come, in any order and any batches; an error drops them.  A turn that has ended or
+    that gets no frame for ``EXPIRY_MS`` leaves no state."""
     if state.hasTimedOut:
         state.remove()
         return
-    seqs, parts, total, closed = state.get if state.exists else ([], [], -1, False)
+    seqs, parts, total, newest = state.get if state.exists else ([], [], -1, 0)
     held, failed = dict(zip(seqs, parts, strict=True)), False
     for batch in frames:
         chunk = batch[batch["type"] == "chunk"]
         held |= zip(chunk["seq"].tolist(), chunk["content"].fillna("").tolist(), strict=True)
         total = max([total, *batch["seq"][batch["type"] == "done"].tolist()])
+        newest = max([newest, *batch["ms"].tolist()])
         failed |= bool((batch["type"] == "error").any())
     whole = 0 <= total <= len(held)
-    if whole and not failed and not closed:
+    if whole and not failed:
         yield pd.DataFrame({"session_id": [key[0]], "turn": [key[1]], "content": ["".join(held[q] for q in sorted(held))]})
-    closed = closed or whole or failed
-    kept = {} if closed else held
-    state.update((list(kept), list(kept.values()), total, closed))
-    if EXPIRY_MS:
-        state.setTimeoutDuration(EXPIRY_MS)
+    if whole or failed:
+        state.remove()
+        return
+    state.update((list(held), list(held.values()), total, newest))
+    state.setTimeoutTimestamp(max(newest + EXPIRY_MS, state.getCurrentWatermarkMs() + 1))
 
 
-def assemble_frames(frames: DataFrame) -> DataFrame:
-    """``session_id, turn, content``: one message per turn that ended well."""
+def assemble_frames(frames: DataFrame, delay: str = "1 day") -> DataFrame:
+    """``session_id, turn, content``: one message per turn that ended well.
+
+    A stream of frames needs their time ``ts``, which bounds the state; frames more than ``delay``
+    behind the newest are late and dropped."""
     if frames.isStreaming:
-        keyed = frames.select("session_id", "turn", "seq", "type", "content").groupBy("session_id", "turn")
-        return keyed.applyInPandasWithState(_turn, MESSAGES, _HELD, "append", GroupStateTimeout.ProcessingTimeTimeout if EXPIRY_MS else GroupStateTimeout.NoTimeout)
+        timed = frames.withWatermark("ts", delay).select("session_id", "turn", "seq", "type", "content", "ts", F.unix_millis("ts").alias("ms"))
+        return timed.groupBy("session_id", "turn").applyInPandasWithState(_turn, MESSAGES, _HELD, "append", GroupStateTimeout.EventTimeTimeout)
     chunk = F.when(F.col("type") == "chunk", F.struct("seq", "content"))
     rows = frames.groupBy("session_id", "turn").agg(F.array_sort(F.collect_list(chunk)).alias("c"), F.max(F.col("type") == "done").alias("fine"), F.max(F.col("type") == "error").alias("bad"))
     return rows.filter("fine and not bad").select("session_id", "turn", F.array_join(F.transform("c", lambda x: x["content"]), "").alias("content"))
 
 
-def run_available(rows: DataFrame, transform: Callable[[DataFrame], DataFrame], folder: str | None = None, mode: str = "append", files: int = 1) -> DataFrame:
-    """Stream ``rows`` from files through ``transform`` until all is read; returns what the sink holds.
+def run_available(
+    rows: DataFrame,
+    transform: Callable[[DataFrame], DataFrame],
+    mode: str = "append",
+    files: int = 6,
+    keys: tuple[str, ...] = (),
+    per_batch: Callable[[DataFrame], DataFrame] | None = None,
+    folder: str | None = None,
+) -> DataFrame:
+    """Stream ``rows`` from ``files`` files through ``transform``, two files a micro-batch, until all is read.
 
+    Rows of equal ``keys`` arrive in one file.  ``per_batch`` works on each batch before it is kept.
+    Returns what the sink holds at the end: all batches, of complete results the last one.
     ``folder`` must be shared by all executors; it defaults to the session's checkpoint folder.
     """
     spark = rows.sparkSession
     base = f"{(folder or shared_folder(spark)).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    rows.repartition(files).write.mode("overwrite").parquet(f"{base}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    out = transform(stream)
+    rows.repartition(files, *keys).write.parquet(f"{base}/in")
+    out = transform(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in"))
+    numbers: list[int] = []
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/part={number}")
+        (batch if per_batch is None else per_batch(batch)).write.mode("overwrite").parquet(f"{base}/out/{number}")
+        numbers.append(number)
 
     query = out.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(StructType([*out.schema.fields, StructField("batch", LongType())])).option("recursiveFileLookup", True).parquet(f"{base}/out")
+    if not numbers:
+        return spark.createDataFrame([], out.schema)
+    kept = numbers[-1:] if mode == "complete" else sorted(set(numbers))
+    return spark.read.parquet(*(f"{base}/out/{n}" for n in kept))
+
+
+def ingest(arrivals: DataFrame, old: DataFrame, commits: DataFrame, pages: DataFrame, page_files: DataFrame) -> DataFrame:
+    """``repo_id, rel_path, change, decision`` for a batch of newly arrived whole snapshots.
+
+    Only the repositories that arrived are compared; the decision says what is to follow.
+    """
+    arrived = arrivals.select("repo_id").distinct()
+    diff = snapshot_diff(old.join(arrived, "repo_id", "left_semi"), arrivals)
+    decisions = refresh_decision(commits.join(arrived, "repo_id", "left_semi"), diff, pages, page_files)
+    return diff.join(decisions.select("repo_id", "decision"), "repo_id")
