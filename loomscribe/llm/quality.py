@@ -6,7 +6,8 @@ such marks, per length, and the share inside repeated lines decide the verdict.
 is numpy over blocks of whole texts in Arrow batches: one pass, no shuffle, no state.
 
 Defined results: a null or empty text has zero words and fails the base rule; repeated
-rows and ids are scored one by one; extra columns are ignored; an empty table gives none.
+rows and ids are scored one by one; extra columns are ignored; an empty table gives none.  Very
+long texts are scored whole, each by one task, with some tens of bytes per byte.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@
 2. Voters are groups of items per kind (toxic or abstain), texts without any hit of a kind
    (clean or abstain) and patterns of several hits.  A generative label model, fitted by
    expectation maximisation without labels, estimates every voter's class means (its
-   accuracy) and the voters' class-conditional covariance (their correlations).
+   accuracy) and the voters' covariance within the classes, pooled over both (their correlations).
 3. A logistic regression over the items is trained on the model's posterior labels.
 4. All texts are scored in one map-side pass with the broadcast weights.
 
@@ -15,7 +15,8 @@ reaches the driver.  Everything else covers all rows.  Language, source and ids
 
 Defined results: null and empty texts have no hits and get the base score; rows of one id
 are scored each; a document with several labels counts as toxic if one says so; without
-toxic labels every score is 0; extra columns are ignored; an empty table gives no rows.
+toxic labels every score is 0; extra columns are ignored; an empty table gives no rows.  Very long
+texts are scored whole, each by one task, with some tens of bytes per byte.
 """
 
 from __future__ import annotations

@@ -348,3 +348,30 @@ def test_toxicity_scores_match_a_plain_sum(spark):
         total = model.bias + sum(weight.get((k, one(w.decode("utf-8", "surrogateescape"), k)), 0.0) for k, w in items if w.isascii())
         assert abs(r.score - 1 / (1 + math.exp(-total))) < 1e-9 or any(not w.isascii() for _, w in items)
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+
+
+STAGE_ROWS = "doc_id long, text string, lang string, source string, n_chars long, kept string, component long"
+
+
+def test_pipeline_stages_with_odd_rows(spark):
+    import corpus_pipeline
+
+    prose = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, prose), (1, prose), (None, prose), (2, None), (3, ""), (4, " \n"), (5, "x" * 200_000), (None, None), (6, f"{prose} tail")]
+    docs = spark.createDataFrame([(i, t, None, None, None, "clash", 7) for i, t in rows], STAGE_ROWS)
+    sf = "/root/testdata/sf0.001"
+    key = lambda found: sorted(((r.doc_id, r.text) for r in found.collect()), key=str)
+    stages = dict(corpus_pipeline.STAGES)
+    assert key(stages["toxicity"](spark, docs, sf)) == sorted(rows, key=str)
+    assert key(stages["quality_rules"](spark, docs, sf)) == sorted(((i, t) for i, t in rows if t and t.startswith("w0")), key=str)
+    want = [(1, prose), (None, prose), (2, None), (3, ""), (4, " \n"), (5, "x" * 200_000), (None, None)]
+    assert key(stages["near_duplicates"](spark, docs, sf)) == sorted(want, key=str)
+    cut = [(i, t) if i != 6 else (6, "tail") for i, t in rows]
+    got = key(stages["substring_dedup"](spark, docs, sf))
+    assert got == sorted(((i, t or "") if i in (2, None) and not t else (i, t) for i, t in cut), key=str) or got == sorted(cut, key=str)
+    assert stages["best_fit_packing"](spark, docs, sf).select("doc_id").distinct().count() == 7
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs.limit(0), sf)
+        assert found.count() == 0
+        if name != "best_fit_packing":
+            assert found.columns == list(corpus_pipeline.COLUMNS)
