@@ -186,3 +186,89 @@ def test_turns_wait_for_chunks_of_later_batches(spark):
     frames = spark.createDataFrame(rows, schema)
     found = jobs.run_available(frames, jobs.assemble_frames, files=6).collect()
     assert sorted((r.session_id, r.content) for r in found) == [(1, "ab"), (3, "")]
+
+
+ENTITY_CASES = [
+    ("a.js", "class App {\n  render() {\n    if (x) { y() }\n  }\n}\nfunction init() {\n  return new App();\n}\n", [("App", "class", 1, 5), ("render", "function", 2, 4), ("init", "function", 6, 8)]),
+    ("a.ts", "interface User {\n  id: number;\n}\nclass UserService {\n  getUser(id: number): User {\n    return { id };\n  }\n}\n", [("User", "class", 1, 3), ("UserService", "class", 4, 8), ("getUser", "function", 5, 7)]),
+    ("A.java", "public class A {\n  public A(int x) { }\n  // adds\n  public int add(int a, int b)\n  {\n    return a + b;\n  }\n}\n", [("A", "class", 1, 8), ("add", "function", 4, 7)]),
+    ("Main.kt", "class Hello {\n  fun say() {\n    println(\"{\")\n  }\n}\nfun main() = say()\n", [("Hello", "class", 1, 5), ("say", "function", 2, 4), ("main", "function", 6, 6)]),
+    ("a.go", "type T struct {\n a int\n}\nfunc (t *T) Name(a int) string {\n return \"}\"\n}\n", [("T", "class", 1, 3), ("Name", "function", 4, 6)]),
+    ("a.rs", "pub struct P { a: i32 }\nimpl P {\n  pub fn new<'a>(x: &'a str) -> Self {\n    P { a: 1 }\n  }\n}\nenum E { A }\ntrait Q { }\n", [("P", "class", 1, 1), ("P", "class", 2, 6), ("new", "function", 3, 5)]),
+    ("a.c", "int add(int a, int b)\n{\n  if (a) { return 1; }\n  return foo(a);\n}\nint decl(int a);\n", [("add", "function", 1, 5)]),
+    ("a.py", "def f(\n    a,\n) -> int:\n    return 1\n\nx = '''\ndef no():\n'''\nasync def g(): pass\n", [("f", "function", 1, 4), ("g", "function", 9, 9)]),
+    ("a.rb", "class A\nend\n", []),
+    ("empty.py", "", []),
+]
+
+
+def test_declarations_of_many_languages(spark):
+    files = spark.createDataFrame([("r", p, t) for p, t, _ in ENTITY_CASES] + [("r", "null.py", None)], "repo_id string, rel_path string, content string")
+    got = {}
+    for r in extract.extract_entities(files).orderBy("rel_path", "entity_pos").collect():
+        got.setdefault(r.rel_path, []).append((r.name, r.type, r.start_line, r.end_line))
+    assert got == {p: e for p, _, e in ENTITY_CASES if e}
+
+
+def test_signatures_and_documentation():
+    from loomscribe.operators.declarations import declarations
+
+    long = "\n".join(f"    line {i}" for i in range(60))
+    (f,) = declarations(f'def f(\n    a: str = "x(",\n) -> dict[str, int]:\n    """First.\n{long}\n    """\n    return 1\n', ".py")
+    assert f.signature == 'f(\n    a: str = "x(",\n) -> dict[str, int]' and f.docstring.startswith("First.\n    line 0") and len(f.docstring) == 300
+    (m,) = declarations("/** Gets\n * it */\nfunction get(a) {}\n", ".js")
+    assert (m.signature, m.docstring) == ("get(a)", "Gets * it")
+    (j,) = declarations("  // adds\n  int add(int a) { return a; }\n", ".java")
+    assert (j.signature, j.docstring) == ("add(int a) -> int", "adds")
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ('A -->|he said "go" /x| B', 'A -->|"he said #quot;go#quot; /x"| B'),
+        ("A(foo (bar)) --> B(baz)", 'A("foo (bar)") --> B(baz)'),
+        ("A((Server (HTTP))) --> B((x))", 'A(("Server (HTTP)")) --> B((x))'),
+        ("A -->|a/b| B -->|ok| C -->|{x}| D", 'A -->|"a/b"| B -->|ok| C -->|"{x}"| D'),
+    ],
+)
+def test_diagrams_with_several_labels_on_a_line(spark, text, expected):
+    assert one(spark, P.sanitize_mermaid, text) == [expected]
+
+
+def test_vectors_are_ranked_by_unrounded_scores(spark):
+    asked = spark.createDataFrame([("r", 1, [1.0, 0.0])], "repo_id string, query_id long, embedding array<double>")
+    rows = spark.createDataFrame([("r", 1, [1.0, 0.0001]), ("r", 2, [1.0, 0.0])], "repo_id string, chunk_id long, embedding array<double>")
+    got = [(r["rank"], r.chunk_id, r.score) for r in vectors.topk(asked, rows, 2).orderBy("rank").collect()]
+    assert got == [(1, 2, 1.0), (2, 1, 1.0)]
+
+
+def test_streams_of_several_batches_agree_with_batch(spark):
+    from loomscribe.streaming import jobs
+
+    events = spark.range(200).select(
+        F.col("id").alias("event_id"), (F.col("id") % 15).alias("job_id"), F.timestamp_seconds("id").alias("ts"), F.when(F.col("id") > 150, "done").otherwise("running").alias("status"),
+        F.col("id").cast("int").alias("progress"), F.lit("Retry 1").alias("status_description"),
+    )
+    live = jobs.run_available(events, jobs.job_progress, mode="complete", files=7)
+    assert sorted(live.collect()) == sorted(jobs.job_progress(events).collect())
+    once = jobs.run_available(events, jobs.job_terminal, files=7)
+    assert sorted(r.job_id for r in once.collect()) == list(range(15))
+
+
+def test_a_refresh_writes_only_affected_pages(spark):
+    from loomscribe.plans import runs
+
+    code = [("r", "a.py", "import b\n"), ("r", "b.py", "def f(): pass\n")]
+    new = spark.createDataFrame([(*c, str(i)) for i, c in enumerate(code)], "repo_id string, rel_path string, content string, content_hash string")
+    old = new.withColumn("content_hash", F.when(F.col("rel_path") == "a.py", "before").otherwise(F.col("content_hash")))
+    commits = spark.createDataFrame([("r", "x", "y")], "repo_id string, old_commit string, new_commit string")
+    pages = spark.createDataFrame([("r", "A", "about a", None, 0), ("r", "B", "about b", None, 1)], "repo_id string, title string, purpose string, parent string, page_pos int")
+    held = spark.createDataFrame([("r", "A", "a.py"), ("r", "B", "b.py")], "repo_id string, title string, rel_path string")
+    written = spark.createDataFrame([("r", "a", 0, "old"), ("r", "b", 1, "old")], "repo_id string, slug string, page_order int, content string")
+
+    def generator(batches):
+        for batch in batches:
+            yield batch.assign(content=["Uses b.py" if "- uses: b.py" in p else p for p in batch.pop("prompt")])
+
+    got = runs.run_refresh(old, new, commits, pages, held, written, generator)
+    assert sorted((r.slug, r.page_order, r.content) for r in got.collect()) == [("a", 0, "Uses b.py"), ("b", 1, "old")]
