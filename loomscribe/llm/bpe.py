@@ -8,7 +8,7 @@ Decoding concatenates the binary pieces of the ids.  Spark finds keys of a liter
 scanning, so the rank map is a literal array of slots, two for each pair.
 
 Words are folded once for many texts.  The most frequent words of the corpus, at most ``TABLE``
-of at most ``MAX_ENTRY_BYTES`` (some 130 MB of a Python worker), are folded first and broadcast.
+of at most ``MAX_ENTRY_BYTES`` (some 35 MB of a Python worker), are folded first and broadcast.
 Then texts go through in chunks of ``CHUNK_BYTES``: a chunk is a row with its texts and those of
 its distinct words that the table lacks, the fold encodes and decodes these, and the next step
 puts the texts together.  No word occurrence is shuffled.  A word that is a token needs no fold.
@@ -29,6 +29,7 @@ import base64
 import hashlib
 import heapq
 import json
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -40,19 +41,22 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomscribe.llm.common import arrow_rows, clean, frequent, pieces, texts_of, uneven_pieces
+from loomscribe.llm.common import arrow_rows, frequent, pieces, texts_of, uneven_pieces
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Slots of the rank map, a few for each pair.
 SLOTS = 1 << 18
-TABLE, MAX_ENTRY_BYTES = 1 << 19, 48
-CHUNK_BYTES = 3 << 20
+TABLE, MAX_ENTRY_BYTES = 1 << 17, 48
+CHUNK_BYTES = 2 << 20
 LONG = 128
 #: Pieces that a Python worker remembers.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 _WORD = regex.compile(public_tokenizers.PATTERN)
+#: White space at an end, next to other white space, or other than spaces and line breaks: only
+#: texts without any have clean cuts alone.
+_UNEVEN = re.compile(r"\A\s|\s\Z|\s\s|[^\S \n]")
 
 
 def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -208,9 +212,9 @@ class Reader:
 
     def parts(self, text: str) -> tuple[list[str], list[str]]:
         """Parts that stand as they are, and pieces that follow on after a space or line break."""
-        first, *rest = pieces(text)
-        if rest and not (clean(first) and all(p in self.plain or clean(p) for p in rest)):
+        if _UNEVEN.search(text):
             return uneven_pieces(text), []
+        first, *rest = pieces(text)
         return [first] if first else [], rest
 
     def direct(self, word: str) -> bool:
