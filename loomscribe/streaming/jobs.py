@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -44,7 +45,7 @@ _HELD = "seqs array<long>, parts array<string>, total long, newest long"
 EXPIRY_MS = 3_600_000
 
 
-def _turn(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _turn(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, expires: bool) -> Iterator[pd.DataFrame]:
     """Holds the chunks of one turn until its done frame, whose ``seq`` is their number, and all of
     them have come, in any order and any batches; an error drops them.  A turn that has ended or
     that gets no frame for ``EXPIRY_MS`` leaves no state."""
@@ -66,17 +67,22 @@ def _turn(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
         state.remove()
         return
     state.update((list(held), list(held.values()), total, newest))
-    state.setTimeoutTimestamp(max(newest + EXPIRY_MS, state.getCurrentWatermarkMs() + 1))
+    if expires:
+        state.setTimeoutTimestamp(max(newest + EXPIRY_MS, state.getCurrentWatermarkMs() + 1))
 
 
 def assemble_frames(frames: DataFrame, delay: str = "1 day") -> DataFrame:
     """``session_id, turn, content``: one message per turn that ended well.
 
-    A stream of frames needs their time ``ts``, which bounds the state; frames more than ``delay``
-    behind the newest are late and dropped."""
+    Streamed frames should have their time ``ts``, which bounds the state of turns that never end;
+    then frames more than ``delay`` behind the newest are late and dropped."""
     if frames.isStreaming:
-        timed = frames.withWatermark("ts", delay).select("session_id", "turn", "seq", "type", "content", "ts", F.unix_millis("ts").alias("ms"))
-        return timed.groupBy("session_id", "turn").applyInPandasWithState(_turn, MESSAGES, _HELD, "append", GroupStateTimeout.EventTimeTimeout)
+        expires = "ts" in frames.columns
+        timed = frames.withWatermark("ts", delay) if expires else frames
+        ms = F.unix_millis("ts") if expires else F.lit(0).cast("long")
+        timed = timed.select("session_id", "turn", "seq", "type", "content", *(["ts"] if expires else []), ms.alias("ms"))
+        timeout = GroupStateTimeout.EventTimeTimeout if expires else GroupStateTimeout.NoTimeout
+        return timed.groupBy("session_id", "turn").applyInPandasWithState(partial(_turn, expires=expires), MESSAGES, _HELD, "append", timeout)
     chunk = F.when(F.col("type") == "chunk", F.struct("seq", "content"))
     rows = frames.groupBy("session_id", "turn").agg(F.array_sort(F.collect_list(chunk)).alias("c"), F.max(F.col("type") == "done").alias("fine"), F.max(F.col("type") == "error").alias("bad"))
     return rows.filter("fine and not bad").select("session_id", "turn", F.array_join(F.transform("c", lambda x: x["content"]), "").alias("content"))

@@ -272,3 +272,49 @@ def test_a_refresh_writes_only_affected_pages(spark):
 
     got = runs.run_refresh(old, new, commits, pages, held, written, generator)
     assert sorted((r.slug, r.page_order, r.content) for r in got.collect()) == [("a", 0, "Uses b.py"), ("b", 1, "old")]
+
+
+def test_page_prompt_holds_all_sections_in_order(spark):
+    one_page = spark.createDataFrame([("r", "Core", "Does it", None, 0), ("r", "Bare", "Nothing", None, 1)], "repo_id string, title string, purpose string, parent string, page_pos int")
+    held = spark.createDataFrame([("r", "Core", "b.py"), ("r", "Core", "a.py")], "repo_id string, title string, rel_path string")
+    entities = spark.createDataFrame(
+        [("r", "a.py", 0, "class", "A", 1, 4, None, "x" * 200), ("r", "b.py", 0, "function", "f", 2, 3, "f(n)", None)],
+        "repo_id string, rel_path string, entity_pos int, type string, name string, start_line int, end_line int, signature string, docstring string",
+    )
+    deps = spark.createDataFrame([("r", "Core", ["c.py"], [], ["os", "re"])], "repo_id string, title string, depends_on array<string>, depended_by array<string>, external_deps array<string>")
+    context = spark.createDataFrame([("r", "Core", 1, "b.py", "two"), ("r", "Core", 0, "a.py", "one")], "repo_id string, title string, pos int, file string, text string")
+    got = {r.title: r.prompt for r in pages.page_context_pack(one_page, held, entities, deps, context).collect()}
+    parts = [
+        "Page: Core", "Purpose: Does it", "Files:\n- a.py\n- b.py", "Dependencies:\n- uses: c.py\n- packages: os, re",
+        f"Entities:\n- **class** `A`\n  Doc: {'x' * 150}\n  Location: a.py:1-4\n- **function** `f`\n  Signature: `f(n)`\n  Location: b.py:2-3",
+        "Source:\nFile: a.py\none\n\n---\n\nFile: b.py\ntwo", "Explain this component, its parts and its uses.",
+    ]
+    assert got["Core"] == "\n\n".join(parts)
+    assert got["Bare"] == "Page: Bare\n\nPurpose: Nothing\n\nEntities:\nNo entity details available.\n\nExplain this component, its parts and its uses."
+
+
+def test_planner_prompt_caps_readmes_and_clusters(spark):
+    repos = spark.createDataFrame([("r",)], "repo_id string")
+    readmes = spark.createDataFrame([("r", "y" * 2500)], "repo_id string, readme string")
+    text = lambda value: spark.createDataFrame([("r", value)], "repo_id string, text string")
+    members = [("r", f"c{n}", n, f"p{n}/f{i:02}.py") for n in range(1, 10) for i in range(12)]
+    components = spark.createDataFrame(members, "repo_id string, component string, cluster_pos int, rel_path string")
+    (got,) = pages.planner_context_pack(repos, readmes, text("sums"), text("deps"), components, components.select("repo_id", "rel_path")).collect()
+    clusters = "\n".join(f"  Cluster {n}: " + ", ".join(f"p{n}/f{i:02}.py" for i in range(10)) for n in range(1, 9))
+    assert got.prompt == "\n\n".join(["Repository: r", f"Readme:\n{'y' * 2000}", "Files:\nsums", "Dependencies:\ndeps", f"Clusters:\n{clusters}", "Plan pages that cover all 108 files."])
+
+
+def test_line_chunks_are_places_of_the_text():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "bb cc", " ", "\n", "\n\n", "x" * 50, "same line\n"]) for _ in range(rng.randrange(80)))
+        spans = chunks.split_text(text, 40, 10)
+        found = chunks.with_lines(text, spans)
+        covered = set()
+        for (a, b), (chunk, first, last) in zip(spans, found, strict=True):
+            assert chunk == text[a:b] == chunk.strip() and 0 < len(chunk) <= 50
+            assert (first, last) == (text.count("\n", 0, a) + 1, text.count("\n", 0, b) + 1)
+            covered.update(range(a, b))
+        assert all(i in covered or text[i].isspace() for i in range(len(text)))
