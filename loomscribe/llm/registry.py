@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomscribe.llm import bpe, chat, minhash, neighbours, packing, quality, substring, tokens, toxicity, warc
+from loomscribe.llm import bpe, chat, minhash, neighbours, packing, prefixes, quality, repair, smallworld, substring, tokens, toxicity, warc
 from loomscribe.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op11_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return smallworld.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(load(spark, sf_dir, "conversations"))
+
+
+def op13_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.conversation_prefixes(load(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_near_duplicates": op2_near_duplicates,
@@ -71,6 +83,9 @@ QUERIES: dict[str, Query] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_embedding_near_duplicates": op11_embedding_near_duplicates,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_prefix_tree": op13_prefix_tree,
 }
 
 SQL: dict[str, str] = {
@@ -117,4 +132,31 @@ select p.page_id, p.payload_bytes, p.payload_digest,
   case when k.keeper <> p.page_id then 'revisit' else 'response' end as record_type,
   case when k.keeper <> p.page_id then k.keeper end as refers_to
 from p left join k on p.payload_digest = k.payload_digest and p.payload_bytes >= 1000""",
+    "op11_embedding_near_duplicates": """
+with recursive v as (select vec_id, min(cast(embedding as double[])) as e from embeddings where vec_id is not null
+  and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 group by vec_id),
+ids as (select distinct vec_id from embeddings where vec_id is not null),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.9),
+r as (select vec_id, vec_id as reach from ids union select r.vec_id, l.b from r join l on l.a = r.reach),
+m as (select vec_id, min(reach) as component_id from r group by vec_id)
+select m.vec_id, (select count(*) from l where l.a = m.vec_id) as n_links, component_id, m.vec_id = component_id as kept from m""",
+    "op13_prefix_tree": """
+with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos from conversations where conv_id is not null),
+ids as (select distinct conv_id, xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(cast(conv_id as varchar), ''), lambda c: [ord(c), -1, -1, -1, -1, -1, -1, -1, -1]::bigint[]))),
+    lambda a, e: case when e >= 0 then xor(a, e) when a % 2 = 1 then xor(a // 2, 3988292384::bigint) else a // 2 end), 4294967295::bigint) % 6 as h from t),
+p as (select i.conv_id, t.pos, t.role, t.text, 0 as own from ids i join t on t.conv_id = i.conv_id - i.conv_id % 100 and t.pos <= i.h
+  union all select t.conv_id, t.pos, t.role, t.text, 1 from t join ids i using (conv_id) where t.pos > i.h),
+d as (select conv_id, list(sha256(concat(length(role), ':', role, text)) order by own, pos) as keys, list(length(text) order by own, pos) as chars from p group by conv_id),
+f as (select conv_id, coalesce(keys, []) as keys, coalesce(chars, []) as chars from ids left join d using (conv_id)),
+s as (select conv_id, d, keys[:d] as node, case when d > 0 then keys[:d - 1] end as up, case when d = 0 then 0 else chars[d] end as chars, d = len(keys) as last
+  from (select *, unnest(range(0, len(keys) + 1)) as d from f)),
+n as (select node, d, min(up) as up, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * min(chars) as gain,
+  sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (last), '')) as ends_sha256 from s group by node, d),
+k as (select up, count(*) as kids from n where d > 0 group by up),
+nk as (select n.*, coalesce(kids, 0) as kids from n left join k on k.up = n.node),
+below as (select distinct a.node as top, b.node from s a join s b on a.conv_id = b.conv_id and a.d <= b.d),
+sub as (select top, sum(case when kids = 0 then 1 else 0 end) as leaves, sum(gain) as saved from below join nk using (node) group by top)
+select nk.conv_id, cast(nk.d as bigint) as depth, pa.conv_id as parent_conv_id, nk.n_convs, nk.kids as n_children, cast(leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, nk.ends_sha256
+from nk join sub on sub.top = nk.node left join n pa on nk.d > 0 and pa.node = nk.up""",
 }
