@@ -88,7 +88,8 @@ def paths(rebuilt: DataFrame) -> DataFrame:
         if held is not None:
             yield arrow_rows(_STEP, {f.name: [v] for f, v in zip(_STEP, (*held, True), strict=True)})
 
-    rows = rebuilt.repartition("conv_id").sortWithinPartitions("conv_id", "depth")
+    # dealt by a hash of the id: by the id itself, Spark would keep the join's partitions, which a skewed join may split
+    rows = rebuilt.repartition(F.xxhash64("conv_id")).sortWithinPartitions("conv_id", "depth")
     return rows.mapInArrow(run, "conv_id long, depth int, node string, parent string, chars long, last boolean")
 
 
