@@ -36,7 +36,7 @@ from loomscribe.operators.components import connected_components
 from loomscribe.sources.scratch import Workspace
 
 #: Rows of a shard, and bytes of its vectors in double precision.
-SHARD_ROWS, SHARD_BYTES = 16384, 64 << 20
+SHARD_ROWS, SHARD_BYTES = 32768, 64 << 20
 #: Neighbours of a node in the base layer and above, candidates they are chosen from, and nodes added at once.
 DEGREE, SPARSE_DEGREE, CANDIDATES, STEP = 16, 16, 32, 1024
 #: Further places of a node for neighbours that nothing else would lead to.
@@ -47,6 +47,8 @@ THINNING, TOP = 16, 256
 BEAM, EXPAND, TOGETHER = 16, 8, 256
 #: Nodes that a layer hands down to the next to begin with.
 ENTRIES = 8
+#: Searches are in single precision, whose error is below this; what they find is judged in double precision.
+ROUNDING = 1e-4
 #: Queries of a unit that are compared with an exact scan, and the share of their links to be found.
 AUDIT, RECALL = 256, 0.999
 
@@ -95,7 +97,7 @@ class Layer:
             once = turn[key] == np.arange(len(key))
             at, key = at[once], key[once]
             seen[key] = True
-            sim = np.empty(len(at))
+            sim = np.empty(len(at), np.float32)
             for a in range(0, len(at), 1 << 16):
                 part = at[a : a + (1 << 16)]
                 sim[a : a + (1 << 16)] = np.einsum("ij,ij->i", queries[row[part]], self.x[node[part]])
@@ -106,7 +108,7 @@ class Layer:
 
         def offered(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             row = np.repeat(np.arange(rows), nodes.shape[1])
-            sims = np.full(nodes.size, -np.inf)
+            sims = np.full(nodes.size, -np.inf, np.float32)
             at, _, _, sim = fresh(row, nodes.ravel())
             sims[at] = sim
             return np.where(np.isfinite(sims), nodes.ravel(), -1).reshape(nodes.shape), sims.reshape(nodes.shape)
@@ -215,7 +217,7 @@ class Graph:
     """A hierarchical navigable small-world graph over unit vectors; the upper layers hold the first rows."""
 
     def __init__(self, x: np.ndarray, layers: list[np.ndarray] | None = None):
-        self.x = x
+        self.x, x = x, x.astype(np.float32)
         sizes = [len(x)]
         while sizes[-1] > TOP:
             sizes.append(max(TOP, sizes[-1] // THINNING))
@@ -258,9 +260,11 @@ class Graph:
         """(query, node) pairs with a similarity of ``least`` or more; queries that are nodes begin at their ``own``."""
         if beam >= len(self.x):
             return np.nonzero(queries @ self.x.T >= least)
-        entry = self.entries(queries, 0) if own is None else own[:, None]
-        _, _, query, node = self.layers[0].search(queries, entry, beam, least)
-        return query, node
+        coarse = queries.astype(np.float32)
+        entry = self.entries(coarse, 0) if own is None else own[:, None]
+        _, _, query, node = self.layers[0].search(coarse, entry, beam, least - ROUNDING)
+        sure = np.concatenate([np.zeros(0, bool), *(np.einsum("ij,ij->i", queries[query[a : a + 32768]], self.x[node[a : a + 32768]]) >= least for a in range(0, len(query), 32768))])
+        return query[sure], node[sure]
 
 
 class Unions:
