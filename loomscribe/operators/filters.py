@@ -1,5 +1,5 @@
 """File, row and status filters.  Each is a predicate or a filter without a shuffle, but for
-the ignore patterns, whose small table is joined by repository."""
+the ignore patterns, which are compiled once per repository and meet its files in one stream."""
 
 from __future__ import annotations
 
@@ -64,20 +64,99 @@ def ignore_regex(pattern: str) -> str | None:
     return ("^" if anchored else "(?:^|/)") + out + ("/" if below else "(?:/|$)")
 
 
+_PLAIN = re.compile(r"[^*?\[\]\\]*")
+
+
+class IgnoreMatcher:
+    """All ignore patterns of one repository (``line_no, pattern``), compiled once.
+
+    Names, paths and suffixes without wildcards are looked up by the parts of a path, whatever their
+    number; the rest is one alternation, last line first.  The last line that matches decides.
+    """
+
+    def __init__(self, patterns: list[tuple[int, str]]):
+        self.kept_by: dict[int, bool] = {}
+        self.names: dict[tuple[str, bool], int] = {}
+        self.paths: dict[tuple[str, bool], int] = {}
+        self.suffixes: dict[tuple[str, bool], int] = {}
+        others: list[tuple[int, str]] = []
+        for line, pattern in sorted((n, p or "") for n, p in patterns):
+            regex = ignore_regex(pattern)
+            if regex is None:
+                continue
+            self.kept_by[line] = pattern.startswith("!")
+            body = pattern.rstrip().removeprefix("!").removeprefix("\\")
+            below, inner = body.endswith("/"), body.strip("/")
+            if inner and _PLAIN.fullmatch(inner) and "//" not in body:
+                (self.paths if "/" in body.rstrip("/") else self.names)[inner, below] = line
+            elif "/" not in body.rstrip("/") and inner.startswith("*") and len(inner) > 1 and _PLAIN.fullmatch(inner[1:]):
+                self.suffixes[inner[1:], below] = line
+            else:
+                others.append((line, regex))
+        self.lengths = sorted({len(s) for s, _ in self.suffixes})
+        self.others = [line for line, _ in reversed(others)]
+        # a regex that may begin anywhere is tried from the start of the path
+        forms = [r[1:] if r.startswith("^") else "(?:.*/)?" + r.removeprefix("(?:^|/)") for _, r in reversed(others)]
+        self.pattern = re.compile("|".join(f"({f})" for f in forms), re.S) if forms else None
+
+    def last(self, path: str) -> int | None:
+        """The last line that matches the path, or a folder that it lies in."""
+        best = -1
+        parts = path.split("/")
+        at = ""
+        for i, part in enumerate(parts):
+            at = f"{at}/{part}" if i else part
+            for below in (False, True) if i < len(parts) - 1 else (False,):
+                best = max(best, self.names.get((part, below), -1), self.paths.get((at, below), -1))
+                for n in self.lengths:
+                    if n > len(part):
+                        break
+                    best = max(best, self.suffixes.get((part[-n:], below), -1))
+        if self.pattern is not None and (found := self.pattern.match(path)):
+            best = max(best, self.others[found.lastindex - 1])
+        return best if best >= 0 else None
+
+    def ignores(self, path: str) -> bool:
+        line = self.last(path)
+        return line is not None and not self.kept_by[line]
+
+
+#: Parts that the files of one repository are dealt into; each gets the repository's patterns.
+PATTERN_SALTS = 32
+_IGNORED = pa.schema([("repo_id", pa.string()), ("rel_path", pa.string())])
+
+
 def ignored_files(files: DataFrame, patterns: DataFrame) -> DataFrame:
     """Files of ``patterns`` (``repo_id, line_no, pattern``) that its last match drops.
 
-    Distinct patterns are translated in tasks; files meet the patterns of their repository only."""
-
-    def translate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Files and patterns meet in one stream by repository and salt, patterns first: they are compiled once, and
+    files go past them, so no row stands for a pair of a file and a pattern.
+    """
+    every = F.explode(F.sequence(F.lit(0), F.lit(PATTERN_SALTS - 1)))
+    with_patterns = patterns.select("repo_id").distinct()
+    asked = files.select("repo_id", "rel_path").join(with_patterns, "repo_id", "left_semi")
+    asked = asked.select("repo_id", F.pmod(F.xxhash64("rel_path"), F.lit(PATTERN_SALTS)).cast("int").alias("salt"), F.lit(None).cast("long").alias("line_no"), F.col("rel_path").alias("text"))
+    rules = patterns.filter("line_no is not null").select("repo_id", every.alias("salt"), F.col("line_no").cast("long").alias("line_no"), F.col("pattern").alias("text"))
+    # dealt by a hash, so that Spark keeps no partitions of the join that it may split
+    rows = rules.unionByName(asked).repartition(F.xxhash64("repo_id", "salt")).sortWithinPartitions("repo_id", "salt", F.col("line_no").asc_nulls_last())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, matcher = None, [], None
         for batch in batches:
-            yield batch.append_column("regex", pa.array([ignore_regex(p or "") for p in batch["pattern"].to_pylist()], pa.string()))
-
-    regexes = patterns.select("pattern").distinct().mapInArrow(translate, "pattern string, regex string").filter("regex is not null")
-    compiled = patterns.join(regexes, "pattern").select("repo_id", "line_no", "regex", F.col("pattern").startswith("!").alias("negated"))
-    hits = files.select("repo_id", "rel_path").join(compiled, "repo_id").filter(F.expr("rel_path rlike regex"))
-    last = hits.groupBy("repo_id", "rel_path").agg(F.max_by("negated", "line_no").alias("negated"))
-    return last.filter(~F.col("negated")).select("repo_id", "rel_path")
+            out = []
+            for repo, salt, line, text in zip(*(batch[c].to_pylist() for c in ("repo_id", "salt", "line_no", "text")), strict=True):
+                if (repo, salt) != now:
+                    now, held, matcher = (repo, salt), [], None
+                if line is not None:
+                    held.append((line, text))
+                    continue
+                if matcher is None:
+                    matcher, held = IgnoreMatcher(held), []
+                if matcher.ignores(text):
+                    out.append((repo, text))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in (0, 1)], schema=_IGNORED)
+
+    return rows.mapInArrow(run, "repo_id string, rel_path string")
 
 
 def filter_corpus(files: DataFrame, patterns: DataFrame | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:

@@ -1,13 +1,16 @@
 """Whole runs: from files to page texts, and from changed snapshots to replaced pages.
 
-Prompts, and the texts of a refresh, are written to the shared folder, so that no prompt is put
-together and no text is written twice; the rest are lazy plans.  The writer of page texts is
+The steps of a run (edges, plan, prompts, texts) are tables in the shared folder, so that nothing is put together
+or written twice.  A run that is given a label keeps them under the digest of its inputs: if it
+stops, a run of the same label over the same inputs goes on after the last step that was whole.  The writer of page texts is
 a plug: a function over pandas batches of prompts, run by ``mapInPandas``; the default is a native
 template.  The embedder is a plug as well (``vectors.embed``).
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,7 +22,38 @@ from loomscribe.functions.text import slugify_title
 from loomscribe.operators import chunks, extract, graph, vectors
 from loomscribe.plans import pages as plans
 from loomscribe.plans import refresh
-from loomscribe.sources.scratch import Workspace
+from loomscribe.sources.scratch import Workspace, delete, exists, move, shared_folder
+
+class Stages:
+    """The steps of one run.  With a label they lie under a digest of the label and the input rows, and a step that
+    is there already is read instead of computed; without one, under a name of their own."""
+
+    def __init__(self, inputs: DataFrame, name: str, label: str | None = None):
+        self.spark, digest = inputs.sparkSession, uuid.uuid4().hex
+        if label is not None:
+            rows = inputs.select(F.xxhash64(*sorted(inputs.columns)).cast("decimal(38,0)").alias("h"))
+            n, total, spread = rows.agg(F.count("*"), F.sum("h"), F.bit_xor(F.xxhash64("h"))).first()
+            digest = hashlib.sha256(repr((label, sorted(inputs.dtypes), n, total, spread)).encode()).hexdigest()[:32]
+        self.folder = f"{shared_folder(self.spark)}/{name}-{digest}"
+        self.reused: list[str] = []
+
+    def step(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """The table of a step; it is whole once it bears its name, which it gets when all of it is written."""
+        path = f"{self.folder}/{name}"
+        if exists(self.spark, path):
+            self.reused.append(name)
+            return self.spark.read.parquet(path)
+        own = f"{self.folder}/_{name}-{uuid.uuid4().hex}"
+        build().write.parquet(own)
+        if not move(self.spark, own, path):
+            delete(self.spark, own)
+        return self.spark.read.parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete the tables of steps that nothing reads any more."""
+        for name in names:
+            delete(self.spark, f"{self.folder}/{name}")
+
 
 #: Batches with ``repo_id, slug, title, prompt`` in, the same with ``content`` for ``prompt`` out.
 Generator = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
@@ -55,16 +89,29 @@ def page_prompts(files: DataFrame, pages: DataFrame, page_files: DataFrame, k: i
     return known.select("repo_id", slugify_title(F.col("title")).alias("slug"), "title", "purpose", "page_pos", "prompt")
 
 
-def run_full(files: DataFrame, generator: Generator | None = None, k: int = 3, embedder: Callable[[Column], Column] = vectors.hashed_bow) -> DataFrame:
-    """``repo_id, slug, title, page_order, content``: graph, clusters, plan, retrieval, prompts and texts of a corpus."""
-    edges, _ = graph.dependency_graph(files)
-    page_files = plans.fallback_plan(files, graph.components(edges, files)).select("repo_id", "title", "rel_path")
+def planned(page_files: DataFrame) -> DataFrame:
+    """``repo_id, title, page_pos, purpose, parent`` of the pages that files have been dealt to, the overview first."""
     overview = F.when(F.col("title") == "Overview", 0).otherwise(1)
     pos = F.row_number().over(W.partitionBy("repo_id").orderBy(overview, "title")) - 1
-    pages = page_files.select(*KEY).distinct().withColumns({"page_pos": pos, "purpose": F.concat(F.lit("Covers the files of "), "title"), "parent": F.lit(None).cast("string")})
-    prompts = Workspace(files.sparkSession, "run").save(page_prompts(files, pages, page_files, k, embedder), "prompts")
-    texts = write_texts(prompts, generator)
-    return texts.join(prompts.select("repo_id", "slug", F.col("page_pos").alias("page_order")), ["repo_id", "slug"]).select("repo_id", "slug", "title", "page_order", "content")
+    return page_files.select(*KEY).distinct().withColumns({"page_pos": pos, "purpose": F.concat(F.lit("Covers the files of "), "title"), "parent": F.lit(None).cast("string")})
+
+
+def run_full(
+    files: DataFrame, generator: Generator | None = None, k: int = 3, embedder: Callable[[Column], Column] = vectors.hashed_bow, label: str | None = None, stages: Stages | None = None
+) -> DataFrame:
+    """``repo_id, slug, title, page_order, content``: graph, clusters, plan, retrieval, prompts and texts of a corpus.
+
+    ``label`` names the run and its plugs: a run that has stopped is taken up by another of the same label.  When the
+    texts are written, the steps before them are deleted.
+    """
+    run = stages or Stages(files, "run", label)
+    if not exists(files.sparkSession, f"{run.folder}/texts"):
+        edges = run.step("edges", lambda: graph.dependency_graph(files)[0])
+        page_files = run.step("plan", lambda: plans.fallback_plan(files, graph.components(edges, files)).select("repo_id", "title", "rel_path"))
+        prompts = run.step("prompts", lambda: page_prompts(files, planned(page_files), page_files, k, embedder))
+        run.step("texts", lambda: write_texts(prompts, generator).join(prompts.select("repo_id", "slug", F.col("page_pos").alias("page_order")), ["repo_id", "slug"]))
+        run.drop("edges", "plan", "prompts")
+    return run.step("texts", lambda: files).select("repo_id", "slug", "title", "page_order", "content")
 
 
 def refresh_plan(old: DataFrame, new: DataFrame, commits: DataFrame, pages: DataFrame, page_files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomscribe import queries_corpus, queries_plans
+from loomscribe import queries_corpus, queries_plans, queries_runs
 
-_MODULES = (queries_corpus, queries_plans)
+_MODULES = (queries_corpus, queries_plans, queries_runs)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}

@@ -50,6 +50,29 @@ def conform(df: DataFrame, schema: StructType) -> DataFrame:
     return df.select([(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
 
+#: Defaults of catalog columns that older files lack or leave empty.
+CATALOG_DEFAULTS = {"description": "", "stars": 0, "language": "", "default_branch": "main"}
+
+
+def read_evolved(spark: SparkSession, paths: list[str], schema: StructType | str, defaults: dict[str, object] | None = None) -> DataFrame:
+    """Parquet files of several schema versions in one scan, by the newest schema.
+
+    Columns are found by name: those that a file lacks are null, narrower numbers are widened, columns
+    that the schema does not have are not read.  Nulls of columns with a default become it.
+    """
+    rows = spark.read.schema(schema).parquet(*paths)
+    kinds = {f.name: f.dataType for f in rows.schema}
+    values = {c: F.coalesce(c, F.lit(v).cast(kinds[c])) for c, v in (defaults or {}).items() if c in kinds}
+    return rows.withColumns(values)
+
+
+def scan_repositories(spark: SparkSession, root: str) -> DataFrame:
+    """All regular files under the folders of ``root``, each folder a repository: ``repo_id, rel_path, size, content``."""
+    files = scan_corpus(spark, root, "")
+    parts = F.split("rel_path", "/", 2)
+    return files.withColumns({"repo_id": F.element_at(parts, 1), "rel_path": F.try_element_at(parts, F.lit(2))}).filter("rel_path is not null")
+
+
 def parse_plans(rows: DataFrame, schema: str, column: str = "plan_json") -> DataFrame:
     """Plan JSON as ``plan``, with ``corrupt`` where it does not parse; missing stays null."""
     plan = F.from_json(column, schema)

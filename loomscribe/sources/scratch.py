@@ -25,6 +25,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(context._jsc.hadoopConfiguration()), at
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    files, at = _file_system(spark, path)
+    files.delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _file_system(spark, path)
+    return files.exists(at)
+
+
+def move(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder; False if the target is there already."""
+    files, at = _file_system(spark, source)
+    to = _file_system(spark, target)[1]
+    return not files.exists(to) and files.rename(at, to)
+
+
 class Workspace:
     """The tables of one job's steps, in a folder of their own.
 
@@ -47,7 +71,5 @@ class Workspace:
 
     def drop(self, *steps: str) -> None:
         """Delete the tables that the steps have written last."""
-        context = self.spark.sparkContext
         for step in steps:
-            path = context._jvm.org.apache.hadoop.fs.Path(self.paths.pop(step))
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, self.paths.pop(step))

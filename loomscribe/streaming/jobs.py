@@ -14,10 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from loomscribe.functions.text import retrying
 from loomscribe.plans.refresh import refresh_decision, snapshot_diff
-from loomscribe.sources.scratch import shared_folder
+from loomscribe.sources.scratch import exists, shared_folder
 
 TERMINAL = ("done", "failed")
 
@@ -121,6 +122,28 @@ def run_available(
     return spark.read.parquet(*(f"{base}/out/{n}" for n in kept))
 
 
+def append_new(messages: DataFrame, path: str, checkpoint: str, delay: str = "1 day") -> None:
+    """Append streamed messages (``session_id, seq, role, content, created_at``) to the table at ``path``, each once.
+
+    Replays within ``delay`` of event time are dropped by the stream's state, which the watermark bounds; a batch
+    that runs again overwrites its own part; and messages that an earlier batch has stored are dropped by
+    (session_id, seq).  Only stored messages as young as the batch less ``delay`` are read for that.
+    """
+    spark, key = messages.sparkSession, ["session_id", "seq"]
+    once = messages.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(key)
+
+    def append(batch: DataFrame, number: int) -> None:
+        rows = batch.dropDuplicates(key)
+        if exists(spark, path):
+            low = batch.agg(F.min("created_at").alias("low")).first()["low"]
+            stored = spark.read.schema(StructType([*batch.schema.fields, StructField("batch", LongType())])).parquet(path)
+            stored = stored.filter((F.col("batch") < number) & (F.col("created_at") >= F.lit(low).cast("timestamp") - F.expr(f"interval {delay}")))
+            rows = rows.join(stored.select(key), key, "left_anti")
+        rows.select(batch.columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    once.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def ingest(arrivals: DataFrame, old: DataFrame, commits: DataFrame, pages: DataFrame, page_files: DataFrame) -> DataFrame:
     """``repo_id, rel_path, change, decision`` for a batch of newly arrived whole snapshots.
 
