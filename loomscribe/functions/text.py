@@ -92,7 +92,7 @@ def valid_diagram(text: Column) -> Column:
     first = F.lower(F.trim(F.element_at(F.split(F.trim(F.coalesce(text, F.lit(""))), "\n"), 1)))
     known = F.lit(False)
     for start in DIAGRAM_STARTS:
-        known = known | F.concat(first, F.lit(" ")).startswith(start) if start.endswith(" ") else known | first.startswith(start)
+        known = known | first.startswith(start)
     return known
 
 

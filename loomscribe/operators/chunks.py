@@ -152,24 +152,28 @@ def entity_texts(files: DataFrame, entities: DataFrame) -> DataFrame:
     return rows.withColumn("content", text).drop("lines").filter(F.col("content").rlike(r"\S"))
 
 
-def chunk_entities(files: DataFrame, entities: DataFrame, max_entity: int = 1500, size: int = 1000, overlap: int = 100) -> DataFrame:
+def chunk_entities(files: DataFrame, entities: DataFrame, size: int = 1500, overlap: int = 100) -> DataFrame:
     """``repo_id, rel_path, start_line, end_line, text, entity, entity_type, emit_pos``.
 
-    Entities up to ``max_entity`` characters are one chunk, longer ones are split with
-    cumulative line estimates; runs of uncovered lines are split, each with the run's range.
+    Entities up to ``size`` characters are one chunk; longer ones are split, each piece with the lines
+    that the pieces before it add up to, which is an estimate.  Runs of uncovered lines likewise: short ones
+    are one chunk as they stand, longer ones are split, each piece with the run's range.
     """
     texts = entity_texts(files, entities)
     columns = ["repo_id", "rel_path", "start_line", "end_line", "text", "entity", "entity_type", "emit_pos"]
-    named = texts.withColumnsRenamed({"name": "entity", "type": "entity_type"})
-    whole = named.filter(F.length("content") <= max_entity).withColumn("text", F.col("content")).withColumn("emit_pos", F.col("entity_pos") * 1000)
+    named, short = texts.withColumnsRenamed({"name": "entity", "type": "entity_type"}), F.length("content") <= size
+    whole = named.filter(short).withColumn("text", F.col("content")).withColumn("emit_pos", F.col("entity_pos") * 1000)
     keys = ["repo_id", "rel_path", "start_line", "end_line", "entity", "entity_type", "entity_pos"]
-    split = split_rows(named.filter(F.length("content") > max_entity), keys, size, overlap)
+    split = split_rows(named.filter(~short), keys, size, overlap)
     before = F.coalesce(F.sum(F.col("last_line") - F.col("first_line") + 1).over(W.partitionBy("repo_id", "rel_path", "entity_pos").orderBy("piece_pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    first = F.least(F.col("start_line") + before, F.col("end_line")).cast("int")
-    last = F.least(first + F.col("last_line") - F.col("first_line"), F.col("end_line")).cast("int")
+    first = (F.col("start_line") + before).cast("int")
+    last = (first + F.col("last_line") - F.col("first_line")).cast("int")
     split = split.withColumn("a", first).withColumn("b", last).withColumn("emit_pos", F.col("entity_pos") * 1000 + F.col("piece_pos"))
     split = split.withColumn("start_line", F.col("a")).withColumn("end_line", F.col("b"))
-    gaps = split_rows(islands(files, entities), ["repo_id", "rel_path", "start_line", "end_line"], size, overlap)
+    runs = islands(files, entities)
+    keep = runs.filter(short).withColumns({"text": F.col("content"), "piece_pos": F.lit(0)})
+    cut = split_rows(runs.filter(~short), ["repo_id", "rel_path", "start_line", "end_line"], size, overlap)
+    gaps = keep.drop("content").unionByName(cut.select("repo_id", "rel_path", "start_line", "end_line", "text", "piece_pos"))
     gaps = gaps.withColumns({"entity": F.lit(None).cast("string"), "entity_type": F.lit(None).cast("string"), "emit_pos": F.lit(1_000_000) + F.col("piece_pos")})
     return whole.select(columns).unionByName(split.select(columns)).unionByName(gaps.select(columns))
 
@@ -177,11 +181,11 @@ def chunk_entities(files: DataFrame, entities: DataFrame, max_entity: int = 1500
 def chunk_index(files: DataFrame, entities: DataFrame, size: int = 1000, overlap: int = 100) -> DataFrame:
     """``repo_id, file, chunk_idx, start_line, end_line, text, entity, entity_type`` of a corpus.
 
-    Files with entities are cut along them, the others by lines; numbers run per file.
+    Files with entities are cut along them, with the sizes of ``chunk_entities``, the others by lines; numbers run per file.
     """
     having = entities.select("repo_id", "rel_path").distinct()
     plain = chunk_lines(files.join(having, ["repo_id", "rel_path"], "left_anti"), size, overlap)
     plain = plain.withColumns({"entity": F.lit(None).cast("string"), "entity_type": F.lit(None).cast("string"), "emit_pos": F.col("piece_pos")}).drop("piece_pos")
-    both = plain.unionByName(chunk_entities(files.join(having, ["repo_id", "rel_path"], "left_semi"), entities, size=size, overlap=overlap))
+    both = plain.unionByName(chunk_entities(files.join(having, ["repo_id", "rel_path"], "left_semi"), entities))
     order = W.partitionBy("repo_id", "rel_path").orderBy("start_line", "emit_pos", "text")
     return both.withColumn("chunk_idx", F.row_number().over(order) - 1).drop("emit_pos").withColumnRenamed("rel_path", "file")

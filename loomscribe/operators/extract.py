@@ -121,24 +121,23 @@ def extract_citations(pages: DataFrame, *keys: str) -> DataFrame:
     return filled.filter(F.col("path").isNotNull() & is_file_path(F.col("path"))).select(*keys, "cite_pos", "path", "lines")
 
 
-def _unfenced_lines(content: Column) -> Column:
-    """``array<struct<line, at, fenced>>`` of a text."""
-    start = F.struct(F.expr("cast(array() as array<struct<line:string,at:int,fenced:boolean>>)").alias("out"), F.lit(False).alias("inside"))
-    numbered = F.transform(F.split(content, "\n"), lambda line, i: F.struct(line.alias("line"), i.alias("at")))
+def _headings(content: Column) -> Column:
+    """``array<string>``: the heading lines outside fences, each as its number, a colon and the line.
 
-    def walk(s: Column, x: Column) -> Column:
-        fence = x["line"].startswith("```")
-        row = F.struct(x["line"].alias("line"), x["at"].alias("at"), (s["inside"] | fence).alias("fenced"))
-        return F.struct(F.concat(s["out"], F.array(row)).alias("out"), (s["inside"] != fence).alias("inside"))
-
-    return F.aggregate(numbered, start, walk, lambda s: s["out"])
+    Lines get their numbers, a fence line becomes a bare fence, and one replacement takes out all
+    from fence to fence (or to the end): three linear passes over the text.
+    """
+    numbered = F.transform(F.split(content, "\n"), lambda line, i: F.when(line.startswith("```"), F.lit("```")).otherwise(F.concat(i.cast("string"), F.lit(":"), line)))
+    text = F.regexp_replace(F.array_join(numbered, "\n"), r"(?md)^```$[\s\S]*?(?:^```$|\z)", "")
+    return F.filter(F.split(text, "\n"), lambda line: line.rlike("^[0-9]+:#{2,3} "))
 
 
 def extract_toc(pages: DataFrame, *keys: str) -> DataFrame:
     """``keys, line_no, level, title, anchor``: second and third level headings, anchors unique per page."""
-    rows = pages.select(*keys, F.explode(_unfenced_lines(F.col("content"))).alias("x")).filter(~F.col("x.fenced") & F.col("x.line").rlike("^#{2,3} "))
-    title = F.trim(F.regexp_replace("x.line", "^#+ ", ""))
-    rows = rows.select(*keys, F.col("x.at").alias("line_no"), F.length(F.regexp_extract("x.line", "^(#+)", 1)).alias("level"), title.alias("title"), slugify_heading(title).alias("base"))
+    rows = pages.select(*keys, F.explode(_headings(F.col("content"))).alias("x"))
+    at, line = F.substring_index("x", ":", 1).cast("int"), F.regexp_replace("x", "^[0-9]+:", "")
+    title = F.trim(F.regexp_replace(line, "^#+ ", ""))
+    rows = rows.select(*keys, at.alias("line_no"), F.length(F.regexp_extract(line, "^(#+)", 1)).alias("level"), title.alias("title"), slugify_heading(title).alias("base"))
     nth = F.row_number().over(W.partitionBy(*keys, "base").orderBy("line_no")) - 1
     return rows.withColumn("anchor", F.when(nth == 0, F.col("base")).otherwise(F.concat("base", F.lit("-"), nth.cast("string")))).drop("base")
 

@@ -58,20 +58,36 @@ def validate_plan(pages: DataFrame, page_files: DataFrame, files: DataFrame, kno
     return good.join(held, ["repo_id", "title"], "left"), errors
 
 
-def cluster_pages(components: DataFrame, per_page: int = 20) -> DataFrame:
-    """``repo_id, title, rel_path``: clusters cut into pages of at most ``per_page`` files."""
+def _cluster_parts(components: DataFrame, per_page: int) -> DataFrame:
+    """``repo_id, title, rel_path, cluster_pos, part`` of clusters cut into pages of at most ``per_page`` files."""
     nth = F.row_number().over(W.partitionBy("repo_id", "component").orderBy("rel_path")) - 1
     part = F.floor(nth / per_page) + 1
     title = F.format_string("Component %d", "cluster_pos")
     title = F.when(F.col("size") > per_page, F.concat(title, F.format_string(" (part %d)", part))).otherwise(title)
-    return components.select("repo_id", title.alias("title"), "rel_path")
+    return components.select("repo_id", title.alias("title"), "rel_path", "cluster_pos", part.alias("part"))
+
+
+def cluster_pages(components: DataFrame, per_page: int = 20) -> DataFrame:
+    """``repo_id, title, rel_path``: clusters cut into pages of at most ``per_page`` files."""
+    return _cluster_parts(components, per_page).select("repo_id", "title", "rel_path")
 
 
 def fallback_plan(files: DataFrame, components: DataFrame, per_page: int = 20) -> DataFrame:
-    """``repo_id, title, rel_path`` without a model: clusters of several files, the rest on the overview."""
-    several = components.filter("size > 1")
-    rest = files.select("repo_id", "rel_path").join(several, ["repo_id", "rel_path"], "left_anti")
-    return rest.select("repo_id", F.lit("Overview").alias("title"), "rel_path").union(cluster_pages(several, per_page))
+    """``repo_id, title, rel_path`` without a model: a page for every cluster, single files too; files of no cluster are on the overview."""
+    rest = files.select("repo_id", "rel_path").join(components, ["repo_id", "rel_path"], "left_anti")
+    return rest.select("repo_id", F.lit("Overview").alias("title"), "rel_path").union(cluster_pages(components, per_page))
+
+
+#: Purposes of the pages of a plan without a model.
+OVERVIEW_PURPOSE, COMPONENT_PURPOSE = "High-level overview of the %s project architecture and components.", "Documentation for component %d."
+
+
+def fallback_pages(files: DataFrame, components: DataFrame, per_page: int = 20) -> DataFrame:
+    """``repo_id, title, purpose, parent, page_pos`` of ``fallback_plan``: the overview, also without files, then the clusters in their order."""
+    parts = _cluster_parts(components, per_page).select("repo_id", "title", F.format_string(COMPONENT_PURPOSE, "cluster_pos").alias("purpose"), "cluster_pos", "part").distinct()
+    first = files.select("repo_id").distinct().select("repo_id", F.lit("Overview").alias("title"), F.format_string(OVERVIEW_PURPOSE, "repo_id").alias("purpose"), F.lit(0).alias("cluster_pos"), F.lit(0).cast("long").alias("part"))
+    pos = F.row_number().over(W.partitionBy("repo_id").orderBy("cluster_pos", "part")) - 1
+    return first.unionByName(parts).select("repo_id", "title", "purpose", F.lit(None).cast("string").alias("parent"), pos.alias("page_pos"))
 
 
 def plan_json(pages: DataFrame, shape: str = "user") -> DataFrame:

@@ -89,13 +89,6 @@ def page_prompts(files: DataFrame, pages: DataFrame, page_files: DataFrame, k: i
     return known.select("repo_id", slugify_title(F.col("title")).alias("slug"), "title", "purpose", "page_pos", "prompt")
 
 
-def planned(page_files: DataFrame) -> DataFrame:
-    """``repo_id, title, page_pos, purpose, parent`` of the pages that files have been dealt to, the overview first."""
-    overview = F.when(F.col("title") == "Overview", 0).otherwise(1)
-    pos = F.row_number().over(W.partitionBy("repo_id").orderBy(overview, "title")) - 1
-    return page_files.select(*KEY).distinct().withColumns({"page_pos": pos, "purpose": F.concat(F.lit("Covers the files of "), "title"), "parent": F.lit(None).cast("string")})
-
-
 def run_full(
     files: DataFrame, generator: Generator | None = None, k: int = 3, embedder: Callable[[Column], Column] = vectors.hashed_bow, label: str | None = None, stages: Stages | None = None
 ) -> DataFrame:
@@ -107,10 +100,11 @@ def run_full(
     run = stages or Stages(files, "run", label)
     if not exists(files.sparkSession, f"{run.folder}/texts"):
         edges = run.step("edges", lambda: graph.dependency_graph(files)[0])
-        page_files = run.step("plan", lambda: plans.fallback_plan(files, graph.components(edges, files)).select("repo_id", "title", "rel_path"))
-        prompts = run.step("prompts", lambda: page_prompts(files, planned(page_files), page_files, k, embedder))
+        clusters = run.step("clusters", lambda: graph.components(edges, files))
+        page_files, pages = plans.fallback_plan(files, clusters), plans.fallback_pages(files, clusters)
+        prompts = run.step("prompts", lambda: page_prompts(files, pages, page_files, k, embedder))
         run.step("texts", lambda: write_texts(prompts, generator).join(prompts.select("repo_id", "slug", F.col("page_pos").alias("page_order")), ["repo_id", "slug"]))
-        run.drop("edges", "plan", "prompts")
+        run.drop("edges", "clusters", "prompts")
     return run.step("texts", lambda: files).select("repo_id", "slug", "title", "page_order", "content")
 
 

@@ -139,12 +139,12 @@ QUERIES = {
     "page_external": lambda s, d: graph.page_external(_page_files(s, d), _graph(s, d)[2]),
     "page_dep_summary": lambda s, d: graph.page_deps(_page_files(s, d), *_graph(s, d)[1:]).select("repo_id", "title", *[F.array_join(c, ",").alias(c) for c in ("depends_on", "depended_by", "external_deps")]),
     "extract_entities": _entities,
-    "entity_counts": lambda s, d: extract.file_info(carrier(s, d, "code_files"), _entities(s, d).filter("name not like '%7'")).select("repo_id", "rel_path", "class_count", "function_count"),
+    "entity_counts": lambda s, d: extract.file_info(carrier(s, d, "code_files"), _entities(s, d)).select("repo_id", "rel_path", "class_count", "function_count"),
     "entity_summary": lambda s, d: extract.file_info(carrier(s, d, "code_files"), _entities(s, d)).select("repo_id", "rel_path", "summary"),
     "file_cap": lambda s, d: extract.file_summary(extract.file_info(carrier(s, d, "code_files"), _entities(s, d)), 50),
     "file_analysis": lambda s, d: extract.file_info(carrier(s, d, "code_files"), _entities(s, d)).select("repo_id", extract.summary_line().alias("line")),
     "extract_citations": lambda s, d: extract.extract_citations(carrier(s, d, "md_pages"), "doc_id"),
-    "ffill_path": lambda s, d: extract.extract_citations(carrier(s, d, "md_pages"), "doc_id").filter("cite_pos = 1").select("doc_id", "path"),
+    "ffill_path": lambda s, d: extract.extract_citations(carrier(s, d, "md_pages"), "doc_id").select("doc_id", "cite_pos", "path"),
     "extract_toc": lambda s, d: extract.extract_toc(carrier(s, d, "md_pages"), "doc_id"),
     "dedupe_anchor": lambda s, d: extract.extract_toc(carrier(s, d, "md_pages"), "doc_id").select("doc_id", "anchor"),
     "extract_code_blocks": lambda s, d: extract.extract_code_blocks(carrier(s, d, "md_pages"), "doc_id"),
@@ -246,14 +246,14 @@ select repo_id, coalesce(concat_ws(chr(10), t, case when r > 0 then concat('...
  coalesce((select string_agg(pkg, ',' order by pkg) from pex where pex.repo_id = t.repo_id and pex.title = t.title), '') external_deps
  from (select distinct repo_id, title from plan_files) t""",
     "extract_entities": _ENT + " select repo_id, rel_path, entity_pos, type, name, cast(start_line as int) start_line, cast(end_line as int) end_line, signature, docstring from ent",
-    "entity_counts": _ENT + " select repo_id, rel_path, count(*) filter (\"type\" = 'class' and name not like '%7') class_count, count(*) filter (\"type\" = 'function' and name not like '%7') function_count from ent group by all",
+    "entity_counts": _ENT + " select repo_id, rel_path, count(*) filter (\"type\" = 'class') class_count, count(*) filter (\"type\" = 'function') function_count from ent group by all",
     "entity_summary": _ENT + " select repo_id, rel_path, string_agg(name, ', ' order by entity_pos) summary from ent group by all",
     "file_analysis": _ENT + " select repo_id, concat(rel_path, ': 1 classes, 2 functions [', string_agg(name, ', ' order by entity_pos), ']') line from ent group by repo_id, rel_path",
     "file_cap": _ENT + """, l as (select repo_id, rel_path, concat(rel_path, ': 1 classes, 2 functions [', string_agg(name, ', ' order by entity_pos), ']') line,
  row_number() over (partition by repo_id order by rel_path) r, count(*) over (partition by repo_id) n from ent group by repo_id, rel_path)
 select repo_id, concat(string_agg(line, chr(10) order by r), case when max(n) > 50 then concat(chr(10), '... and ', max(n) - 50, ' more files') else '' end) as text from l where r <= 50 group by 1""",
     "extract_citations": """select doc_id, unnest([0, 1, 2]) cite_pos, unnest([concat('pkg/a', doc_id % 11, '.py'), concat('pkg/a', doc_id % 11, '.py'), 'lib/b.go']) path, unnest(['1-10', '20-30', null]) "lines" from documents""",
-    "ffill_path": "select doc_id, concat('pkg/a', doc_id % 11, '.py') path from documents",
+    "ffill_path": "select doc_id, unnest([0, 1, 2]) cite_pos, unnest([concat('pkg/a', doc_id % 11, '.py'), concat('pkg/a', doc_id % 11, '.py'), 'lib/b.go']) path from documents",
     "extract_toc": """select doc_id, unnest([0, 3, 8]) line_no, unnest([2, 3, 2]) "level", unnest([concat('Topic ', doc_id % 5), concat('Topic ', doc_id % 5, '!'), concat('Topic ', doc_id % 5)]) title,
  unnest([concat('topic-', doc_id % 5), concat('topic-', doc_id % 5, '-1'), concat('topic-', doc_id % 5, '-2')]) anchor from documents""",
     "dedupe_anchor": "select doc_id, unnest([concat('topic-', doc_id % 5), concat('topic-', doc_id % 5, '-1'), concat('topic-', doc_id % 5, '-2')]) anchor from documents",

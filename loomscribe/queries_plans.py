@@ -87,6 +87,17 @@ def _slugs(pages: DataFrame) -> DataFrame:
     return pages.withColumn("slug", slugify_title(F.col("title")))
 
 
+def _faulty(s: SparkSession, d: str) -> DataFrame:
+    """The plan with a title missing here, a purpose missing there, and some titles twice."""
+    title = F.when(F.col("page_pos") % 11 == 10, F.lit(" ")).when(F.col("page_pos") % 5 == 4, F.lit("Same Page!")).otherwise(F.col("title"))
+    return _plan(s, d).withColumns({"title": title, "purpose": F.when(F.col("page_pos") % 7 != 3, F.col("purpose"))})
+
+
+def _with_files(s: SparkSession, d: str) -> DataFrame:
+    held = _page_files(s, d).groupBy("repo_id", "title").agg(F.array_sort(F.collect_list("rel_path")).alias("files"))
+    return _plan(s, d).join(held, ["repo_id", "title"], "left")
+
+
 def _new_plan(s: SparkSession, d: str) -> DataFrame:
     fresh = _plan(s, d).join(_affected(s, d), ["repo_id", "title"], "left_semi")
     return fresh.withColumn("title", F.when(F.col("page_pos") % 4 == 0, F.concat("title", F.lit(" Two"))).otherwise(F.col("title")))
@@ -215,7 +226,11 @@ QUERIES = {
     "plan_validate": lambda s, d: plans.validate_plan(_plan(s, d), _page_files(s, d), _code(s, d))[0].select("repo_id", "title", "parent", F.size("files").alias("n_files")),
     "cluster_pages": lambda s, d: plans.cluster_pages(_comp(s, d).filter("size > 1"), 3),
     "fallback_plan": lambda s, d: plans.fallback_plan(_code(s, d), _comp(s, d)),
+    "fallback_pages": lambda s, d: plans.fallback_pages(_code(s, d), _comp(s, d)).select("repo_id", "title", "purpose", "page_pos"),
+    "plan_errors": lambda s, d: plans.validate_plan(_faulty(s, d), _page_files(s, d), _code(s, d))[1],
     "plan_sink": lambda s, d: plans.plan_json(_plan(s, d), "user"),
+    "plan_sink_internal": lambda s, d: plans.plan_json(_with_files(s, d), "internal"),
+    "plan_sink_api": lambda s, d: plans.plan_json(_plan(s, d), "api"),
     "graph_view": lambda s, d: plans.graph_view(_plan(s, d), _page_files(s, d)),
     "page_entities": lambda s, d: plans.page_entities(_page_files(s, d), _entities(s, d)).select("repo_id", "title", "entity_rank", "rel_path", "name"),
     "page_queries": lambda s, d: plans.page_queries(_plan(s, d), _page_files(s, d), _entities(s, d)),
@@ -296,7 +311,7 @@ isl as (select repo_id, rel_path, min(line_no) start_line, max(line_no) end_line
   from (select *, line_no - row_number() over (partition by repo_id, rel_path order by line_no) g from unc) x group by repo_id, rel_path, g),
 tx as (select e.*, (select string_agg(line, chr(10) order by line_no) from ln where ln.repo_id = e.repo_id and ln.rel_path = e.rel_path and line_no between start_line and end_line) t from ent e),
 ck as (select repo_id, rel_path, start_line, end_line, t as "text", name entity, "type" entity_type, entity_pos emit_pos from tx
-  union all select repo_id, rel_path, start_line, end_line, trim(content, chr(10) || ' '), null, null, 1000000 from isl where regexp_matches(content, '\\S'))"""
+  union all select repo_id, rel_path, start_line, end_line, content, null, null, 1000000 from isl where regexp_matches(content, '\\S'))"""
 _PE = _ENT + "," + ctes("plan_files").split("\nplan_rows", 1)[1].join(["\nplan_rows", ""]) + """,
 pe as (select f.repo_id, f.title, f.rel_path, name, "type", start_line, end_line, signature, docstring,
   cast(row_number() over (partition by f.repo_id, f.title order by f.rel_path, entity_pos) as int) entity_rank from plan_files f join ent using (repo_id, rel_path))"""
@@ -327,8 +342,14 @@ p as (select repo_id, component, row_number() over (partition by repo_id order b
 select k.repo_id, concat('Component ', cp, case when size > 3 then concat(' (part ', n // 3 + 1, ')') else '' end) title, rel_path from k join p using (repo_id, component) where size > 1""",
     "fallback_plan": _CC + """, k as (select comp.repo_id, comp.rel_path, size, component, row_number() over (partition by comp.repo_id, component order by rel_path) - 1 n from comp join sized using (repo_id, component)),
 p as (select repo_id, component, row_number() over (partition by repo_id order by size desc, component) cp from sized)
-select k.repo_id, case when size = 1 then 'Overview' else concat('Component ', cp, case when size > 20 then concat(' (part ', n // 20 + 1, ')') else '' end) end title, rel_path from k join p using (repo_id, component)""",
+select k.repo_id, concat('Component ', cp, case when size > 20 then concat(' (part ', n // 20 + 1, ')') else '' end) title, rel_path from k join p using (repo_id, component)""",
     "plan_sink": _PL + """ select repo_id, concat('{"pages":[', string_agg(concat('{"title":"', title, '","purpose":"', purpose, '"', case when parent is not null then concat(',"parent":"', parent, '"') else '' end, '}'), ',' order by page_pos), ']}') json from plan_pages group by 1""",
+    "plan_sink_internal": _PL + """ select repo_id, concat('{"pages":[', string_agg(concat('{"title":"', title, '","purpose":"', purpose, '"', case when parent is not null then concat(',"parent":"', parent, '"') else '' end,
+  coalesce((select concat(',"files":["', string_agg(rel_path, '","' order by rel_path), '"]') from plan_files f where f.repo_id = p.repo_id and f.title = p.title having count(*) > 0), ''), '}'), ',' order by page_pos), ']}') json from plan_pages p group by 1""",
+    "plan_sink_api": _PL + f""" select repo_id, concat('{{"pages":[', string_agg(concat('{{"slug":"', {_SLUG}, '","title":"', title, '","parent_slug":', case when parent is null then 'null' else concat('"', lower(parent), '"') end, ',"purpose":"', purpose, '"}}'), ',' order by page_pos), ']}}') json from plan_pages group by 1""",
+    "plan_errors": _PL + f""", q as (select repo_id, page_pos, case when page_pos % 11 = 10 then ' ' when page_pos % 5 = 4 then 'Same Page!' else title end title, case when page_pos % 7 <> 3 then purpose end purpose from plan_pages)
+select repo_id, concat('page ', page_pos, ': title missing') error from q where trim(title) = '' union all select repo_id, concat('page ', page_pos, ': purpose missing') from q where purpose is null
+union all select repo_id, concat('slug twice: ', {_SLUG}) from q group by repo_id, {_SLUG} having count(*) > 1""",
     "graph_view": _PL + f""" select p.repo_id, {_SLUG} id, title "label", (select count(*) from plan_files f where f.repo_id = p.repo_id and f.title = p.title) file_count, lower(parent) "source" from plan_pages p""",
     "page_entities": _PE + " select repo_id, title, entity_rank, rel_path, name from pe",
     "page_queries": _PE.replace("plan_files as", "plan_files as", 1) + """,
@@ -392,7 +413,12 @@ select repo_id, {_SLUG} slug, page_pos page_order,
   case when repo_id <> 'r1' and (repo_id, title) in (select (repo_id, title) from hit) then concat('# ', title, chr(10), chr(10), purpose) else 'old' end content from plan_pages""",
 }
 
-_PLACED = f"""(select *, cast(row_number() over (partition by repo_id order by case when title = 'Overview' then 0 else 1 end, title) - 1 as int) page_order
-  from (select distinct repo_id, title from ({SQL["fallback_plan"]}) f) g) h"""
-SQL["run_full"] = f"select repo_id, {_SLUG} slug, page_order, md5(concat('# ', title, chr(10), chr(10), 'Covers the files of ', title)) h from {_PLACED}"
+_PAGED = _CC + """, k as (select comp.repo_id, comp.rel_path, size, component, row_number() over (partition by comp.repo_id, component order by rel_path) - 1 n from comp join sized using (repo_id, component)),
+p as (select repo_id, component, row_number() over (partition by repo_id order by size desc, component) cp from sized),
+t as (select distinct k.repo_id, cp, n // 20 + 1 pt, concat('Component ', cp, case when size > 20 then concat(' (part ', n // 20 + 1, ')') else '' end) title, concat('Documentation for component ', cp, '.') purpose
+  from k join p using (repo_id, component)
+  union all select distinct repo_id, 0, 0, 'Overview', concat('High-level overview of the ', repo_id, ' project architecture and components.') from code_files),
+o as (select repo_id, title, purpose, cast(row_number() over (partition by repo_id order by cp, pt) - 1 as int) page_pos from t)"""
+SQL["fallback_pages"] = _PAGED + " select repo_id, title, purpose, page_pos from o"
+SQL["run_full"] = _PAGED + f" select repo_id, {_SLUG} slug, page_pos page_order, md5(concat('# ', title, chr(10), chr(10), purpose)) h from o"
 SQL["incremental_ingest"] = f"select repo_id, rel_path, change, decision from ({SQL['snapshot_diff']}) d join ({SQL['refresh_decision']}) n using (repo_id)"

@@ -318,3 +318,83 @@ def test_line_chunks_are_places_of_the_text():
             assert (first, last) == (text.count("\n", 0, a) + 1, text.count("\n", 0, b) + 1)
             covered.update(range(a, b))
         assert all(i in covered or text[i].isspace() for i in range(len(text)))
+
+
+def test_a_diagram_word_needs_what_follows_it(spark):
+    assert one(spark, P.valid_diagram, "graph", "  graph  ", "graphs TD", "gantt", "pie", "stateDiagram-v2") == [False, False, False, False, True, True]
+
+
+def test_headings_of_long_pages_with_fences(spark):
+    import time
+
+    lines = [line for i in range(8000) for line in (f"## Part {i % 50}", "```python", "## no heading", "``` end")] + ["text ```", "### Last", "```", "## in an open fence"]
+    page = spark.createDataFrame([(1, "\n".join(lines)), (2, None), (3, ""), (4, "## a\r\n```\n## b ```\n## c")], "id int, content string")
+    began = time.time()
+    got = sorted(map(tuple, extract.extract_toc(page, "id").select("id", "line_no", "level", "title", "anchor").collect()))
+    assert time.time() - began < 5
+    want, seen, inside = [], {}, False
+    for at, line in enumerate(lines):
+        fence = line.startswith("```")
+        if not inside and not fence and line.startswith(("## ", "### ")):
+            level, title = line.split(" ", 1)
+            base = title.lower().replace(" ", "-")
+            want.append((1, at, len(level), title, base if base not in seen else f"{base}-{seen[base]}"))
+            seen[base] = seen.get(base, 0) + 1
+        inside ^= fence
+    assert got[:-1] == want and got[-1][:4] == (4, 0, 2, "a")
+
+
+def test_long_entities_and_runs_are_cut_by_their_own_size(spark):
+    body = ["    x = 1  # " + "c" * 28] * 60  # 2,459 characters with its head
+    text = "\n".join(["def f():", *body, *["# gap " + "g" * 30] * 33, "def g():", "    return 1", *["# tail " + "t" * 43] * 40])
+    table = spark.createDataFrame([("r", "a.py", text)], "repo_id string, rel_path string, content string")
+    entities = spark.createDataFrame([("r", "a.py", 0, "function", "f", 1, 61), ("r", "a.py", 1, "function", "g", 95, 96)], "repo_id string, rel_path string, entity_pos int, type string, name string, start_line int, end_line int")
+    got = sorted(map(tuple, chunks.chunk_entities(table, entities).orderBy("emit_pos").select("emit_pos", "entity", "start_line", "end_line", F.length("text")).collect()))
+    f, g, runs = [r for r in got if r[1] == "f"], [r for r in got if r[1] == "g"], [r for r in got if r[1] is None]
+    lines = text.split("\n")
+    assert len(f) == 2 and all(r[4] <= 1500 for r in f) and f[0][2] == 1 and f[1][2] == f[0][3] + 1  # an estimate: overlapping lines count twice
+    assert f[-1][3] >= 61 and g == [(1000, "g", 95, 96, len("\n".join(lines[94:96])))]
+    assert (1_000_000, None, 62, 94, len("\n".join(lines[61:94]))) in runs  # 1,220 characters stay whole
+    assert {r[2:4] for r in runs} == {(62, 94), (97, 136)} and sum(r[2] == 97 for r in runs) == 2
+
+
+def brute_split(text, size, overlap, marks=("\n\n", "\n", " ", "")):
+    """The pieces of a recursive splitter, as texts: split by the first mark that occurs, merge, go on with the next for long ones."""
+    mark = next((m for m in marks if m == "" or m in text), "")
+    rest = marks[marks.index(mark) + 1 :]
+    parts = list(text) if mark == "" else [p for i, x in enumerate(text.split(mark)) for p in [x if i == 0 else mark + x]]
+    out, held = [], []
+
+    def flush():
+        now, total = [], 0
+        for p in held:
+            if now and total + len(p) > size:
+                out.append("".join(now).strip())
+                while now and (total > overlap or total + len(p) > size):
+                    total -= len(now.pop(0))
+            now.append(p)
+            total += len(p)
+        if now:
+            out.append("".join(now).strip())
+        held.clear()
+
+    for p in (p for p in parts if p):
+        if len(p) < size:
+            held.append(p)
+        else:
+            flush()
+            out.extend(brute_split(p, size, overlap, rest) if rest else [p])
+    flush()
+    return [p for p in out if p]
+
+
+def test_line_chunks_agree_with_a_plain_splitter(spark):
+    import random
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["word ", "longer ", "\n", "\n\n", "x" * rng.randint(1, 80), ". "]) for _ in range(rng.randint(1, 400))) for _ in range(60)] + ["y" * 5000, " ", ""]
+    table = spark.createDataFrame([("r", str(i), t) for i, t in enumerate(texts)], "repo_id string, rel_path string, content string")
+    got = {}
+    for r in chunks.chunk_lines(table, 300, 40).orderBy("piece_pos").collect():
+        got.setdefault(int(r["rel_path"]), []).append(r["text"])
+    assert got == {i: want for i, t in enumerate(texts) if (want := brute_split(t, 300, 40))}
