@@ -10,7 +10,7 @@ from loomscribe import registry
 
 SF = "/root/testdata/sf0.001"
 #: Queries that take long at any size, and those whose rows repeat what another query here shows.
-SLOW = {"run_full", "run_refresh", "incremental_ingest", "cluster_pages", "cluster_sort", "edge_count", "dependency_graph", "merged_plan", "refresh_merge"}
+SLOW = {"resumed_run", "stream_ingest", "run_full", "run_refresh", "incremental_ingest", "cluster_pages", "cluster_sort", "edge_count", "dependency_graph", "merged_plan", "refresh_merge"}
 NAMES = sorted(set(registry.SQL) - SLOW)
 
 
