@@ -13,7 +13,8 @@ Then texts go through in chunks of ``CHUNK_BYTES``: a chunk is a row with its te
 its distinct words that the table lacks, the fold encodes and decodes these, and the next step
 puts the texts together.  No word occurrence is shuffled.  A word that is a token needs no fold.
 Each step of the fold copies the word, so words of more than ``LONG`` bytes are merged in the
-same order by a priority queue instead, which takes n log n steps.
+same order by a priority queue instead, which takes n log n steps.  All ids are decoded by their
+pieces, those of single tokens and long words in the worker that found them.
 
 Texts are cut at single spaces and before line breaks, over which no word of the pattern
 reaches (``common.pieces``), and the pattern runs on distinct pieces only.
@@ -95,10 +96,8 @@ def rank_table(ranks: dict[bytes, int]) -> list[int | None]:
 class RankMap:
     """The literal rank map over pairs of ids, and the literal pieces by id."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        pieces_of = [""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            pieces_of[rank] = token.hex().upper()
+    def __init__(self, ranks: dict[bytes, int], piece_of: dict[int, bytes]):
+        pieces_of = [piece_of.get(i, b"").hex().upper() for i in range(max(ranks.values()) + 1)]
         table = json.dumps(rank_table(ranks), separators=(",", ":"))
         self.table = F.from_json(F.lit(table), "array<bigint>")
         self.bytes = F.lit([ranks[bytes([b])] for b in range(256)])
@@ -203,10 +202,12 @@ Token = tuple[str, int, bytes]
 
 
 class Reader:
-    """What a Python worker knows of words and pieces: ids joined by commas, their number, and bytes."""
+    """What a Python worker knows of words and pieces: ids joined by commas, their number, and bytes.
 
-    def __init__(self, table: dict[str, Token], ranks: dict[bytes, int]):
-        self.table, self.ranks = table, ranks
+    The bytes are always those of the ids' pieces, never the word's own."""
+
+    def __init__(self, table: dict[str, Token], ranks: dict[bytes, int], piece_of: dict[int, bytes]):
+        self.table, self.ranks, self.piece_of = table, ranks, piece_of
         self.known: dict[str, Token] = {}
         self.plain: set[str] = set()
 
@@ -246,7 +247,7 @@ class Reader:
         if found is None:
             raw = word.encode()
             ids = [self.ranks[raw]] if raw in self.ranks else merged(raw, self.ranks)
-            found = ",".join(map(str, ids)), len(ids), raw
+            found = ",".join(map(str, ids)), len(ids), b"".join(map(self.piece_of.__getitem__, ids))
         return found
 
     def joined(self, words: list[str], folded: dict[str, Token]) -> Token:
@@ -291,10 +292,16 @@ def word_table(texts: DataFrame, ranks: RankMap, words: list[str]) -> dict[str,
     groups = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), _values([w.encode() for w in words]))
     spark = texts.sparkSession
     frame = spark.createDataFrame(pa.table({"words": groups})).repartition(min(len(groups), 2 * spark.sparkContext.defaultParallelism))
-    frame = frame.select(F.transform("words", ranks.encode).alias("ids"))
-    found = frame.select(*_joined(ranks)).toArrow().combine_chunks()
-    columns = (found[c].combine_chunks().flatten().to_pylist() for c in ("word_ids", "decoded"))
-    return {raw.decode(): _token(ids, raw) for ids, raw in zip(*columns, strict=True)}
+    frame = frame.select("words", F.transform("words", ranks.encode).alias("ids"))
+    found = frame.select("words", *_joined(ranks)).toArrow().combine_chunks()
+    asked, *columns = (found[c].combine_chunks().flatten() for c in ("words", "word_ids", "decoded"))
+    return _folded(asked, *(c.to_pylist() for c in columns))
+
+
+def _folded(words: pa.ListArray, ids: list[str], decoded: list[bytes]) -> dict[str, Token]:
+    """By word, what the fold made of it."""
+    raw, bounds = words.flatten().to_numpy().astype(np.uint8).tobytes(), [0, *np.cumsum(words.value_lengths().to_numpy()).tolist()]
+    return {raw[a:b].decode(): _token(i, d) for a, b, i, d in zip(bounds[:-1], bounds[1:], ids, decoded, strict=True)}
 
 
 def _token(ids: str, raw: bytes) -> Token:
@@ -331,22 +338,25 @@ def _chunks(texts: DataFrame, shared: _Shared) -> DataFrame:
     return texts.mapInArrow(run, "doc_ids array<long>, texts array<string>, words array<array<smallint>>")
 
 
-def encode_documents(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """``SCHEMA``: token counts and digests of the ids and of what they decode to."""
+def encode_documents(docs: DataFrame, path: str = VOCABULARY, piece_of: dict[int, bytes] | None = None) -> DataFrame:
+    """``SCHEMA``: token counts and digests of the ids and of what they decode to.
+
+    ``piece_of`` gives the pieces that ids are decoded by, those of the vocabulary if none."""
     plain, texts = read_ranks(path), texts_of(docs)
-    ranks = RankMap(plain)
+    piece_of = piece_of or {rank: token for token, rank in plain.items()}
+    ranks = RankMap(plain, piece_of)
     table = word_table(texts, ranks, frequent_words(texts, plain))
     spread = docs.sparkSession.sparkContext.broadcast
-    shared = _Shared(spread((table, plain)))
-    encoded = _chunks(texts, _Shared(spread((dict.fromkeys(table), plain)))).select("doc_ids", "texts", F.transform("words", ranks.encode).alias("ids"))
-    encoded = encoded.select("doc_ids", "texts", *_joined(ranks))
+    shared = _Shared(spread((table, plain, piece_of)))
+    encoded = _chunks(texts, _Shared(spread((dict.fromkeys(table), plain, {})))).select("doc_ids", "texts", "words", F.transform("words", ranks.encode).alias("ids"))
+    encoded = encoded.select("doc_ids", "texts", "words", *_joined(ranks))
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 doc_ids, bodies, ids, decoded = (batch[c][i].as_py() for c in ("doc_ids", "texts", "word_ids", "decoded"))
-                folded = {raw.decode(): _token(w, raw) for w, raw in zip(ids, decoded, strict=True)}
+                folded = _folded(batch["words"][i].values, ids, decoded)
                 by = reader(shared)
                 if len(by.known) > CACHE_ENTRIES:
                     by.known.clear()

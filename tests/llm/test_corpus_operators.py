@@ -10,6 +10,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 import public_tokenizers
+import pytest
 from loomscribe.llm import bpe, minhash, neighbours, packing, substring, toxicity
 from pyspark.sql import functions as F
 
@@ -278,6 +279,18 @@ def test_pipeline_cut_stage_matches_brute_force(spark):
     assert got == {0: f"start {passage} end", 1: "other tail", 3: "plain  text"}
 
 
+@pytest.mark.parametrize("kind", ["token", "folded", "long"])
+def test_bpe_decodes_the_ids(spark, kind):
+    ranks = bpe.read_ranks()
+    text = {"token": "so the end", "folded": "a qzxv b", "long": "q" * 200}[kind]
+    ids = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text)
+    piece_of = {rank: token for token, rank in ranks.items()}
+    changed = piece_of | {ids[1 if kind != "long" else 0]: b"\xff?"}
+    for pieces in (piece_of, changed):
+        row = bpe.encode_documents(documents(spark, [text]), piece_of=pieces).first()
+        assert row.decoded_sha256 == hashlib.sha256(b"".join(pieces[i] for i in ids)).hexdigest()
+
+
 def test_bpe_merges_long_words_like_the_library(spark):
     rng = random.Random(12)
     texts = ["a" * 3000, "".join(rng.choice("abcdeéß漢") for _ in range(100_000)), "x" * 127 + " " + "y" * 129, "the\nThe  the\t"]
@@ -295,17 +308,42 @@ def test_bpe_merges_long_words_like_the_library(spark):
 def test_probing_retrieves_the_radius_and_spares_rows():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(20000, 32))
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    codes = neighbours.Codes(x[:4000], 1.0)
-    index = neighbours.Index(codes, np.arange(len(x)), x)
-    code, asked = codes.code(x), codes.code(x[:20], query=True)
+    index = neighbours.Index(codes := neighbours.Codes(x[:4000]), np.arange(len(x)), x)
+    code, asked = neighbours.substrings(codes.bits(x)), neighbours.substrings(codes.bits(x[:20], query=True))
     share = []
     for q in asked:
-        rows = index.probed(q)
+        rows = next(index.probes(q))
         distance = np.bitwise_count(code ^ q).sum(axis=1)
         assert set(np.flatnonzero(distance <= code.shape[1] * (neighbours.PROBE + 1) - 1)) <= set(rows)
         share.append(len(rows) / len(x))
-    assert np.mean(share) < 0.3
+    assert np.mean(share) < 0.4
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.2])
+def test_neighbours_recall_without_widening(spread):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(12000, 64))
+    x *= np.exp(rng.normal(size=(len(x), 1)) * spread)
+    index = neighbours.Index(codes := neighbours.Codes(x[:4000]), np.arange(len(x)), x)
+    bits = codes.bits(x[:40], query=True)
+    packs, code = neighbours.packed(bits), neighbours.substrings(bits)
+    hits, read = 0, 0
+    for i in range(40):
+        near = x @ x[i]
+        near[i] = -np.inf
+        hits += len(set(np.argsort(-near)[:20]) & {h[1] for h in index.nearest(i, x[i], packs[i], code[i], 20)})
+        rows = next(index.probes(code[i]))
+        near_rows = index.near_codes(packs[i], code[i], neighbours.WIDTH * 20)
+        read += len(near_rows)
+        assert set(near_rows) <= set(rows)
+    assert hits / 800 >= 0.9 and read / 40 < 0.3 * len(x)
+
+
+def test_neighbours_of_vectors_of_extreme_length(spark):
+    rows = [(0, [1e-300, 0.0]), (1, [1e150, 1e150]), (2, [5e-324, 0.0]), (3, [1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id) for r in neighbours.nearest(frame, F.col("vec_id") == 3).orderBy("rank").collect()]
+    assert got == [(1, 1), (2, 0), (3, 2)]
 
 
 def test_neighbours_of_repeated_rows(spark):
