@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from loomscribe.llm.common import arrow_rows
 
 SAMPLE = 8192
-ROTATIONS = 8
+ROTATIONS = 9
 #: Rungs of the ladder of norms in a doubling.
 STEPS = 8
 #: Bits of a substring, and the differing bits that a probe allows at first.
