@@ -26,6 +26,16 @@ def _resolved(s: SparkSession, d: str) -> DataFrame:
     return graph.resolve_imports(extract.extract_imports(files), graph.file_index(files))
 
 
+def _poly_resolved(s: SparkSession, d: str) -> DataFrame:
+    files = carrier(s, d, "poly_files")
+    return graph.resolve_imports(extract.extract_imports(files), graph.file_index(files))
+
+
+def _poly_edges(s: SparkSession, d: str) -> DataFrame:
+    resolved = _poly_resolved(s, d)
+    return graph.dep_edges(resolved).withColumn("kind", F.lit("edge")).union(graph.external_deps(resolved).withColumn("kind", F.lit("external")))
+
+
 def _entities(s: SparkSession, d: str) -> DataFrame:
     return extract.extract_entities(carrier(s, d, "code_files"))
 
@@ -123,6 +133,9 @@ QUERIES = {
     "filtered_corpus": lambda s, d: filters.filter_corpus(_mixed(s, d)).select("repo_id", "rel_path"),
     "path_sort": lambda s, d: filters.path_sorted(_mixed(s, d)).select("repo_id", "rel_path"),
     "extract_imports": lambda s, d: extract.extract_imports(carrier(s, d, "code_files")),
+    "imports_by_language": lambda s, d: extract.extract_imports(carrier(s, d, "poly_files")),
+    "resolve_by_language": _poly_resolved,
+    "edges_by_language": lambda s, d: _poly_edges(s, d).withColumnsRenamed({"src": "a", "dst": "b"}),
     "file_index": lambda s, d: graph.file_index(carrier(s, d, "code_files")),
     "resolve_imports": _resolved,
     "dep_edges": lambda s, d: _graph(s, d)[1],
@@ -155,6 +168,16 @@ _C = "with recursive " + ctes("code_files")
 _SUFFIX = r"lower(regexp_extract(rel_path, '[^/](\.[^./]+)$', 1))"
 _KEPT = f"{_SUFFIX} in ({', '.join(repr(x) for x in filters.SOURCE_SUFFIXES)})"
 _DIRS = f"not list_has_any(string_split(rel_path, '/'), [{', '.join(repr(x) for x in filters.EXCLUDED_PARTS)}])"
+_POLY = "with " + ctes("poly_files") + r""",
+poly_raw as (select repo_id, rel_path, suffix, cast(row_number() over (partition by k order by line, i) - 1 as int) import_pos, raw_import
+  from (select src, line, unnest(string_split(names, ',')) raw_import, unnest(range(len(string_split(names, ',')))) i from poly_lines) x join poly_files on k = src),
+poly_asked as (select distinct repo_id, raw_import, suffix, replace(replace(raw_import, '.', '/'), '::', '/') base from poly_raw),
+poly_tried as (select repo_id, raw_import, suffix, unnest(range(5)) choice, string_split(unnest([base, base || suffix, base || '/index' || suffix, base || '/__init__.py', base || '/mod.rs']), '/') parts from poly_asked),
+poly_tails as (select repo_id, raw_import, suffix, choice, parts, unnest(range(1, len(parts) + 1)) strip from poly_tried),
+poly_index as (select repo_id, rel_path as key, rel_path target from poly_files union all select repo_id, regexp_replace(rel_path, '\.[^./]+$', ''), rel_path from poly_files),
+poly_hits as (select repo_id, raw_import, suffix, arg_min(target, choice * 1000 + strip) target
+  from (select repo_id, raw_import, suffix, choice, strip, array_to_string(parts[strip:], '/') as key from poly_tails) t join poly_index using (repo_id, key) group by all),
+poly_res as (select repo_id, rel_path, import_pos, raw_import, target from poly_raw left join poly_hits using (repo_id, raw_import, suffix))"""
 _IMPORTS = _C + r""",
 raw as (select repo_id, rel_path, p_partkey, unnest(regexp_extract_all(content, '(?m)^import (.+)$', 1)) raw_import, unnest(range(len(regexp_extract_all(content, '(?m)^import (.+)$', 1)))) import_pos from code_files),
 res as (select raw.repo_id, raw.rel_path, import_pos, raw_import, f.rel_path target
@@ -225,6 +248,10 @@ and not (case when regexp_matches(rel_path, '^d1/(.*/)?f1[^/]*(/|$)') then true
     "filtered_corpus": _M + f" select repo_id, rel_path from mixed_files where {_KEPT} and {_DIRS} and size <= 1048576",
     "path_sort": _M + " select repo_id, rel_path from mixed_files order by repo_id, string_split(rel_path, '/')",
     "extract_imports": _IMPORTS + " select repo_id, rel_path, '.py' suffix, cast(import_pos as int) import_pos, raw_import from raw",
+    "imports_by_language": _POLY + " select * from poly_raw",
+    "resolve_by_language": _POLY + " select * from poly_res",
+    "edges_by_language": _POLY + """ select distinct repo_id, rel_path a, target b, 'edge' kind from poly_res where target <> rel_path
+union all select distinct repo_id, rel_path, raw_import, 'external' from poly_res where target is null or target = rel_path""",
     "file_index": _C + r" select repo_id, rel_path as key, rel_path target from code_files union all select repo_id, regexp_replace(rel_path, '\.py$', ''), rel_path from code_files",
     "resolve_imports": _IMPORTS + " select repo_id, rel_path, cast(import_pos as int) import_pos, raw_import, target from res",
     "dep_edges": _IMPORTS + " select * from edges",

@@ -228,9 +228,9 @@ _INGESTED = "with " + ctes("plan_pages", "snap_old") + f""",
 held as (select repo_id, title, rel_path from plan_files union all select repo_id, 'Overview', rel_path from code_files anti join plan_files using (repo_id, rel_path)),
 known as (select *, p_partkey % 59 <> 0 was from code_files),
 growing as (select distinct repo_id from known where not was),
-hit1 as (select distinct f.repo_id, title from plan_files f join known k using (repo_id, rel_path) where was and p_partkey % 47 = 0 and f.repo_id = 'r0'
-  union select repo_id, title from plan_pages where contains(lower(title), 'overview') and repo_id = 'r0' and repo_id in (select repo_id from growing)),
-hit2 as (select distinct h.repo_id, title from held h join known k using (repo_id, rel_path) where p_partkey % 43 = 0 and h.repo_id = 'r0'
+hit1 as (select distinct f.repo_id, title from plan_files f join known k using (repo_id, rel_path) where was and p_partkey % 47 = 0 and f.repo_id <> 'r1'
+  union select repo_id, title from plan_pages where contains(lower(title), 'overview') and repo_id <> 'r1' and repo_id in (select repo_id from growing)),
+hit2 as (select distinct h.repo_id, title from held h join known k using (repo_id, rel_path) where p_partkey % 43 = 0 and h.repo_id <> 'r1'
   union select distinct f.repo_id, title from plan_files f join known k using (repo_id, rel_path) where was and (p_partkey % 43 = 0 or p_partkey % 47 = 0) and f.repo_id = 'r1'
   union select repo_id, title from plan_pages where contains(lower(title), 'overview') and repo_id = 'r1' and repo_id in (select repo_id from growing))
 select repo_id, {_SLUG} slug, page_pos page_order,

@@ -20,7 +20,7 @@ il as (
     select src, concat('import pkg', cast(dst % 10 as varchar(20)), '.m', cast(dst as varchar(20))) line from imp) x
   group by src),
 code_files as (
-  select concat('r', cast(p_partkey % 2 as varchar(20))) repo_id,
+  select concat('r', cast(p_partkey % 2 + 2 * cast(floor(p_partkey / 1000) as bigint) as varchar(20))) repo_id,
     concat('pkg', cast(p_partkey % 10 as varchar(20)), '/m', cast(p_partkey as varchar(20)), '.py') rel_path,
     p_partkey,
     concat(coalesce(txt, '# no imports'), chr(10), chr(10), 'class C', cast(p_partkey as varchar(20)), ':', chr(10),
@@ -28,6 +28,42 @@ code_files as (
       'def f', cast(p_partkey as varchar(20)), '(x):', chr(10), '    return x', chr(10)) content
   from part left join il on p_partkey = src)"""
 
+#: Six languages; a repository is 600 part keys.  A file imports others of its own repository and language by a
+#: path from the root, by one with a prefix to strip, or by a name that leads nowhere; every fifth file is a package's.
+_POLY = """
+poly_base as (
+  select p_partkey k, p_partkey % 6 lang, cast(floor(p_partkey / 600) as bigint) unit,
+    case p_partkey % 6 when 0 then 'app/p' when 1 then 'web/t' when 2 then 'go/g' when 3 then 'src/J' when 4 then 'rs/s' else 'c/h' end stem,
+    case p_partkey % 6 when 0 then '.py' when 1 then '.ts' when 2 then '.go' when 3 then '.java' when 4 then '.rs' else '.c' end suffix,
+    case when p_partkey % 5 = 0 then case p_partkey % 6 when 0 then '/__init__' when 1 then '/index' when 4 then '/mod' else '' end else '' end package
+  from part),
+poly_pairs as (
+  select distinct a.l_partkey src, cast(floor(a.l_partkey / 600) as bigint) * 600 + (b.l_partkey % 100) * 6 + a.l_partkey % 6 dst
+  from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1),
+poly_imports as (
+  select src, dst, (src + dst) % 3 form, concat(stem, cast(dst as varchar(20))) there, concat('ext', cast(dst as varchar(20))) nowhere, lang
+  from poly_pairs join poly_base on src = k),
+poly_lines as (
+  select src, case lang
+    when 0 then case form when 0 then concat('from ', replace(there, '/', '.'), ' import x') when 1 then concat('  import top.', replace(there, '/', '.')) else concat('import os , ', nowhere) end
+    when 1 then case form when 0 then concat('import {{ a }} from ', chr(39), there, chr(39), ';') when 1 then concat('const x = require("./', there, '");') else concat('import y from "', nowhere, '"') end
+    when 2 then case form when 0 then concat('import "', there, '"') when 1 then concat(chr(9), '"mod/', there, '"') else concat('import "', nowhere, '"') end
+    when 3 then case form when 0 then concat('import ', replace(there, '/', '.'), ';') when 1 then concat('import com.', replace(there, '/', '.'), ';') else concat('import java.', nowhere, ';') end
+    when 4 then case form when 0 then concat('use ', replace(there, '/', '::'), ';') when 1 then concat('use crate::', replace(there, '/', '::'), ';') else concat('mod ', nowhere, ';') end
+    else case form when 0 then concat('#include "', there, '"') when 1 then concat('#include "inc/', there, '"') else concat('#include "', nowhere, '.h"') end end line,
+  case lang
+    when 0 then case form when 0 then replace(there, '/', '.') when 1 then concat('top.', replace(there, '/', '.')) else concat('os,', nowhere) end
+    when 1 then case form when 0 then there when 1 then concat('./', there) else nowhere end
+    when 2 then case form when 0 then there when 1 then concat('mod/', there) else nowhere end
+    when 3 then case form when 0 then replace(there, '/', '.') when 1 then concat('com.', replace(there, '/', '.')) else concat('java.', nowhere) end
+    when 4 then case form when 0 then replace(there, '/', '::') when 1 then concat('crate::', replace(there, '/', '::')) else nowhere end
+    else case form when 0 then there when 1 then concat('inc/', there) else concat(nowhere, '.h') end end names
+  from poly_imports),
+poly_files as (
+  select concat('q', cast(unit as varchar(20))) repo_id, concat(stem, cast(k as varchar(20)), package, suffix) rel_path, suffix, k,
+    concat(coalesce(txt, ''), chr(10), 'body of ', cast(k as varchar(20)), chr(10)) content
+  from poly_base left join (select src, {joined} txt from poly_lines group by src) x on k = src)"""
+
 _MIXED = """
 mixed_files as (
   select source repo_id, doc_id,
@@ -84,6 +120,7 @@ def _text(dialect: str) -> dict[str, str]:
     joined = "listagg(line, chr(10)) within group (order by line)" if spark else "string_agg(line, chr(10) order by line)"
     return {
         "code": _CODE.format(joined=joined),
+        "poly": _POLY.format(joined=joined),
         "mixed": _MIXED,
         "snapshots": _SNAPSHOTS.format(md5="md5(content)"),
         "plan": _PLAN,
@@ -96,6 +133,7 @@ def _text(dialect: str) -> dict[str, str]:
 _NEEDS = {"snapshots": ("code",), "plan": ("code",)}
 _OF = {
     "code_files": "code",
+    "poly_files": "poly",
     "mixed_files": "mixed",
     "snap_old": "snapshots",
     "snap_new": "snapshots",
