@@ -5,22 +5,24 @@ A window is ``WINDOW`` consecutive words of one document.
 0. Copies: a text that a smaller document also is, by 128 bits of hash, is one echo as a whole
    and leaves the other steps.
 1. Regions: a window's anchor is the ``ANCHOR``-word gram of least hash in it, so equal windows
-   have equal anchors and only a fifth of all positions are anchors.  Anchors of two or more
-   documents set bits of a bitmap of fixed size; runs of windows over such anchors are the only
-   parts of a document that can recur, and are kept with their words.
-2. Passages: the regions' windows are grouped by a 64-bit hash with minima and maxima combined
-   before the shuffle, so a window of very many documents is no hot group.  Windows of several
-   documents go back to their regions, which are cut into passages (runs that no smaller
-   document holds) and echoes (runs whose first holder is one smaller document).
-3. Automata: passages are dealt into shards by the document they begin in.  A shard numbers the
-   words of its passages, compiles their windows into an Aho-Corasick automaton and streams the
-   echoes through it, which confirms every occurrence word by word.  A shard with very many
-   echoes is dealt out to several tasks, each with the shard's passages.
-4. A document's words are dropped where a confirmed window starts.
-
-Words are ``[^\\x20\\x09-\\x0D]+``.  Two different windows of one 64-bit hash would be taken for one
-in step 2: then the automaton rejects the false echo, nothing is removed wrongly, but a true
-one may stay (chance n * n / 2 ** 65 for n recurring windows).
+   have equal anchors.  Anchors of two or more documents set bits of a bitmap of fixed size; runs
+   of windows over such anchors are the only parts of a document that can recur.  They are kept
+   with their words, in pieces of ``PIECE`` windows, so a long document has no long rows.
+2. Passages: the regions' windows are grouped by a 64-bit hash, with the first and last document
+   and one place in the first combined before the shuffle, so a window of very many documents is no
+   hot group.  A window of several documents is confirmed; its words are cut from that one place.
+   No place of any later document is kept.
+3. Automata: windows are dealt into shards by their anchor.  A shard numbers the words of its
+   passages and compiles their windows into an Aho-Corasick automaton.  All documents are
+   streamed: every run of windows whose anchor some passage has goes to its anchor's shard, whose
+   automaton alone finds, word by word, where passages of smaller documents occur.  A shard with
+   very many words to stream is dealt out to several tasks, each with the shard's passages; one
+   with very many windows is compiled in parts, each of which sees the shard's whole stream.
+4. A document's words are dropped where a window was found.
+
+Words are ``[^\\x20\\x09-\\x0D]+``.  Of two different windows with one 64-bit hash only one would
+be compiled: nothing is removed wrongly, but the other may stay (chance n * n / 2 ** 65 for n
+windows).
 
 Defined results: a null text has no words; a null id is never smaller or larger than
 another, so its words stay; rows of one id do not remove each other, and each loses only
@@ -37,19 +39,25 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomscribe.llm.common import Block, arrow_rows, bitmap, blocks, in_bitmap, keyed, release, texts_of
+from loomscribe.llm.common import Block, arrow_rows, bitmap, blocks, in_bitmap, keyed, mix, release, texts_of
 from loomscribe.sources.scratch import Workspace
 
 WINDOW, ANCHOR = 13, 5
 #: Anchors before the last one that a window may have.
 REACH = WINDOW - ANCHOR
-#: Rows of copies (16 bytes each) that may be broadcast; more are joined by shuffle.
+#: Rows of copies or of large shards (16 bytes each) that may be broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Windows of a shard's passages and words of the echoes that one task streams, about.
+#: Windows of a shard's passages and words that one task streams past them, about.
 SHARD_WINDOWS, TASK_WORDS = 40_000, 2_000_000
+#: A region is at most ``PIECE`` windows; a place is a region's number and a window in it.
+PIECE_BITS = 12
+PIECE = 1 << PIECE_BITS
+#: Regions that one task may number.
+REGION_BITS = 30
 
 
 def anchors(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +76,7 @@ def anchors(block: Block) -> tuple[np.ndarray, np.ndarray]:
     for j in range(1, REACH + 1):
         np.minimum(least, gram[j : j + n], out=least)
     starts = np.flatnonzero(block.doc[:n] == block.doc[WINDOW - 1 :])
-    return starts, least[starts]
+    return starts, mix(least[starts])
 
 
 def _anchor_rows(texts: DataFrame) -> DataFrame:
@@ -102,15 +110,31 @@ def spans_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[index].tobytes())]).cast(pa.string())
 
 
-REGIONS = "doc_id long, text_key long, first_word long, words string"
-_REGIONS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("first_word", pa.int64()), ("words", pa.string())])
+def _runs(starts: np.ndarray, *marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of consecutive windows with equal marks begin, and the last window of each."""
+    new = np.ones(len(starts), bool)
+    new[1:] = starts[1:] != starts[:-1] + 1
+    for mark in marks:
+        new[1:] |= mark[1:] != mark[:-1]
+    new = np.flatnonzero(new)
+    return new, np.append(new[1:], len(starts)) - 1
+
+
+def _first_words(block: Block) -> np.ndarray:
+    """How many words of the block lie before each text."""
+    return np.concatenate([[0], np.cumsum(block.n_words)])
+
+
+_REGIONS = pa.schema([("region", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("first_word", pa.int64()), ("words", pa.string())])
 
 
 def regions(texts: DataFrame, recurring: np.ndarray) -> DataFrame:
-    """``REGIONS``: the runs of windows whose anchors recur, with their place in the document."""
+    """``region, doc_id, text_key, first_word, words``: the runs of windows whose anchors recur, in
+    pieces, numbered and with their place in the document."""
     shared = texts.sparkSession.sparkContext.broadcast(recurring)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << REGION_BITS
         for batch in batches:
             ids, keys = (batch[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key"))
             for block in blocks(batch["text"]):
@@ -119,125 +143,168 @@ def regions(texts: DataFrame, recurring: np.ndarray) -> DataFrame:
                 if not len(starts):
                     continue
                 doc = block.doc[starts]
-                new = np.flatnonzero(np.concatenate([[True], (starts[1:] != starts[:-1] + 1) | (doc[1:] != doc[:-1])]))
-                first, last = starts[new], starts[np.append(new[1:], len(starts)) - 1] + WINDOW - 1
-                doc = doc[new]
-                before = np.concatenate([[0], np.cumsum(block.n_words)])[doc]
-                words = spans_of(block.data, block.start[first], block.end[last])
-                at = block.first + doc
-                yield arrow_rows(_REGIONS, {"doc_id": ids[at], "text_key": keys[at], "first_word": first - before, "words": words})
+                run, _ = _runs(starts, doc)
+                nth = np.arange(len(starts)) - np.repeat(run, np.diff(np.append(run, len(starts))))
+                new, last = _runs(starts, doc, nth >> PIECE_BITS)
+                doc, at = doc[new], block.first + doc[new]
+                columns = {"region": number + np.arange(len(new)), "doc_id": ids[at], "text_key": keys[at]}
+                words = spans_of(block.data, block.start[starts[new]], block.end[starts[last] + WINDOW - 1])
+                yield arrow_rows(_REGIONS, {**columns, "first_word": starts[new] - _first_words(block)[doc], "words": words})
+                number += len(new)
 
-    return texts.mapInArrow(rows, REGIONS).withColumn("region", F.monotonically_increasing_id())
+    return texts.mapInArrow(rows, "region long, doc_id long, text_key long, first_word long, words string")
 
 
-def _windows(found: DataFrame, recurring: np.ndarray | None = None) -> DataFrame:
-    """``window, doc_id, region, at``: the hash and place of the regions' windows, of all or of those in a bitmap."""
-    shared = found.sparkSession.sparkContext.broadcast(recurring)
-    out = pa.schema([("window", pa.int64()), ("doc_id", pa.int64()), ("region", pa.int64()), ("at", pa.int32())])
+def recurring_windows(found: DataFrame) -> DataFrame:
+    """``place``: one place, in its first document, of every window of two or more documents."""
+    out = pa.schema([("window", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, region = (batch[c].to_numpy() for c in ("doc_id", "region"))
             for block in blocks(batch["words"]):
                 key, start = block.window_hash(block.word_hash(), WINDOW)
-                if shared.value is not None:
-                    some = in_bitmap(shared.value, key)
-                    key, start = key[some], start[some]
-                doc = block.doc[start]
-                at = start - np.concatenate([[0], np.cumsum(block.n_words)])[doc]
-                doc = doc + block.first
-                yield arrow_rows(out, {"window": key.view(np.int64), "doc_id": ids[doc], "region": region[doc], "at": at.astype(np.int32)})
+                at = start - _first_words(block)[block.doc[start]]
+                doc = block.doc[start] + block.first
+                yield arrow_rows(out, {"window": key.view(np.int64), "doc_id": ids[doc], "place": (region[doc] << PIECE_BITS) + at})
 
-    return found.select("doc_id", "region", "words").mapInArrow(rows, "window long, doc_id long, region long, at int")
+    windows = found.select("doc_id", "region", "words").mapInArrow(rows, "window long, doc_id long, place long")
+    ends = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min_by("place", "doc_id").alias("place"))
+    return ends.filter("first < last").select("place")
 
 
-RUNS = "first long, echo boolean, doc_id long, text_key long, first_word long, words string"
-_RUNS = pa.schema([("first", pa.int64()), ("echo", pa.bool_()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("first_word", pa.int64()), ("words", pa.string())])
+_PASSAGES = pa.schema([("doc_id", pa.int64()), ("windows", pa.int64()), ("words", pa.string())])
 
 
-def recurring_windows(found: DataFrame) -> DataFrame:
-    """``window, first``: the windows of two or more documents, and the smallest of these."""
-    several = _windows(found).groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    return several.filter("first < last").select("window", "first")
-
-
-def runs(found: DataFrame, several: DataFrame) -> DataFrame:
-    """``RUNS``: passages and echoes, by the document that holds their windows first."""
-    windows = _windows(found, bitmap(several.select("window")))
-    hits = windows.join(several, "window").select("region", "at", "first")
-    placed = hits.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("at", "first"))).alias("hits"))
-    placed = placed.select("region", F.col("hits.at").alias("at"), F.col("hits.first").alias("of"))
+def passages(found: DataFrame, places: DataFrame) -> DataFrame:
+    """``doc_id, windows, words``: the confirmed windows, neighbours together, and their first document."""
+    at = places.select(F.shiftright("place", PIECE_BITS).alias("region"), F.col("place").bitwiseAND(PIECE - 1).alias("at"))
+    at = at.groupBy("region").agg(F.array_sort(F.collect_list("at")).alias("at"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, key, base, text, at, of in zip(*(batch[c] for c in ("doc_id", "text_key", "first_word", "words", "at", "of")), strict=True):
-                words = text.as_py().encode().split()
-                at, of = at.values.to_numpy(), of.values.to_numpy()
-                new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1])]))
-                last = np.append(new[1:], len(at)) - 1
-                doc_id, base = doc_id.as_py(), base.as_py()
-                for first, a, b in zip(of[new].tolist(), at[new].tolist(), at[last].tolist(), strict=True):
-                    out.append((first, first < doc_id, doc_id, key.as_py(), base + a, b" ".join(words[a : b + WINDOW]).decode()))
-            yield arrow_rows(_RUNS, {f.name: [r[i] for r in out] for i, f in enumerate(_RUNS)})
+            for doc_id, text, at in zip(*(batch[c] for c in ("doc_id", "words", "at")), strict=True):
+                words, at = text.as_py().encode().split(), at.values.to_numpy()
+                new, last = _runs(at)
+                for a, b in zip(at[new].tolist(), at[last].tolist(), strict=True):
+                    out.append((doc_id.as_py(), b - a + 1, b" ".join(words[a : b + WINDOW]).decode()))
+            yield arrow_rows(_PASSAGES, {f.name: [r[i] for r in out] for i, f in enumerate(_PASSAGES)})
 
-    return found.join(placed, "region").select("doc_id", "text_key", "first_word", "words", "at", "of").mapInArrow(rows, RUNS)
+    return found.join(at, "region").select("doc_id", "words", "at").mapInArrow(rows, "doc_id long, windows long, words string")
 
 
-def compiled(passages: list[tuple[int, str]]) -> tuple[ahocorasick.Automaton, dict[str, int]]:
-    """The automaton of the windows of passages ``(document, words)``, and its word numbers."""
-    number: dict[str, int] = {}
+def compiled(phrases: list[tuple[int, list[bytes]]]) -> tuple[ahocorasick.Automaton, dict[bytes, int]]:
+    """The automaton of the windows of phrases ``(document, words)``, and its word numbers."""
+    number: dict[bytes, int] = {}
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for first, text in passages:
-        seq = tuple(number.setdefault(w, len(number) + 1) for w in text.split(" "))
+    for first, words in phrases:
+        seq = tuple(number.setdefault(w, len(number) + 1) for w in words)
         for i in range(len(seq) - WINDOW + 1):
             automaton.add_word(seq[i : i + WINDOW], first)
     automaton.make_automaton()
     return automaton, number
 
 
-def occurrences(automaton: ahocorasick.Automaton, number: dict[str, int], doc_id: int, text: str) -> list[int]:
+def occurrences(automaton: ahocorasick.Automaton, number: dict[bytes, int], doc_id: int, words: list[bytes]) -> list[int]:
     """Where in the words of a document windows start that a smaller document holds."""
     if not len(automaton):
         return []
-    seq = tuple(number.get(w, 0) for w in text.split(" "))
+    seq = tuple(number.get(w, 0) for w in words)
     return [end - WINDOW + 1 for end, first in automaton.iter(seq) if first < doc_id]
 
 
+def _sharded(block: Block, n_shards: int, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``shard, first, last``: runs of windows of one shard, by their anchors, and their words' bounds."""
+    starts, gram = anchors(block)
+    if wanted is not None:
+        some = in_bitmap(wanted, gram)
+        starts, gram = starts[some], gram[some]
+    shard = (gram % np.uint64(n_shards)).astype(np.int64)
+    new, last = _runs(starts, block.doc[starts], shard)
+    return shard[new], starts[new], starts[last] + WINDOW - 1
+
+
+_STREAM = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("first_word", pa.int64()), ("words", pa.string())])
+_LOAD = pa.schema([("shard", pa.int64()), ("words", pa.int64())])
+
+
+def stream(found: DataFrame, n_shards: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """``shard, doc_id, text_key, first_word, words``: what each shard has to see of each row of ``found``."""
+    shared = found.sparkSession.sparkContext.broadcast(wanted)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys, base = (batch[c].to_numpy() for c in ("doc_id", "text_key", "first_word"))
+            for block in blocks(batch["words"]):
+                shard, first, last = _sharded(block, n_shards, shared.value)
+                doc = block.doc[first]
+                at = block.first + doc
+                words = spans_of(block.data, block.start[first], block.end[last])
+                columns = {"shard": shard, "doc_id": ids[at], "text_key": keys[at], "words": words}
+                yield arrow_rows(_STREAM, {**columns, "first_word": base[at] + first - _first_words(block)[doc]})
+
+    return found.select("doc_id", "text_key", "first_word", "words").mapInArrow(rows, "shard long, doc_id long, text_key long, first_word long, words string")
+
+
+def load(found: DataFrame, n_shards: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """``shard, words``: how many words of ``stream`` each shard has, summed by task first."""
+    shared = found.sparkSession.sparkContext.broadcast(wanted)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch["words"]):
+                shard, first, last = _sharded(block, n_shards, shared.value)
+                some, which = np.unique(shard, return_inverse=True)
+                yield arrow_rows(_LOAD, {"shard": some, "words": np.bincount(which, last - first + 1, len(some)).astype(np.int64)})
+
+    return found.select("words").mapInArrow(rows, "shard long, words long").groupBy("shard").agg(F.sum("words").alias("words"))
+
+
 FOUND = "doc_id long, text_key long, starts array<long>"
 _FOUND = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("starts", pa.list_(pa.int64()))])
 
 
-def locate(found: DataFrame, n_shards: int) -> DataFrame:
-    """``FOUND``: the confirmed windows of every echo, by automata over shards of passages."""
-    dealt = found.withColumn("shard", F.pmod(F.xxhash64("first"), F.lit(n_shards)).cast("int"))
-    load = dealt.filter("echo").groupBy("shard").agg(F.sum(F.length("words")).alias("chars"))
-    load = load.select("shard", F.ceil(F.col("chars") / (6 * TASK_WORDS)).cast("int").alias("tasks"))
-    dealt = dealt.join(load, "shard")
-    every = F.sequence(F.lit(0), F.col("tasks") - 1)
-    one = F.array(F.pmod(F.xxhash64("doc_id", "first_word"), F.col("tasks")).cast("int"))
-    dealt = dealt.withColumn("task", F.explode(F.when(F.col("echo"), one).otherwise(every)))
-    dealt = dealt.repartition("shard", "task").sortWithinPartitions("shard", "task", "echo").drop("tasks")
+def locate(work: Workspace, found: DataFrame, confirmed: DataFrame, n_windows: int) -> DataFrame:
+    """``FOUND``: where in the regions of all documents automata find windows of smaller documents."""
+    n_shards = 1 + n_windows // SHARD_WINDOWS
+    confirmed = confirmed.select("doc_id", F.lit(0).cast("long").alias("text_key"), F.lit(0).cast("long").alias("first_word"), "words")
+    wanted = bitmap(_anchor_rows(confirmed.select("doc_id", F.col("words").alias("text"))))
+    sizes = load(found, n_shards, wanted).select("shard", F.ceil(F.col("words") / TASK_WORDS).alias("tasks"))
+    parts = load(confirmed, n_shards).select("shard", F.ceil(F.col("words") / (4 * WINDOW * SHARD_WINDOWS)).alias("parts"))
+    large, size = work.save(sizes.join(parts, "shard").filter("tasks > 1 or parts > 1"), "large", n=F.count(F.lit(1)))
+
+    def dealt(rows: DataFrame, echo: bool) -> DataFrame:
+        rows = rows.join(F.broadcast(large) if size["n"] <= BROADCAST_ROWS else large, "shard", "left")
+        rows = rows.withColumns({c: F.coalesce(c, F.lit(1).cast("long")) for c in ("tasks", "parts")}).withColumn("echo", F.lit(echo))
+        own, others = ("tasks", "parts") if echo else ("parts", "tasks")
+        rows = rows.withColumn(own, F.pmod(F.xxhash64("doc_id", "first_word", "words"), F.col(own)))
+        return rows.withColumn(others, F.explode(F.sequence(F.lit(0).cast("long"), F.col(others) - 1)))
+
+    both = dealt(stream(confirmed, n_shards), False).unionByName(dealt(stream(found, n_shards, wanted), True))
+    both = both.withColumn("unit", F.xxhash64("shard", "tasks", "parts")).repartition("unit")
+    both = both.sortWithinPartitions("unit", "shard", "tasks", "parts", "echo").drop("unit")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, passages, automaton, number = None, [], None, {}
+        now, phrases, automaton, number = None, [], None, {}
         for batch in batches:
             out = []
-            names = ("shard", "task", "first", "echo", "doc_id", "text_key", "first_word", "words")
-            for shard, task, first, echo, doc_id, key, base, text in zip(*(batch[c].to_pylist() for c in names), strict=True):
-                if (shard, task) != now:
-                    now, passages, automaton = (shard, task), [], None
+            names = ("shard", "tasks", "parts", "echo", "doc_id", "text_key", "first_word", "words")
+            for shard, task, part, echo, doc_id, key, base, text in zip(*(batch[c].to_pylist() for c in names), strict=True):
+                if (shard, task, part) != now:
+                    now, phrases, automaton = (shard, task, part), [], None
+                words = text.encode().split()
                 if not echo:
-                    passages.append((first, text))
+                    phrases.append((doc_id, words))
                     continue
                 if automaton is None:
-                    automaton, number = compiled(passages)
-                    passages = []
-                if starts := occurrences(automaton, number, doc_id, text):
+                    automaton, number = compiled(phrases)
+                    phrases = []
+                if starts := occurrences(automaton, number, doc_id, words):
                     out.append((doc_id, key, [base + s for s in starts]))
             yield arrow_rows(_FOUND, {f.name: [r[i] for r in out] for i, f in enumerate(_FOUND)})
 
-    return dealt.mapInArrow(rows, FOUND)
+    return both.mapInArrow(rows, FOUND)
 
 
 def copies(texts: DataFrame) -> DataFrame:
@@ -262,14 +329,13 @@ def deduplicate(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFr
     known = without(known, same, size["n"])
     found = work.save(regions(known, recurring_anchors(known)), "regions")
     release(spark)
-    several = work.save(recurring_windows(found), "windows")
+    places = work.save(recurring_windows(found), "windows")
     release(spark)
-    windows = F.sum(F.when(~F.col("echo"), F.size(F.split("words", " ")) - WINDOW + 1).otherwise(0))
-    found, size = work.save(runs(found, several), "runs", windows=windows)
-    work.drop("regions", "windows")
+    confirmed, size = work.save(passages(found, places), "passages", windows=F.sum("windows"))
+    work.drop("windows")
     release(spark)
-    located = work.save(locate(found, 1 + (size["windows"] or 0) // SHARD_WINDOWS), "located")
-    work.drop("runs")
+    located = work.save(locate(work, found, confirmed, size["windows"] or 0), "located")
+    work.drop("regions", "passages", "large")
     release(spark)
     starts = located.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("_starts"))
     starts = starts.withColumn("_copy", F.lit(False)).union(same.select("doc_id", "text_key", F.lit(None).cast("array<long>"), F.lit(True)))

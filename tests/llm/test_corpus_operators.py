@@ -142,6 +142,29 @@ def test_substring_dedup_matches_brute_force(spark):
     assert substring.deduplicate(documents(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_substring_dedup_by_many_small_units_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(substring, "SHARD_WINDOWS", 9)
+    monkeypatch.setattr(substring, "TASK_WORDS", 200)
+    monkeypatch.setattr(substring, "PIECE_BITS", 3)
+    monkeypatch.setattr(substring, "PIECE", 8)
+    rng = random.Random(14)
+    hot = " ".join(f"h{i}" for i in range(60))
+    texts = [None, " ".join(f"l{rng.randrange(300)}" for _ in range(4000))]
+    for i in range(40):
+        own = " ".join(f"u{rng.randrange(9)}" for _ in range(rng.randrange(40)))
+        texts.append(f"{own} {hot} {own}" if i % 3 else f"{hot}\n\n{own} {texts[1][90 * i : 90 * i + 900]}")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.deduplicate(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_repeats(texts)
+
+
+def test_automata_find_places_that_nothing_told_them():
+    words = [f"w{i}".encode() for i in range(30)]
+    automaton, number = substring.compiled([(5, words[:20])])
+    text = [b"x", *words[3:19], b"y", *words[:12], b"z", *words[7:25]]
+    assert substring.occurrences(automaton, number, 9, text) == [1, 2, 3, 4, 31]
+    assert substring.occurrences(automaton, number, 5, text) == substring.occurrences(automaton, number, 4, text) == []
+
+
 def test_substring_dedup_keeps_rows_of_one_id_apart(spark):
     shared, own, short = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("s", 20), ("o", 60), ("q", 15)))
     lines = [(1, shared), (2, f"{own} {shared}"), (2, f"{own} z"), (2, short), (2, short), (2, None), (None, shared), (3, short)]
