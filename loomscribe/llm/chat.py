@@ -2,13 +2,16 @@
 
 A record is JSON of any layout.  Its fingerprint is the hash of those of its nested field paths
 that some layout declares, and selects one of the ``LAYOUTS``: a SQL expression that maps the
-record to canonical turns.  Fields that no layout knows do not count; if the fingerprint fits
-none, the first layout whose paths the record all has is taken.  Turns are then rendered one by one with markers around
+record to canonical turns.  A path through an array (``messages[].content``) is there if any element
+has it.  Fields that no layout knows do not count; if the fingerprint fits none, the first layout
+whose paths the record all has is taken, those with a ``system`` text first.  Content parts are
+joined by line breaks, parts without text and tool calls are kept as JSON.  Turns are then rendered one by one with markers around
 role and text; a backslash escape keeps marker strings inside texts apart and is undone on
 reading.  A formatted conversation is a sequence of pieces, one row per turn, so none has
 to fit in memory; reading back streams over pieces sorted by conversation and turn.
 
-Defined results: null roles and texts are empty; equal turns of one conversation are
+Defined results: null roles and texts are empty, and a null or empty ``system`` gives no turn; texts of
+any length are whole; equal turns of one conversation are
 ordered by role and text; repeated records repeat their turns; a record that is null, no JSON or
 of no known layout is kept as one turn of role ``unmapped`` with the record as its text, and is
 also returned by ``unmapped``; extra columns are ignored; an empty table gives no rows.  All
@@ -32,6 +35,8 @@ from loomscribe.llm.common import arrow_rows
 BEGIN, END = "<|im_start|>", "<|im_end|>\n"
 _PIECE = re.compile(r"\A<\|im_start\|>(.*?)\n(.*)<\|im_end\|>\n\Z", re.S)
 _ESCAPE = re.compile(r"\\(.)", re.S)
+
+
 @dataclass(frozen=True)
 class Layout:
     """``paths``: the field paths that the layout needs, in order; ``turns``: SQL over the variant
@@ -44,8 +49,12 @@ class Layout:
 
 
 def _messages(field: str, role: str, text: str) -> str:
-    kind = f"array<struct<{role} string, {text} string>>"
-    return f"transform(try_variant_get(v, '$.{field}', '{kind}'), m -> struct(m.{role} as role, m.{text} as text))"
+    part = "coalesce(try_variant_get(p, '$.text', 'string'), try_variant_get(p, '$', 'string'), to_json(p))"
+    parts = f"array_join(transform(try_variant_get(m, '$.{text}', 'array<variant>'), p -> {part}), '\n')"
+    calls = "nullif(to_json(try_variant_get(m, '$.tool_calls', 'variant')), 'null')"
+    said = f"concat_ws('\n', nullif(coalesce({parts}, try_variant_get(m, '$.{text}', 'string')), ''), {calls})"
+    turn = f"struct(try_variant_get(m, '$.{role}', 'string') as role, {said} as text)"
+    return f"transform(try_variant_get(v, '$.{field}', 'array<variant>'), m -> {turn})"
 
 
 def _text(field: str) -> str:
@@ -57,15 +66,31 @@ def _pair(user: str, assistant: str) -> str:
 
 
 _INPUT = f"concat_ws('\n\n', {_text('instruction')}, nullif({_text('input')}, ''))"
-LAYOUTS = (
-    Layout("turn rows", ("role", "text", "turn"), f"array(struct({_text('role')} as role, {_text('text')} as text))", "try_variant_get(v, '$.turn', 'long')"),
-    Layout("messages", ("messages[0].content", "messages[0].role"), _messages("messages", "role", "content")),
-    Layout("from and value", ("conversations[0].from", "conversations[0].value"), _messages("conversations", "from", "value")),
+_CHAT, _SHARE = _messages("messages", "role", "content"), _messages("conversations", "from", "value")
+_ROWS = f"array(struct({_text('role')} as role, {_text('text')} as text))"
+_RECORDS = (
+    Layout("messages with calls", ("messages[].content", "messages[].role", "messages[].tool_calls"), _CHAT),
+    Layout("messages", ("messages[].content", "messages[].role"), _CHAT),
+    Layout("calls", ("messages[].role", "messages[].tool_calls"), _CHAT),
+    Layout("from and value", ("conversations[].from", "conversations[].value"), _SHARE),
     Layout("prompt and completion", ("completion", "prompt"), _pair(_text("prompt"), "completion")),
     Layout("prompt and response", ("prompt", "response"), _pair(_text("prompt"), "response")),
     Layout("instruction and input", ("input", "instruction", "output"), _pair(_INPUT, "output")),
     Layout("instruction", ("instruction", "output"), _pair(_text("instruction"), "output")),
 )
+
+
+def with_system(layout: Layout) -> Layout:
+    """The layout with a ``system`` text beside its fields, which becomes the first turn."""
+    first = f"filter(array(struct('system' as role, {_text('system')} as text)), t -> t.text <> '')"
+    return Layout(f"{layout.name}, system", tuple(sorted((*layout.paths, "system"))), f"concat({first}, {layout.turns})", layout.turn)
+
+
+LAYOUTS = (
+    Layout("turn rows", ("role", "text", "turn"), _ROWS, "try_variant_get(v, '$.turn', 'long')"),
+    *(with_system(layout) for layout in _RECORDS),
+    *_RECORDS,
+)
 #: The role of a record that no layout fits.
 UNMAPPED = "unmapped"
 #: Role names of other layouts.
@@ -77,7 +102,11 @@ def _known_paths(layouts: tuple[Layout, ...]) -> list[str]:
 
 
 def _has(path: str) -> Column:
-    """Has the variant ``v`` a field at the path, be it null."""
+    """Has the variant ``v`` a field at the path, be it null; of an array, any element."""
+    array, _, field = path.partition("[].")
+    if field:
+        any_of = f"exists(try_variant_get(v, '$.{array}', 'array<variant>'), m -> variant_get(m, '$.{field}', 'variant') is not null)"
+        return F.expr(f"coalesce({any_of}, false)")
     return F.expr(f"variant_get(v, '$.{path}', 'variant') is not null")
 
 

@@ -215,3 +215,54 @@ def test_archives_of_repeated_rows_and_long_pages(spark):
     got = sorted(((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()))
     n = len(long.encode())
     assert got == [("0", n, "revisit", 3), ("0", n, "revisit", 3), ("3", n, "response", None), ("None", n, "revisit", 3)]
+
+
+def test_system_texts_parts_and_calls_become_turns(spark):
+    call = [{"name": "f", "arguments": "{}"}]
+    parts = [{"type": "text", "text": "a"}, "b", {"type": "image", "url": "u"}]
+    rows = [
+        (1, {"system": "be kind", "instruction": "do", "output": "y"}),
+        (2, {"system": "s", "conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}),
+        (3, {"messages": [{"role": "assistant", "tool_calls": call}, {"role": "tool", "content": "r"}]}),
+        (4, {"messages": [{"role": "assistant", "tool_calls": call}]}),
+        (5, {"messages": [{"role": "user", "content": parts}, {"role": "assistant", "content": None}]}),
+        (6, {"system": "", "prompt": "q", "response": "a"}),
+        (7, {"system": None, "prompt": "q", "completion": "a"}),
+        (8, {"messages": "none"}),
+    ]
+    records = spark.createDataFrame([(i, json.dumps(r)) for i, r in rows], "conv_id long, record string")
+    got = {}
+    for r in chat.canonical_turns(records).orderBy("conv_id", "turn").collect():
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    said = json.loads(got[3][0][1])
+    assert got[1] == [("system", "be kind"), ("user", "do"), ("assistant", "y")]
+    assert got[2] == [("system", "s"), ("user", "q"), ("assistant", "a")]
+    assert said == call and got[3][1] == ("tool", "r") and [r for r, _ in got[4]] == ["assistant"] and json.loads(got[4][0][1]) == call
+    first, second, third = got[5][0][1].split("\n")
+    assert (first, second, json.loads(third)) == ("a", "b", parts[2]) and got[5][1] == ("assistant", "")
+    assert got[6] == got[7] == [("user", "q"), ("assistant", "a")]
+    assert [r.conv_id for r in chat.unmapped(records).collect()] == [8]
+
+
+def test_broken_archives_give_rejects(spark):
+    v1 = b"1 0 Old\nURL IP-address Archive-date Content-type Archive-length\n\n"
+    head = b"filedesc://x 0.0.0.0 19960101000000 text/plain %d\n" % len(v1) + v1
+    whole = b"\nhttp://a/ 1.2.3.4 19960102030405 text/html 2\nab\n"
+    line = b"http://b/ 1.2.3.4 19960102030405 text/html "
+    ends = {"cut": line + b"9\nab", "length": line + b"x\nab", "fields": b"http://b/ 7\nab", "line": line, "fine": b"", "version": b"filedesc://y 0 0 t 2\n7 "}
+    rows = [(n, bytearray(head + whole + e)) for n, e in ends.items()]
+    arc = spark.createDataFrame(rows, "name string, content binary")
+    assert warc.read_arc(arc).count() == len(ends)
+    rejects = {r.name: (r.place, r.reason) for r in warc.rejected_arc(arc).collect()}
+    assert set(rejects) == set(ends) - {"fine"}
+    assert {place for place, _ in rejects.values()} == {len(head + whole)}
+    assert rejects["cut"][1] == "a block of 9 bytes was declared, 2 are left"
+
+    records = [r.value.encode() + b"\r\n\r\n" for r in warc.convert(arc.filter("name = 'fine'")).collect()]
+    (record,) = records
+    bad = record.replace(b"\r\n\r\nab", b"\r\n\r\nac")
+    rows = [("digest", record + bad + record), ("cut", record + record[:-6]), ("head", record + b"WARC/1.1\r\nnone"), ("fine", record)]
+    warcs = spark.createDataFrame([(n, bytearray(d)) for n, d in rows], "name string, content binary")
+    assert warc.read_warc(warcs).count() == 5
+    found = {r.name: r.place for r in warc.rejected_warc(warcs).collect()}
+    assert found == {"digest": len(record), "cut": len(record), "head": len(record)}
