@@ -13,6 +13,10 @@ anything.  HTTP heads are carried over as they stand, with CRLF or bare LF line
 without one (``dns:`` records and the like) become ``resource`` records.  Revisits are found by one grouped maximum
 per digest (combined before the shuffle) joined back by digest.
 
+Broken archives do not end a job: what can't be read, from its place to the archive's end (a
+declared length or head says where the next record is) or the one record whose payload fails its
+digest, is a row of ``rejected_arc`` or ``rejected_warc``; all records before it are read.
+
 Defined results: a null payload is empty; of equal payloads of ``REVISIT_BYTES`` or more the
 largest page id is the response (all rows that carry it), null ids never win unless all are
 null; repeated rows are records of their own, as ids are made of a record's place; blanks in URLs are percent-encoded, a null URL is ``unknown:``; an empty table gives
@@ -100,59 +104,117 @@ def _head(data: bytes, at: int) -> tuple[dict[bytes, bytes], int]:
 
 def _page_id(headers: dict[bytes, bytes], name: str) -> int | None:
     value = headers.get(name.lower().encode(), b"-")
-    return None if value == b"-" else int(value)
+    number = int(value) if re.fullmatch(rb"-?\d{1,19}", value) else None
+    return number if number is not None and -(2**63) <= number < 2**63 else None
+
+
+class Broken(Exception):
+    """Where in an archive a record can't be read, and why."""
+
+    def __init__(self, place: int, reason: str):
+        super().__init__(place, reason)
+        self.place, self.reason = place, reason
+
 
+def _int(value: str | bytes | None, place: int, what: str) -> int:
+    digits = value.decode("ascii", "replace") if isinstance(value, bytes) else value or ""
+    if not (digits.isascii() and digits.isdigit()):
+        raise Broken(place, f"{what} is no number: {digits[:40]!r}")
+    return int(digits)
 
-def parse_arc(data: bytes, name: str = "") -> Iterator[dict]:
-    """The records of concatenated ARC data; ``name`` tells archives apart in record ids."""
+
+def _block(data: bytes, at: int, length: int, place: int) -> bytes:
+    block = data[at : at + length]
+    if len(block) < length:
+        raise Broken(place, f"a block of {length} bytes was declared, {len(block)} are left")
+    return block
+
+
+def parse_arc(data: bytes, name: str = "") -> Iterator[dict | Broken]:
+    """The records of concatenated ARC data; ``name`` tells archives apart in record ids.
+
+    A header that can't be read or a block that is cut ends the archive with a ``Broken``."""
     at, names = 0, ARC_FIELDS[1].split()
-    while at < len(data):
-        if data[at : at + 1] in b"\r\n":
-            at += 1
-            continue
-        begin, end = at, data.find(b"\n", at)
-        if end < 0:
-            raise ValueError(f"{name}: a header line at {at} does not end")
-        line = data[at:end].decode("utf-8", "replace").rstrip("\r")
-        fields = line.split(" ") if line.startswith("filedesc:") else line.rsplit(" ", len(names) - 1)
-        length, at = int(fields[-1]), end + 1
-        block = data[at : at + length]
-        if len(block) < length:
-            raise ValueError(f"{name}: a block of {length} bytes was declared, {len(block)} are left")
-        at += length
-        if fields[0].startswith("filedesc:"):
-            names = ARC_FIELDS[int(block[:1])].split()
-            continue
-        header = dict(zip(names, fields, strict=True))
-        http, body = _head(block, 0) if block.startswith(b"HTTP/") else ({}, 0)
-        payload = block[body:]
-        yield {
-            "page_id": _page_id(http, PAGE_HEADER),
-            "record_id": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}#{begin} {header['URL']}')}>",
-            "url": header["URL"],
-            "date": header["Archive-date"],
-            "mime": header["Content-type"],
-            "head": block[:body],
-            "payload": payload,
-            "payload_bytes": len(payload),
-            "digest": hashlib.sha1(payload).hexdigest(),
-        }
+    try:
+        while at < len(data):
+            if data[at : at + 1] in b"\r\n":
+                at += 1
+                continue
+            record, at, names = _arc_record(data, at, names, name)
+            if record is not None:
+                yield record
+    except Broken as broken:
+        yield broken
+
+
+def _arc_record(data: bytes, begin: int, names: list[str], name: str) -> tuple[dict | None, int, list[str]]:
+    """The record at ``begin`` (none for a version block), where it ends, and the fields from there on."""
+    end = data.find(b"\n", begin)
+    if end < 0:
+        raise Broken(begin, "a header line does not end")
+    line = data[begin:end].decode("utf-8", "replace").rstrip("\r")
+    version = line.startswith("filedesc:")
+    fields = line.split(" ") if version else line.rsplit(" ", len(names) - 1)
+    if not version and len(fields) != len(names):
+        raise Broken(begin, f"a header line has {len(fields)} fields of {len(names)}")
+    length = _int(fields[-1], begin, "the length")
+    block = _block(data, end + 1, length, begin)
+    at = end + 1 + length
+    if version:
+        number = _int(block[:1], begin, "the version")
+        if number not in ARC_FIELDS:
+            raise Broken(begin, f"version {number} is not known")
+        return None, at, ARC_FIELDS[number].split()
+    header = dict(zip(names, fields, strict=True))
+    http, body = _head(block, 0) if block.startswith(b"HTTP/") else ({}, 0)
+    payload = block[body:]
+    record = {
+        "page_id": _page_id(http, PAGE_HEADER),
+        "record_id": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}#{begin} {header['URL']}')}>",
+        "url": header["URL"],
+        "date": header["Archive-date"],
+        "mime": header["Content-type"],
+        "head": block[:body],
+        "payload": payload,
+        "payload_bytes": len(payload),
+        "digest": hashlib.sha1(payload).hexdigest(),
+    }
+    return record, at, names
+
+
+REJECTS = "name string, place long, reason string"
+_REJECTS = pa.schema([("name", pa.string()), ("place", pa.int64()), ("reason", pa.string())])
 
 
 def _parsed(archive: DataFrame, parse, schema: pa.Schema, ddl: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch["name"].to_pylist(), batch["content"], strict=True):
-                rows = list(parse(content.as_buffer().to_pybytes(), name))
+                rows = [r for r in parse(content.as_buffer().to_pybytes(), name) if not isinstance(r, Broken)]
                 yield arrow_rows(schema, {f.name: [r[f.name] for r in rows] for f in schema})
 
     return archive.mapInArrow(run, ddl)
 
 
+def _rejected(archive: DataFrame, parse) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch["name"].to_pylist(), batch["content"], strict=True):
+                found = [r for r in parse(content.as_buffer().to_pybytes(), name) if isinstance(r, Broken)]
+                yield arrow_rows(_REJECTS, {"name": [name] * len(found), "place": [r.place for r in found], "reason": [r.reason for r in found]})
+
+    return archive.mapInArrow(run, REJECTS)
+
+
 def read_arc(archive: DataFrame) -> DataFrame:
     return _parsed(archive, parse_arc, _RECORDS, RECORDS)
 
 
+def rejected_arc(archive: DataFrame) -> DataFrame:
+    """``REJECTS``: where ARC archives could not be read, and why."""
+    return _rejected(archive, parse_arc)
+
+
 def revisits(records: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """Records with ``keeper`` and ``keeper_record``, set where another record has the payload."""
     long = records.filter(F.col("payload_bytes") >= least)
@@ -198,36 +260,58 @@ _WARC = pa.schema(
 )
 
 
-def parse_warc(data: bytes, name: str = "") -> Iterator[dict]:
-    """The records of an uncompressed WARC file, stored payloads with their digest checked."""
+def parse_warc(data: bytes, name: str = "") -> Iterator[dict | Broken]:
+    """The records of an uncompressed WARC file, stored payloads with their digest checked.
+
+    A payload that fails its digest is one ``Broken``; a head that can't be read or a cut block ends
+    the archive with one."""
     at = 0
-    while at < len(data):
-        if data[at : at + 1] in b"\r\n":
-            at += 1
-            continue
-        head, at = _head(data, at)
-        block = data[at : at + int(head[b"content-length"])]
-        at += len(block)
-        kind = head[b"warc-type"].decode()
-        http, body = _head(block, 0) if block.startswith(b"HTTP/") else ({}, 0)
-        declared = head[b"warc-payload-digest"].partition(b":")[2].lower().decode()
-        if kind != "revisit" and hashlib.sha1(block[body:]).hexdigest() != declared:
-            raise ValueError(f"{name}: {head[b'warc-record-id']!r}: the payload does not match its digest")
-        yield {
-            "page_id": _page_id(http, PAGE_HEADER),
-            "url": head[b"warc-target-uri"].decode(),
-            "date": head[b"warc-date"].decode(),
-            "payload_bytes": int(head[b"x-payload-length"]),
-            "payload_digest": declared,
-            "record_type": kind,
-            "refers_to": _page_id(head, KEEPER_HEADER),
-        }
+    try:
+        while at < len(data):
+            if data[at : at + 1] in b"\r\n":
+                at += 1
+                continue
+            record, at = _warc_record(data, at)
+            yield record
+    except Broken as broken:
+        yield broken
+
+
+def _warc_record(data: bytes, begin: int) -> tuple[dict | Broken, int]:
+    """The record at ``begin``, and where it ends."""
+    head, at = _head(data, begin)
+    block = _block(data, at, _int(head.get(b"content-length"), begin, "the length"), begin)
+    at += len(block)
+    missing = [h.decode() for h in (b"warc-type", b"warc-payload-digest", b"warc-target-uri", b"warc-date", b"x-payload-length") if h not in head]
+    if missing:
+        return Broken(begin, f"no header {', '.join(missing)}"), at
+    kind = head[b"warc-type"].decode("utf-8", "replace")
+    http, body = _head(block, 0) if block.startswith(b"HTTP/") else ({}, 0)
+    declared = head[b"warc-payload-digest"].partition(b":")[2].lower().decode("utf-8", "replace")
+    if kind != "revisit" and hashlib.sha1(block[body:]).hexdigest() != declared:
+        return Broken(begin, "the payload does not match its digest"), at
+    if not head[b"x-payload-length"].isdigit():
+        return Broken(begin, "the payload's length is no number"), at
+    return {
+        "page_id": _page_id(http, PAGE_HEADER),
+        "url": head[b"warc-target-uri"].decode("utf-8", "replace"),
+        "date": head[b"warc-date"].decode("utf-8", "replace"),
+        "payload_bytes": int(head[b"x-payload-length"]),
+        "payload_digest": declared,
+        "record_type": kind,
+        "refers_to": _page_id(head, KEEPER_HEADER),
+    }, at
 
 
 def read_warc(archive: DataFrame) -> DataFrame:
     return _parsed(archive, parse_warc, _WARC, WARC)
 
 
+def rejected_warc(archive: DataFrame) -> DataFrame:
+    """``REJECTS``: where WARC archives could not be read, and why."""
+    return _rejected(archive, parse_warc)
+
+
 def convert(arc: DataFrame) -> DataFrame:
     """ARC archives (``content``) to WARC records, ready for ``write_archive``."""
     return warc_rows(revisits(read_arc(arc)))
