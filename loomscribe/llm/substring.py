@@ -105,7 +105,8 @@ def spans_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     """The byte spans of a text block as strings; spans begin and end with whole characters."""
     size = end - start
     ends = np.cumsum(size)
-    index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+    index = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
+    index += np.repeat((start - (ends - size)).astype(np.int32), size)
     offsets = np.concatenate([[0], ends]).astype(np.int64)
     return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[index].tobytes())]).cast(pa.string())
 
