@@ -56,11 +56,14 @@ def _turn(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, expires
     seqs, parts, total, newest = state.get if state.exists else ([], [], -1, 0)
     held, failed = dict(zip(seqs, parts, strict=True)), False
     for batch in frames:
-        chunk = batch[batch["type"] == "chunk"]
-        held |= zip(chunk["seq"].tolist(), chunk["content"].fillna("").tolist(), strict=True)
-        total = max([total, *batch["seq"][batch["type"] == "done"].tolist()])
-        newest = max([newest, *batch["ms"].tolist()])
-        failed |= bool((batch["type"] == "error").any())
+        for seq, kind, text, ms in zip(*(batch[c].tolist() for c in ("seq", "type", "content", "ms")), strict=True):
+            newest = max(newest, ms)
+            if kind == "chunk":
+                held[seq] = text if isinstance(text, str) else ""
+            elif kind == "done":
+                total = max(total, seq)
+            elif kind == "error":
+                failed = True
     whole = 0 <= total <= len(held)
     if whole and not failed:
         yield pd.DataFrame({"session_id": [key[0]], "turn": [key[1]], "content": ["".join(held[q] for q in sorted(held))]})
