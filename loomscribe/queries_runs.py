@@ -53,14 +53,13 @@ def _stateful_ingest(s: SparkSession, d: str) -> DataFrame:
 
 
 def _stream_ingest(s: SparkSession, d: str) -> DataFrame:
-    """The same arrivals as files of a stream, one a batch, then folded into one version."""
+    """The same arrivals by a stream that is taken up for each, one a batch, then folded into one version."""
     store, files = _stored(s, d), carrier(s, d, "code_files")
     base = _folder(s, "arrivals")
-    for part, rows in (("1", _arrival(files, "b", (47, "edited"))), ("2", _arrival(files, "c", (47, "edited"), (43, "again")))):
-        rows.coalesce(1).write.parquet(f"{base}/in/{part}")
     schema = "repo_id string, commit string, rel_path string, content_hash string"
-    stream = s.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
-    ingest.follow_arrivals(stream, store, f"{base}/state")
+    for part, rows in (("1", _arrival(files, "b", (47, "edited"))), ("2", _arrival(files, "c", (47, "edited"), (43, "again")))):
+        rows.write.parquet(f"{base}/in/{part}")
+        ingest.follow_arrivals(s.readStream.schema(schema).parquet(f"{base}/in/*"), store, f"{base}/state")
     store.compact(2)
     return store.table("pages").select("repo_id", "slug", "page_order", "content")
 
