@@ -56,3 +56,13 @@ def test_imports_are_extracted_once(spark, tmp_path):
     resolved = graph.resolved_imports(files)
     assert sorted(r.raw_import for r in resolved.collect()) == ["./y", "b", "c.d", "e", "g", "h", "w", "z"]
     assert "regexp_extract_all" not in plan_of(resolved)
+
+
+def test_a_whole_run_resolves_imports_once(spark, monkeypatch):
+    from loomscribe.plans import runs
+
+    calls, whole = [], graph.resolve_imports
+    monkeypatch.setattr(graph, "resolve_imports", lambda imports, index: calls.append(1) or whole(imports, index))
+    files = spark.createDataFrame([("r", "a.py", "import b\n\ndef f():\n    return 1\n"), ("r", "b.py", "class B:\n    pass\n")], "repo_id string, rel_path string, content string")
+    texts = runs.run_full(files).collect()
+    assert len(calls) == 1 and texts and all(t.content for t in texts)
