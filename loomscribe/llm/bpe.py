@@ -1,23 +1,21 @@
 """Byte-level BPE encoding and decoding with Spark higher-order functions.
 
-A word is an array of bytes.  They become the ids of single bytes, and a fold over the array
-merges, at every step, the leftmost adjacent pair of lowest rank: the rank of a pair (which is
-also the id of the merged piece) comes from a literal rank map, and only the two pairs that a
-merge touches are looked up again.  What is left when no pair has a rank are the tokens.
-Decoding concatenates the binary pieces of the ids.  Spark finds keys of a literal map by
-scanning, so the rank map is a literal array of slots, two for each pair.
-
-Words are folded once for many texts.  The most frequent words of the corpus, at most ``TABLE``
-of at most ``MAX_ENTRY_BYTES`` (some 35 MB of a Python worker), are folded first and broadcast.
-Then texts go through in chunks of ``CHUNK_BYTES``: a chunk is a row with its texts and those of
-its distinct words that the table lacks, the fold encodes and decodes these, and the next step
-puts the texts together.  No word occurrence is shuffled.  A word that is a token needs no fold.
-Each step of the fold copies the word, so words of more than ``LONG`` bytes are merged in the
-same order by a priority queue instead, which takes n log n steps.  All ids are decoded by their
-pieces, those of single tokens and long words in the worker that found them.
+A word is an array of bytes.  It becomes an array of longs, each a part of the word: the rank of
+the pair that the part makes with the next one (which is also the id of the merged piece), the
+place among the parts, and its id.  A fold over the array merges, at every step, the leftmost
+adjacent pair of lowest rank, which is the array's minimum, and looks up only the two pairs that
+the merge touches.  What is left when no pair has a rank are the tokens.  Decoding concatenates
+the binary pieces of the ids.  Spark finds keys of a literal map by scanning, so the rank map is
+three literal arrays that answer with one probe: a pair (a, b) is at ``shift[a] + b``.
+
+Texts go through in chunks of ``CHUNK_BYTES``.  A chunk is a row with its distinct words, each of
+which the fold encodes and the decoder decodes once, and its texts as numbers of these words; the
+next step puts the texts together.  Nothing is shuffled or broadcast but the ranks.  Each step of
+the fold copies the word, so words of more than ``LONG`` bytes are merged in the same order by a
+priority queue instead, which takes n log n steps; their ids are decoded like all others.
 
 Texts are cut at single spaces and before line breaks, over which no word of the pattern
-reaches (``common.pieces``), and the pattern runs on distinct pieces only.
+reaches (``common.pieces``), and the pattern runs on distinct pieces only, on all of a chunk at once.
 
 Defined results: null and empty texts have no tokens; ids may be null, repeated rows and ids are
 encoded each; extra columns are ignored; an empty table gives no rows; a text longer than a
@@ -30,34 +28,29 @@ import base64
 import hashlib
 import heapq
 import json
-import re
-import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomscribe.llm.common import arrow_rows, frequent, pieces, texts_of, uneven_pieces
+from loomscribe.llm.common import arrow_rows, texts_of
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Slots of the rank map, a few for each pair.
-SLOTS = 1 << 18
-TABLE, MAX_ENTRY_BYTES = 1 << 17, 48
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 8 << 20
 LONG = 128
-#: Pieces that a Python worker remembers.
-CACHE_ENTRIES = 150_000
+#: Bits of an id and of a place in a part; the rank of its pair is above them, ``NONE`` if it has none.
+ID_BITS, PLACE_BITS = 20, 8
+RANK_BITS = ID_BITS + PLACE_BITS
+IDS, PARTS = (1 << ID_BITS) - 1, (1 << RANK_BITS) - 1
+NONE = IDS << RANK_BITS
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 _WORD = regex.compile(public_tokenizers.PATTERN)
-#: White space at an end, next to other white space, or other than spaces and line breaks: only
-#: texts without any have clean cuts alone.
-_UNEVEN = re.compile(r"\A\s|\s\Z|\s\s|[^\S \n]")
 
 
 def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -70,76 +63,91 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _slots(a: int, b: int) -> tuple[int, int]:
-    return (a * 40503 + b) % SLOTS, (a * 24593 + b * 31) % SLOTS
-
-
-def rank_table(ranks: dict[bytes, int]) -> list[int | None]:
-    """By slot, (a << 32 | b << 16 | rank) of a pair of ids; each pair is in one of its two slots."""
-    table: list[int | None] = [None] * SLOTS
+def rank_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int], list[int]]:
+    """``shift`` by id, and by slot ``left`` (the pair's first id, -1 if free) and ``rank``: the row of
+    an id's pairs lies where none of its slots is taken, so that (a, b) has the slot shift[a] + b."""
+    rows: dict[int, dict[int, int]] = {}
     for token, rank in ranks.items():
         for i in range(1, len(token)):
             a, b = ranks.get(token[:i]), ranks.get(token[i:])
-            if a is None or b is None:
-                continue
-            entry, slot = a << 32 | b << 16 | rank, _slots(a, b)[0]
-            for _ in range(1000):
-                entry, table[slot] = table[slot], entry
-                if entry is None:
-                    break
-                slot = sum(_slots(entry >> 32, entry >> 16 & 0xFFFF)) - slot
-            else:
-                raise ValueError("the pairs do not fit: raise SLOTS")
-    return table
+            if a is not None and b is not None:
+                rows.setdefault(a, {})[b] = rank
+    taken, shift = 0, [0] * (max(ranks.values()) + 1)
+    for a in sorted(rows, key=lambda a: -len(rows[a])):
+        clash = row = 0
+        for b in rows[a]:
+            clash |= taken >> b
+            row |= 1 << b
+        shift[a] = (~clash & (clash + 1)).bit_length() - 1
+        taken |= row << shift[a]
+    left, rank = [-1] * taken.bit_length(), [NONE] * taken.bit_length()
+    for a, row in rows.items():
+        for b, r in row.items():
+            left[shift[a] + b], rank[shift[a] + b] = a, r << RANK_BITS
+    return shift, left, rank
+
+
+def _literal(values: list[int]) -> Column:
+    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), "array<bigint>")
 
 
 class RankMap:
     """The literal rank map over pairs of ids, and the literal pieces by id."""
 
     def __init__(self, ranks: dict[bytes, int], piece_of: dict[int, bytes]):
-        pieces_of = [piece_of.get(i, b"").hex().upper() for i in range(max(ranks.values()) + 1)]
-        table = json.dumps(rank_table(ranks), separators=(",", ":"))
-        self.table = F.from_json(F.lit(table), "array<bigint>")
-        self.bytes = F.lit([ranks[bytes([b])] for b in range(256)])
-        self.pieces = F.split(F.lit(",".join(pieces_of)), ",")
+        last = max(ranks.values())
+        if last >= IDS:
+            raise ValueError("too many ids: raise ID_BITS")
+        byte = [bytes([b]) for b in range(256)]
+        ends = [NONE | ranks[b] for b in byte]
+        starts = [ranks.get(a + b, IDS) << RANK_BITS | ranks[a] for a in byte for b in byte]
+        self.tables = [*map(_literal, (starts, ends, *rank_table(ranks)))]
+        self.pieces = F.split(F.lit(",".join(piece_of.get(i, b"").hex().upper() for i in range(last + 1))), ",")
+
+    def encode(self, words: Column) -> Column:
+        """The ids of words (arrays of byte values); the plan holds the rank map once."""
+        tables: list[Column] = []
+
+        def bind(table: Column) -> Column:
+            tables.append(table)
+            if len(tables) < len(self.tables):
+                return _let(self.tables[len(tables)], bind)
+            return F.transform(words, lambda word: self._fold(word, *tables))
+
+        return _let(self.tables[0], bind)
 
     @staticmethod
-    def rank(table: Column, a: Column, b: Column) -> Column:
-        """The rank of a pair of ids (long), null if it has none or one of them is null."""
-        pair = a * (1 << 16) + b
-        one, two = (F.get(table, (x % SLOTS).cast("int")) for x in (a * 40503 + b, a * 24593 + b * 31))
-        return F.when(F.shiftright(one, 16) == pair, one % (1 << 16)).when(F.shiftright(two, 16) == pair, two % (1 << 16))
-
-    def encode(self, word: Column) -> Column:
-        """The ids of a word (an array of byte values); the plan holds the rank map once."""
-        return _let(self.table, lambda table: self._fold(table, word))
+    def _fold(word: Column, starts: Column, ends: Column, shift: Column, left: Column, ranks: Column) -> Column:
+        def rank(a: Column, b: Column) -> Column:
+            """The rank of a pair of ids, in its place above a part; ``b`` may be null."""
+            slot = F.get(shift, a) + b
+            return F.when(F.get(left, slot) == a, F.get(ranks, slot)).otherwise(NONE)
 
-    def _fold(self, table: Column, word: Column) -> Column:
-        none = F.expr("array()").cast("array<bigint>")
-        rank = lambda a, b: self.rank(table, a, b)
-
-        def start(p: Column) -> Column:
-            return F.struct(p.alias("p"), F.zip_with(p, F.slice(p, 2, F.size(p)), rank).alias("r"))
+        def part(b: Column, i: Column) -> Column:
+            pair = F.get(starts, b * 256 + F.get(word, i + 1))
+            return F.coalesce(pair, F.get(ends, b)) + i.cast("long") * (1 << ID_BITS)
 
         def merge(s: Column, least: Column) -> Column:
-            p, r, at, new = s["p"], s["r"], (least % (1 << 20)).cast("int"), F.shiftright(least, 20)
-            before = F.when(at > 0, F.array(rank(F.get(p, at - 1), new))).otherwise(none)
-            return F.struct(
-                F.concat(F.slice(p, F.lit(1), at), F.array(new), F.slice(p, at + 3, F.size(p))).alias("p"),
-                F.concat(F.slice(r, F.lit(1), F.greatest(at - 1, F.lit(0))), before, F.array(rank(new, F.get(p, at + 2))), F.slice(r, at + 3, F.size(r))).alias("r"),
-            )
+            new, at = F.shiftright(least, RANK_BITS), F.shiftright(least, ID_BITS).bitwiseAND((1 << PLACE_BITS) - 1).cast("int")
+            before = F.get(s, at - 1)
+            merged = rank(new, F.get(s, at + 2).bitwiseAND(IDS)) + least.bitwiseAND(PARTS - IDS) + new
+            before = rank(before.bitwiseAND(IDS), new) + before.bitwiseAND(PARTS)
+            rest = F.transform(F.slice(s, at + 3, F.size(s)), lambda x: x - (1 << ID_BITS))
+            return F.when(at == 0, F.concat(F.array(merged), rest)).otherwise(F.concat(F.slice(s, F.lit(1), at - 1), F.array(before, merged), rest))
 
         def step(s: Column, _: Column) -> Column:
-            least = F.array_min(F.transform(s["r"], lambda x, i: x * (1 << 20) + i))
-            return _let(least, lambda x: F.when(x.isNull(), s).otherwise(merge(s, x)))
+            # A fold over one value binds it, and does not copy what it returns as ``_let`` does.
+            return F.aggregate(F.array(F.array_min(s)), s, lambda s, least: F.when(least >= NONE, s).otherwise(merge(s, least)))
 
-        ids = F.transform(word, lambda b: F.get(self.bytes, b.cast("int")).cast("long"))
-        folded = _let(ids, lambda p: F.aggregate(F.slice(word, 2, F.size(word)), start(p), step, lambda s: s["p"]))
-        return F.when(F.size(word) == 0, none).otherwise(folded)
+        parts = F.transform(word.cast("array<int>"), part)
+        return F.when(F.size(word) == 0, F.expr("array()").cast("array<bigint>")).otherwise(
+            F.aggregate(F.slice(word, 2, F.size(word)), parts, step, lambda s: F.transform(s, lambda x: x.bitwiseAND(IDS)))
+        )
 
-    def decode(self, ids: Column) -> Column:
-        """The bytes of ids."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i.cast("int"))), ""))
+    def decode(self, words: Column) -> Column:
+        """The bytes of the ids of words."""
+        piece = lambda pieces, ids: F.array_join(F.transform(ids, lambda i: F.get(pieces, i.cast("int"))), "")
+        return _let(self.pieces, lambda pieces: F.transform(words, lambda ids: F.unhex(piece(pieces, ids))))
 
 
 def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -172,195 +180,121 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return found
 
 
-def words_of(piece: str, first: bool = False) -> list[str]:
-    """The words of a piece that stands in a text, with the space it follows on."""
-    return _WORD.findall(piece if first or piece[:1] == "\n" else " " + piece)
-
-
-def frequent_words(texts: DataFrame, ranks: dict[bytes, int]) -> list[str]:
-    """The most frequent words that are no tokens."""
-
-    def items(counts: Counter) -> Counter:
-        found: Counter = Counter()
-        for piece, n in counts.items():
-            if len(piece) <= MAX_ENTRY_BYTES:
-                for word in words_of(piece):
-                    found[word] += n
-        return Counter({w: n for w, n in found.items() if w.encode() not in ranks})
-
-    return frequent(texts, items, TABLE, MAX_ENTRY_BYTES)
-
-
-def _values(words: list[bytes]) -> pa.Array:
+def _values(words: pa.Array) -> pa.Array:
     """Byte arrays of words."""
-    sizes = np.fromiter(map(len, words), np.int32, len(words))
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int16)))
-
-
-Token = tuple[str, int, bytes]
-
-
-class Reader:
-    """What a Python worker knows of words and pieces: ids joined by commas, their number, and bytes.
-
-    The bytes are always those of the ids' pieces, never the word's own."""
-
-    def __init__(self, table: dict[str, Token], ranks: dict[bytes, int], piece_of: dict[int, bytes]):
-        self.table, self.ranks, self.piece_of = table, ranks, piece_of
-        self.known: dict[str, Token] = {}
-        self.plain: set[str] = set()
-
-    def parts(self, text: str) -> tuple[list[str], list[str]]:
-        """Parts that stand as they are, and pieces that follow on after a space or line break."""
-        if _UNEVEN.search(text):
-            return uneven_pieces(text), []
-        first, *rest = pieces(text)
-        return [first] if first else [], rest
-
-    def direct(self, word: str) -> bool:
-        """Is a word known without the fold: by the table, as a token, or as too long for it."""
-        return word in self.table or (raw := word.encode()) in self.ranks or len(raw) > LONG
-
-    def lacking(self, texts: list[str]) -> list[bytes]:
-        """The distinct words of the texts that must be folded."""
-        if len(self.plain) > CACHE_ENTRIES:
-            self.plain.clear()
-        seen: set[str] = set()
-        found: set[str] = set()
-        for text in texts:
-            alone, rest = self.parts(text)
-            for part in alone:
-                found.update(w for w in words_of(part, True) if not self.direct(w))
-            new = set(rest).difference(self.plain, seen)
-            for piece in new:
-                words = [w for w in words_of(piece) if not self.direct(w)]
-                if words:
-                    found.update(words)
-                else:
-                    self.plain.add(piece)
-            seen |= new
-        return [w.encode() for w in found]
-
-    def token(self, word: str, folded: dict[str, Token]) -> Token:
-        found = self.table.get(word) or folded.get(word)
-        if found is None:
-            raw = word.encode()
-            ids = [self.ranks[raw]] if raw in self.ranks else merged(raw, self.ranks)
-            found = ",".join(map(str, ids)), len(ids), b"".join(map(self.piece_of.__getitem__, ids))
-        return found
-
-    def joined(self, words: list[str], folded: dict[str, Token]) -> Token:
-        found = [self.token(w, folded) for w in words]
-        return ",".join([f[0] for f in found]), sum([f[1] for f in found]), b"".join([f[2] for f in found])
-
-    def encode(self, text: str, folded: dict[str, Token]) -> tuple[int, str, str]:
-        """The number of ids, and the digests of the ids and of their bytes."""
-        alone, rest = self.parts(text)
-        tokens = [self.joined(words_of(part, True), folded) for part in alone]
-        for piece in set(rest).difference(self.known):
-            self.known[piece] = self.joined(words_of(piece), folded)
-        tokens += map(self.known.__getitem__, rest)
-        ids = ",".join([t[0] for t in tokens if t[1]])
-        return sum([t[1] for t in tokens]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([t[2] for t in tokens])).hexdigest()
-
-
-class _Shared:
-    """A broadcast with a name that no other job's has."""
-
-    def __init__(self, broadcast):
-        self.broadcast, self.key = broadcast, uuid.uuid4().hex
-
-
-_readers: dict[str, Reader] = {}
-
-
-def reader(shared) -> Reader:
-    """The worker's reader of a broadcast table and ranks; later tasks of the worker use it again."""
-    found = _readers.get(shared.key)
-    if found is None:
-        _readers.clear()
-        found = _readers[shared.key] = Reader(*shared.broadcast.value)
-    return found
-
-
-def word_table(texts: DataFrame, ranks: RankMap, words: list[str]) -> dict[str, Token]:
-    """The tokens of words of bounded number and length, folded by Spark in groups."""
-    if not words:
-        return {}
-    bounds = [*range(0, len(words), 2048), len(words)]
-    groups = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), _values([w.encode() for w in words]))
-    spark = texts.sparkSession
-    frame = spark.createDataFrame(pa.table({"words": groups})).repartition(min(len(groups), 2 * spark.sparkContext.defaultParallelism))
-    frame = frame.select("words", F.transform("words", ranks.encode).alias("ids"))
-    found = frame.select("words", *_joined(ranks)).toArrow().combine_chunks()
-    asked, *columns = (found[c].combine_chunks().flatten() for c in ("words", "word_ids", "decoded"))
-    return _folded(asked, *(c.to_pylist() for c in columns))
-
-
-def _folded(words: pa.ListArray, ids: list[str], decoded: list[bytes]) -> dict[str, Token]:
-    """By word, what the fold made of it."""
-    raw, bounds = words.flatten().to_numpy().astype(np.uint8).tobytes(), [0, *np.cumsum(words.value_lengths().to_numpy()).tolist()]
-    return {raw[a:b].decode(): _token(i, d) for a, b, i, d in zip(bounds[:-1], bounds[1:], ids, decoded, strict=True)}
-
-
-def _token(ids: str, raw: bytes) -> Token:
-    return ids, ids.count(",") + 1, raw
-
-
-def _joined(ranks: RankMap) -> list[Column]:
-    """Of ``ids`` (arrays by word): joined by commas, and the bytes they stand for."""
-    joined = F.transform("ids", lambda w: F.array_join(w.cast("array<string>"), ","))
-    return [joined.alias("word_ids"), F.transform("ids", ranks.decode).alias("decoded")]
-
-
-def _chunks(texts: DataFrame, shared: _Shared) -> DataFrame:
-    """``doc_ids, texts, words``: one row per chunk."""
-    out = pa.schema([("doc_ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.string())), ("words", pa.list_(pa.list_(pa.int16())))])
-
-    def row(ids: list, bodies: list[str]) -> pa.RecordBatch:
-        words = _values(reader(shared).lacking(bodies))
-        return arrow_rows(out, {"doc_ids": [ids], "texts": [bodies], "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)})
+    lengths = pc.binary_length(words).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(words.cast(pa.binary()).to_pylist()), np.uint8).astype(np.int16)))
+
+
+def uneven(text: str) -> bool:
+    """Has a text white space at an end, next to other white space, or other than spaces and line
+    breaks (or none at all): only other texts have clean cuts alone."""
+    return text.replace("\n", " ").split(" ") != text.split()
+
+
+def worded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of texts, the numbers of all texts' words, and how many each text has."""
+    bodies = texts.to_pylist()
+    odd = [uneven(text) for text in bodies]
+    even = pc.if_else(pa.array(odd, pa.bool_()), "", texts)
+    cut = pc.split_pattern(pc.replace_substring(even, "\n", " \n"), " ")
+    flat, first = cut.flatten(), cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
+    #: The words of a text's first piece, which follows on nothing, or of a text that is not cut.
+    own = [_WORD.findall(body if o else piece) for body, o, piece in zip(bodies, odd, flat.take(pa.array(first)).to_pylist(), strict=True)]
+    later = np.ones(len(flat), bool)
+    later[first] = False
+    rest = flat.filter(pa.array(later)).dictionary_encode()
+    n = len(rest.dictionary)
+    found: list[str] = []
+    if n:
+        all_of = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), rest.dictionary)
+        found = _WORD.findall((" " + pc.binary_join(all_of, " ")[0].as_py()).replace(" \n", "\n"))
+    # A piece begins with a space or a line break, and no other word of it does.
+    begins = np.flatnonzero([word[0] in " \n" for word in found])
+    if len(begins) != n:
+        raise ValueError("a word of the pattern reaches over a cut")
+    index = np.empty(len(flat), np.int64)
+    index[later], index[first] = rest.indices.to_numpy(), np.arange(n, n + len(bodies))
+    lengths = np.concatenate([np.diff(np.append(begins, len(found))), [len(o) for o in own]]).astype(np.int64)
+    for words in own:
+        found += words
+    words = pa.array(found, pa.string()).dictionary_encode()
+    counts = lengths[index]
+    start = (np.cumsum(lengths) - lengths)[index] - (np.cumsum(counts) - counts)
+    codes = words.indices.to_numpy()[np.repeat(start, counts) + np.arange(counts.sum())]
+    return words.dictionary, codes, np.add.reduceat(counts, first)
+
+
+def _chunks(texts: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """``doc_ids, texts, words, long_ids``: one row per chunk; its texts are numbers of its words, the
+    long ones of which come after the others and as ids."""
+    spread = texts.sparkSession.sparkContext.broadcast(ranks)
+    fields = {"doc_ids": pa.int64(), "texts": pa.list_(pa.int32()), "words": pa.list_(pa.int16()), "long_ids": pa.list_(pa.int64())}
+    out = pa.schema([(name, pa.list_(kind)) for name, kind in fields.items()])
+
+    def row(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        words, codes, sizes = worded(table["text"].chunk(0))
+        long = pc.greater(pc.binary_length(words), LONG).to_numpy(zero_copy_only=False)
+        number = np.empty(len(words), np.int32)
+        number[np.argsort(long, kind="stable")] = np.arange(len(words), dtype=np.int32)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        columns = {
+            "doc_ids": table["doc_id"].chunk(0),
+            "texts": pa.ListArray.from_arrays(pa.array(offsets), pa.array(number[codes])),
+            "words": _values(words.filter(pa.array(~long))),
+            "long_ids": pa.array([merged(word.encode(), spread.value) for word in words.filter(pa.array(long)).to_pylist()], fields["long_ids"]),
+        }
+        return arrow_rows(out, {k: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for k, v in columns.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, bodies, size = [], [], 0
+        held, size = [], 0
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                if bodies and size + len(text) > CHUNK_BYTES:
-                    yield row(ids, bodies)
-                    ids, bodies, size = [], [], 0
-                ids.append(doc_id)
-                bodies.append(text)
-                size += len(text)
-        if bodies:
-            yield row(ids, bodies)
+            start = 0
+            for i, n in enumerate(pc.binary_length(batch["text"]).to_pylist()):
+                if size and size + n > CHUNK_BYTES:
+                    held.append(batch.slice(start, i - start))
+                    yield row(held)
+                    held, start, size = [], i, 0
+                size += n
+            held.append(batch.slice(start))
+        if sum(map(len, held)):
+            yield row(held)
+
+    return texts.mapInArrow(run, "doc_ids array<long>, texts array<array<int>>, words array<array<smallint>>, long_ids array<array<long>>")
+
+
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of chunks, put together from what their words are encoded as and decoded to."""
+    out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
-    return texts.mapInArrow(run, "doc_ids array<long>, texts array<string>, words array<array<smallint>>")
+    def joined(of: pa.Array, numbers: pa.ListArray, comma: bytes) -> list[str]:
+        found: list[str] = []
+        for start in range(0, len(numbers), 64):
+            part = numbers.slice(start, 64)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(pc.list_value_length(part).to_numpy())]).astype(np.int64))
+            lists = pa.LargeListArray.from_arrays(offsets, of.take(part.flatten()))
+            found += [hashlib.sha256(x.as_buffer()).hexdigest() for x in pc.binary_join(lists, pa.scalar(comma, of.type))]
+        return found
+
+    for batch in batches:
+        for i in range(len(batch)):
+            doc_ids, texts, names, decoded = (batch[c][i].values for c in ("doc_ids", "texts", "names", "decoded"))
+            counts = pc.count_substring(names, ",").to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(texts).to_numpy())])
+            n_tokens = np.diff(np.concatenate([[0], np.cumsum(counts[texts.flatten().to_numpy()])])[ends])
+            digests = [joined(of.cast(pa.large_binary()), texts, comma) for of, comma in ((names, b","), (decoded, b""))]
+            yield arrow_rows(out, {"doc_id": doc_ids, "n_tokens": n_tokens, "ids_sha256": digests[0], "decoded_sha256": digests[1]})
 
 
 def encode_documents(docs: DataFrame, path: str = VOCABULARY, piece_of: dict[int, bytes] | None = None) -> DataFrame:
     """``SCHEMA``: token counts and digests of the ids and of what they decode to.
 
     ``piece_of`` gives the pieces that ids are decoded by, those of the vocabulary if none."""
-    plain, texts = read_ranks(path), texts_of(docs)
-    piece_of = piece_of or {rank: token for token, rank in plain.items()}
-    ranks = RankMap(plain, piece_of)
-    table = word_table(texts, ranks, frequent_words(texts, plain))
-    spread = docs.sparkSession.sparkContext.broadcast
-    shared = _Shared(spread((table, plain, piece_of)))
-    encoded = _chunks(texts, _Shared(spread((dict.fromkeys(table), plain, {})))).select("doc_ids", "texts", "words", F.transform("words", ranks.encode).alias("ids"))
-    encoded = encoded.select("doc_ids", "texts", "words", *_joined(ranks))
-    out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                doc_ids, bodies, ids, decoded = (batch[c][i].as_py() for c in ("doc_ids", "texts", "word_ids", "decoded"))
-                folded = _folded(batch["words"][i].values, ids, decoded)
-                by = reader(shared)
-                if len(by.known) > CACHE_ENTRIES:
-                    by.known.clear()
-                rows = [(doc_id, *by.encode(text, folded)) for doc_id, text in zip(doc_ids, bodies, strict=True)]
-                yield arrow_rows(out, {f.name: [r[k] for r in rows] for k, f in enumerate(out)})
-
-    return encoded.mapInArrow(assemble, SCHEMA)
+    plain = read_ranks(path)
+    ranks = RankMap(plain, piece_of or {rank: token for token, rank in plain.items()})
+    chunks = _chunks(texts_of(docs), plain)
+    encoded = chunks.select("doc_ids", "texts", F.concat(ranks.encode(F.col("words")), "long_ids").alias("ids"))
+    names = F.transform("ids", lambda w: F.array_join(w.cast("array<string>"), ","))
+    return encoded.select("doc_ids", "texts", names.alias("names"), ranks.decode(F.col("ids")).alias("decoded")).mapInArrow(_assemble, SCHEMA)

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -328,6 +329,30 @@ def test_bpe_merges_long_words_like_the_library(spark):
     assert bpe.encode_documents(docs.limit(0)).count() == 0
 
 
+def test_bpe_numbers_the_words_of_a_chunk():
+    rng = random.Random(21)
+    parts = ["the", " The", "'s", "\n", "  ", " ", "é", "漢字", "123", "!?", "\x1c", "\u2003", "\t", " '", "a\u0301", "\n\n"]
+    texts = ["", " ", "a", "\n", *("".join(rng.choice(parts) for _ in range(rng.randrange(1, 30))) for _ in range(500)), "so it's\nthe end"]
+    words, numbers, sizes = bpe.worded(pa.array(texts))
+    assert words.to_pylist() == list(dict.fromkeys(words.to_pylist()))
+    ends, all_of = [0, *np.cumsum(sizes).tolist()], words.take(pa.array(numbers)).to_pylist()
+    assert [all_of[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)] == [bpe._WORD.findall(t) for t in texts]
+
+
+def test_bpe_takes_one_pass_and_no_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 40)
+    texts = [None, "", "so the end of qzxv", "", "x" * 200 + " the\nend", "of the of the", None]
+    docs = documents(spark, texts)
+    spark.sparkContext.setJobGroup("bpe plan", "no job may run before the one that returns the rows")
+    found = bpe.encode_documents(docs)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("bpe plan")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(), special_tokens={})
+    want = {i: hashlib.sha256(",".join(map(str, library.encode_ordinary(t or ""))).encode()).hexdigest() for i, t in enumerate(texts)}
+    assert {r.doc_id: r.ids_sha256 for r in found.collect()} == want
+
+
 def test_probing_retrieves_the_radius_and_spares_rows():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(20000, 32))
