@@ -61,3 +61,21 @@ def test_no_step_of_a_whole_run_is_planned_with_a_broadcast(spark, planned):
     assert {"clusters", "page_files", "pages", "prompts", "texts"} <= set(planned) and texts
     assert [name for name, plan in planned.items() if "BroadcastHashJoin" in plan] == []
     assert [spark.conf.get(k, None) for k in KEYS] == before
+
+
+def test_neither_a_stopped_run_nor_the_one_that_takes_it_up_is_planned_with_a_broadcast(spark, planned):
+    def broken(batches):
+        for _ in batches:
+            raise RuntimeError("stopped")
+        yield from ()
+
+    files, before = corpus(spark, 4), [spark.conf.get(k, None) for k in KEYS]
+    with pytest.raises(Exception, match="stopped"):
+        runs.run_full(files, generator=broken, label="driver")
+    assert [spark.conf.get(k, None) for k in KEYS] == before
+    stopped = dict(planned)
+    planned.clear()
+    assert {r.slug for r in runs.run_full(files, label="driver").collect()} == {"overview", "component-1", "component-2", "component-3"}
+    assert set(planned) == {"texts"} and "texts" in stopped
+    assert [name for plans in (stopped, planned) for name, plan in plans.items() if "BroadcastHashJoin" in plan] == []
+    assert [spark.conf.get(k, None) for k in KEYS] == before
